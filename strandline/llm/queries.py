@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm.bpe import encode_documents
 from strandline.llm.cuckoo import exact_duplicates
+from strandline.llm.fingerprint import edited_fingerprints
+from strandline.llm.html_density import extract_pages
+from strandline.llm.mixing import mix
+from strandline.llm.pii import replace_entities
 from strandline.llm.sharding import assign_shards
+from strandline.llm.simhash import near_duplicates
+from strandline.llm.toxicity import grade_toxicity, train
 from strandline.llm.urlcascade import Rule, judge_urls
 from strandline.session import table
 
@@ -20,6 +27,36 @@ URL_RULES = [
 ]
 
 
+#: The vocabulary that op1 and the pipeline encode with, by name; its place is a parameter of the operators.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), keep_ids=False)
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -33,11 +70,38 @@ def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: The key that surrogates depend on; a deployment passes its own secret to replace_entities.
+SURROGATE_KEY = "strandline-demo-key"
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return grade_toxicity(documents, train(documents, table(spark, sf_dir, "labels")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe_roundtrip": op1_bpe_roundtrip,
+        "op2_simhash_dedup": op2_simhash_dedup,
+        "op3_text_density": op3_text_density,
+        "op4_ipf_mixing": op4_ipf_mixing,
+        "op5_multiset_fingerprint": op5_multiset_fingerprint,
         "op6_jump_shards": op6_jump_shards,
         "op7_cuckoo_dedup": op7_cuckoo_dedup,
         "op8_bloom_cascade": op8_bloom_cascade,
+        "op9_surrogates": op9_surrogates,
+        "op10_ordinal_toxicity": op10_ordinal_toxicity,
+        "pipeline": pipeline,
     }
 
 
