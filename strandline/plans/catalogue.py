@@ -1,53 +1,14 @@
-"""Registry of the trace and graph queries: name, DataFrame plan and oracle SQL."""
+"""All trace and graph queries; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strandline.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its name, with the SQL that must give the same rows."""
-
-    def register(run: Query) -> Query:
-        _QUERIES[name] = run
-        if oracle is not None:
-            _ORACLES[name] = oracle
-        return run
-
-    return register
+from strandline.plans import aggregate_plans, document_plans, enumeration_plans, graph_plans, join_plans, sequence_plans  # noqa: F401
+from strandline.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-@query(
-    "immediate_conflicts",
-    """
-    SELECT l_orderkey AS subject, list_sort(list(DISTINCT l_returnflag)) AS "values", count(*)::BIGINT AS n_facts
-    FROM lineitem WHERE l_returnflag IS NOT NULL
-    GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1
-    """,
-)
-def immediate_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects that two equality facts give different values."""
-    facts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject"), F.col("l_returnflag").alias("value"))
-    return (
-        facts.where(F.col("value").isNotNull())
-        .groupBy("subject")
-        .agg(F.array_sort(F.collect_set("value")).alias("values"), F.count("*").alias("n_facts"))
-        .where(F.size("values") > 1)
-    )
+    return dict(ORACLES)
