@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +24,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "str
     )
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies, if they don't already; clusters without shared files ship it instead."""
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a scale directory, read through Spark's own file system layer."""
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
