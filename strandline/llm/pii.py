@@ -62,6 +62,11 @@ NAME = rf"(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 DETECT = rf"(?<![\p{{L}}\p{{N}}._%+\-])(?:{EMAIL}|{SECRET}|{IBAN}|{IPV4}|{PHONE}|{SSN}|{CARD}|{NAME})|(?<!\+)\+\d{{1,3}} \(\d{{3}}\) \d{{3}}-\d{{4}}(?!\d)|(?<=[._%\-])(?:{IPV4}|{CARD})"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: lambdas hold no common subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
@@ -118,11 +123,13 @@ def _mapped(value: Column, digest: Column, first: int = 0) -> Column:
     """The value with every digit and letter after the first so many characters replaced within its own kind."""
 
     def one(c: Column, i: Column) -> Column:
-        n = _number(digest, i)
-        out = F.when((i < first) | (c == ""), c).when(c.between("0", "9"), (n % 10).cast("string"))
-        for a in ALPHABETS:
-            out = out.when(F.locate(c, F.lit(a)) > 0, F.substring(F.lit(a), n % len(a) + 1, F.lit(1)))
-        return out.otherwise(c)
+        def pick(n: Column) -> Column:
+            out = F.when((i < first) | (c == ""), c).when(c.between("0", "9"), (n % 10).cast("string"))
+            for a in ALPHABETS:
+                out = out.when(F.lit(a).contains(c), F.substring(F.lit(a), n % len(a) + 1, F.lit(1)))
+            return out.otherwise(c)
+
+        return _let(_number(digest, i), pick)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -142,14 +149,19 @@ def _laid_over(digits: Column, shape: Column) -> Column:
 def surrogate(normal: Column, kind: Column, key: str, attempt: Column) -> Column:
     """The surrogate of a normal form, itself in normal form."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, normal, attempt.cast("string")).cast("binary"), 512)
+    return _let(digest, lambda d: _surrogate(normal, kind, key, attempt, d))
+
+
+def _surrogate(normal: Column, kind: Column, key: str, attempt: Column, digest: Column) -> Column:
     domain = F.substring_index(normal, "@", -1)
     domain_digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain).cast("binary"), 512)
     kept = F.regexp_extract(domain, r"(\.?example\.(?:com|org|net)|\.[^.]+)$", 1)  # reserved names and the top level stay
-    new_domain = F.concat(_mapped(F.substring(domain, F.lit(1), F.length(domain) - F.length(kept)), domain_digest), kept)
+    name = F.substring(domain, F.lit(1), F.length(domain) - F.length(kept))
+    new_domain = F.concat(_let(domain_digest, lambda d: _mapped(name, d)), kept)
     email = F.concat(_mapped(F.substring_index(normal, "@", 1), digest), F.lit("@"), new_domain)
     octets = [F.lit("10")] + [(_number(digest, F.lit(i)) % 256).cast("string") for i in range(3)]
     card_body = F.substring(_mapped(normal, digest, 1), F.lit(1), F.length(normal) - 1)
-    card = F.concat(card_body, ((10 - _luhn_sum(card_body, 1) % 10) % 10).cast("string"))
+    card = _let(card_body, lambda c: F.concat(c, ((10 - _luhn_sum(c, 1) % 10) % 10).cast("string")))
     phone = F.concat(F.substring(normal, F.lit(1), F.length(normal) - 10), (_number(digest, F.lit(20)) % 8 + 2).cast("string"), F.substring(_mapped(normal, digest), F.length(normal) - 8, F.lit(9)))
     return (
         F.when(kind == "email", email)
@@ -177,7 +189,8 @@ def _name(normal: Column, digest: Column, attempt: Column) -> Column:
             out = F.when((part == p) & (script == s), given) if out is None else out.when((part == p) & (script == s), given)
         return out
 
-    family = F.array_join(F.transform(F.sequence(F.lit(1), F.floor(attempt / 2).cast("int") + 1), lambda i: pick(F.lit("family"), i)), "-")
+    ending = F.when((gender == "female") & (script == "cyrillic"), F.lit("а")).otherwise(F.lit(""))  # these family names have a female form
+    family = F.array_join(F.transform(F.sequence(F.lit(1), F.floor(attempt / 2).cast("int") + 1), lambda i: F.concat(pick(F.lit("family"), i), ending)), "-")
     return F.concat(title, F.when(rest.contains(" "), F.concat(pick(gender, F.lit(0)), F.lit(" "), family)).otherwise(family))
 
 
@@ -236,10 +249,11 @@ def replace_entities(df: DataFrame, key: str, id_col: str = "doc_id", text_col:
     joined = rows.join(per_row, rows["row"] == per_row["_row"], "left").withColumn("matches", matches)
 
     def new_text(m: Column) -> Column:
-        kind = kind_of(m)
-        normal = normal_form(m, kind)
-        exception = F.element_at(F.col("odd"), F.concat_ws("|", kind, normal))
-        return F.when(kind.isNull(), m).otherwise(shaped(m, kind, F.coalesce(exception, surrogate(normal, kind, key, F.lit(0)))))
+        def replaced(kind: Column, normal: Column) -> Column:
+            exception = F.element_at(F.col("odd"), F.concat_ws("|", kind, normal))
+            return _let(F.coalesce(exception, surrogate(normal, kind, key, F.lit(0))), lambda new: shaped(m, kind, new))
+
+        return _let(kind_of(m), lambda kind: F.when(kind.isNull(), m).otherwise(_let(normal_form(m, kind), lambda normal: replaced(kind, normal))))
 
     parts = F.split("text", DETECT, -1)
     rebuilt = F.array_join(F.zip_with(parts, F.transform("matches", new_text), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
