@@ -31,3 +31,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def text_or_empty(name: str = "text"):
     """The column as a string, null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._store import materialize, text_or_empty
+from strandline.llm._store import fresh_name, materialize, text_or_empty
 
 #: Digests in one index bucket, on average; an index takes about 250 bytes a digest.
 DIGESTS_PER_BUCKET = 100_000
@@ -213,9 +213,9 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows are numbered by their place in df, so df must give the same rows in the same order each time, as a table does."""
     rows = materialize(_digested(df, id_col, text_col), "digests")
-    gone = rows.join(_groups(rows, rows.count()), "digest").where(F.col("row") != F.col("first_row")).select(F.col("row").alias("_gone"))
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(gone, numbered["_row"] == gone["_gone"], "left_anti").drop("_row")
+    name = fresh_name(df, "row")
+    gone = rows.join(_groups(rows, rows.count()), "digest").where(F.col("row") != F.col("first_row")).select(F.col("row").alias(name))
+    return df.withColumn(name, F.monotonically_increasing_id()).join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def apply_changes(live: DataFrame, changes: DataFrame) -> DataFrame:

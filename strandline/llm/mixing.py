@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._store import materialize, text_or_empty
+from strandline.llm._store import fresh_name, materialize, text_or_empty
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 12
@@ -50,7 +50,6 @@ def tokens_of(text: Column) -> Column:
 
 def _shares(cells: DataFrame, margin: str, targets: dict[str, float] | None, power: float) -> Column:
     """The target share of a cell's value in a margin, among the values that occur."""
-    everything = Window.partitionBy(F.lit(1))
     if targets is not None:
         # values without a target keep their observed share; targets are scaled to sum to 1 with these
         listed = F.coalesce(*[F.when(F.col(margin).eqNullSafe(k), F.lit(float(v))) for k, v in targets.items()], F.col(f"_{margin}") / F.col("_all"))
@@ -135,7 +134,9 @@ def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, fract
 
 def sample_mixture(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that mix samples, with df's columns."""
-    found = _probabilities(df, targets, fraction, text_col).select(*[f"_{m}" for m in MARGINS], F.col("probability").alias("_probability"))
-    joined = df.withColumns({n: c for n, c in _described(df, text_col).items() if n != "_tokens"}).join(found, [f"_{m}" for m in MARGINS], "left")
-    drawn = draw(seed, F.col(id_col), F.crc32(text_or_empty(text_col).cast("binary"))) < F.coalesce(F.col("_probability"), F.lit(1.0))
-    return joined.where(drawn).select(*df.columns)
+    names = {f"_{m}": fresh_name(df, f"mix_{m}") for m in MARGINS} | {"probability": fresh_name(df, "mix_probability")}
+    found = _probabilities(df, targets, fraction, text_col).select(*[F.col(k).alias(v) for k, v in names.items()])
+    described = {names[n]: c for n, c in _described(df, text_col).items() if n in names}
+    joined = df.withColumns(described).join(found, [names[f"_{m}"] for m in MARGINS], "left")
+    drawn = draw(seed, F.col(id_col), F.crc32(text_or_empty(text_col).cast("binary"))) < F.coalesce(F.col(names["probability"]), F.lit(1.0))
+    return joined.where(drawn).select(*[F.col(f"`{c}`") for c in df.columns])

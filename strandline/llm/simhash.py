@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._store import materialize, text_or_empty
+from strandline.llm._store import fresh_name, materialize, text_or_empty
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -169,8 +169,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of each component: the first one with the smallest id (null ids last), with df's columns.
 
     Rows are numbered by their place in df, so df must give the same rows in the same order each time, as a table does."""
-    rows = _grouped(df, id_col, text_col)
-    stay = materialize(rows.groupBy("component", F.when(F.col("component").isNull(), F.col("first")).alias("bare"))
-                       .agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("best")).select(F.col("best.row").alias("_stays")), "stays")
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(stay, numbered["_row"] == stay["_stays"], "left_semi").drop("_row")
+    rows, name = _grouped(df, id_col, text_col), fresh_name(df, "row")
+    bare = F.when(F.col("component").isNull(), F.col("first"))
+    best = rows.groupBy("component", bare.alias("bare")).agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("best"))
+    stay = materialize(best.select(F.col("best.row").alias(name)), "stays")
+    return df.withColumn(name, F.monotonically_increasing_id()).join(stay, name, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -185,9 +185,10 @@ def _judge(model: Model):
     @pandas_udf(_RESULT)
     def judge(texts: pd.Series) -> pd.DataFrame:
         score = _scorer(model)
-        p = model.grades(np.array([score(t) for t in texts], float))
+        scores = np.array([score(t) for t in texts], float)
+        p = model.grades(scores)
         severity = p @ np.arange(GRADES)
-        return pd.DataFrame({"severity": severity, "grade": p.argmax(axis=1).astype(np.int32), "p_mild": p[:, 1], "p_severe": p[:, 2], "toxic": 1 - p[:, 0] >= model.cut})
+        return pd.DataFrame({"severity": severity, "grade": p.argmax(axis=1).astype(np.int32), "p_mild": p[:, 1], "p_severe": p[:, 2], "toxic": (1 - p[:, 0] >= model.cut) & (scores > 0)})
 
     return judge
 
@@ -195,8 +196,8 @@ def _judge(model: Model):
 def grade_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: the id, severity (expected grade, 0 to 2), grade, p_mild, p_severe, toxic.
 
-    toxic: a grade above 0 is at least as likely as not. A null or empty text has no feature and counts by the thresholds
-    alone. Repeated rows come out each; an empty table gives an empty one; other columns of df are left out."""
+    toxic: a grade above 0 is at least as likely as not, and the features speak for it. A null or empty text has none and
+    is never toxic. Repeated rows come out each; an empty table gives an empty one; other columns of df are left out."""
     judged = df.select(F.col(id_col).alias("_id"), _judge(model)(text_or_empty(text_col)).alias("_j"))
     return judged.select(F.col("_id").alias(id_col), "_j.severity", "_j.grade", "_j.p_mild", "_j.p_severe", "_j.toxic")
 
