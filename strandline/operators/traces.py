@@ -19,6 +19,8 @@ from strandline.operators.joins import band_join
 LINE_BAND = 5
 #: Paths enumerated per segment.
 MOST_PATHS = 200
+#: Root branches of a segment beyond which paths are picked greedily.
+GREEDY_ROOTS = 15
 
 
 def base_name(path: Column) -> Column:
@@ -135,27 +137,41 @@ def interprocedural_slice(edges: DataFrame, seeds: DataFrame, refused: DataFrame
     return found
 
 
-def enumerate_paths(branches: DataFrame, segment: str, most: int = MOST_PATHS) -> DataFrame:
-    """Up to so many paths through a segment's branches, in the order in which a depth-first walk meets them: segment, path, decisions, S, C, V.
-
-    branches: segment, position, node, verdict, statements, variables (array). A contradictory branch is left out, a consistent
-    one is taken, others go both ways, true first. S adds the statements of true decisions, C counts decisions, V distinct
-    variables. A path is decoded from its number, so no product is formed."""
-    kept = branches.where(F.coalesce(F.col("verdict"), F.lit("insufficient_info")) != "contradictory")
-    per = kept.groupBy(segment).agg(F.array_sort(F.collect_list(F.struct("position", "node", "verdict", "statements", "variables"))).alias("_b"))
-    open_ = F.filter("_b", lambda b: F.coalesce(b["verdict"], F.lit("")) != "consistent")
-    per = per.withColumn("_open", F.transform(open_, lambda b: b["node"])).withColumn("_k", F.size("_open"))
-    count = F.least(F.pow(F.lit(2.0), F.col("_k")), F.lit(float(most))).cast("long")
-    each = per.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+def enumerate_paths(branches: DataFrame, segment: str, most: int = MOST_PATHS, k: int = 3, greedy_above: int = GREEDY_ROOTS) -> DataFrame:
+    """Paths through a segment's branches in the order of a depth-first walk: segment, path, decisions, S, C, V.
+
+    branches: segment, position (pre-order), node, verdict, statements, variables (array), and if given is_taken (the
+    direction of a consistent branch, else true), is_call, ancestors (array of nodes, else none). A contradictory branch
+    and all below it are left out, a consistent one goes its way, others go both, true first. S adds statements and one per
+    call, C counts calls, V adds the numbers of variables. Up to so many paths are walked; a path is decoded from its
+    number, so no product is formed. With more roots than greedy_above, only the first path and those that turn one of the
+    first 3k roots that may be turned are given."""
+    has = set(branches.columns)
+    column = lambda name, default: F.coalesce(F.col(name), default) if name in has else default
+    none = F.array().cast("array<string>")
+    row = F.struct(
+        "position", F.col("node").cast("string").alias("node"), F.coalesce("verdict", F.lit("insufficient_info")).alias("verdict"), column("is_taken", F.lit(True)).alias("way"), column("is_call", F.lit(False)).alias("call"),
+        column("ancestors", none).alias("above"), (F.col("statements").cast("long") + column("is_call", F.lit(False)).cast("long")).alias("s"), F.size("variables").alias("v"),
+    )
+    per = branches.groupBy(segment).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    per = per.withColumn("_gone", F.transform(F.filter("_all", lambda b: b["verdict"] == "contradictory"), lambda b: b["node"]))
+    per = per.withColumn("_b", F.filter("_all", lambda b: (b["verdict"] != "contradictory") & ~F.arrays_overlap(b["above"], F.col("_gone"))))
+    open_ = F.filter("_b", lambda b: b["verdict"] != "consistent")
+    per = per.withColumns({"_open": F.transform(open_, lambda b: b["node"]), "_roots": F.transform(F.filter("_b", lambda b: F.size(b["above"]) == 0), lambda b: b["node"])})
+    per = per.withColumns({"_k": F.size("_open"), "_greedy": F.size("_roots") > greedy_above})
+    count = F.least(F.pow(F.lit(2.0), F.least(F.col("_k"), F.lit(62))), F.lit(float(most))).cast("long")
+    turned = F.filter(F.slice("_roots", 1, 3 * k), lambda r: F.array_contains("_open", r))
+    each = per.withColumn("_turned", turned).withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_greedy"), F.size("_turned").cast("long")).otherwise(count - 1))))
     place = lambda b: F.array_position(F.col("_open"), b["node"])
-    # beyond the last 62 branches a path's number is too small to turn a decision: true
-    shift = lambda b: (F.col("_k") - place(b)).cast("int")
-    taken = lambda b: F.when((place(b) == 0) | (shift(b) > 62), True).otherwise(F.call_function("shiftright", F.col("path"), shift(b)).bitwiseAND(F.lit(1).cast("long")) == 0)
-    walked = each.withColumn("_d", F.transform("_b", lambda b: F.struct(b["node"].alias("node"), taken(b).alias("taken"), b["statements"].alias("s"), b["variables"].alias("v"))))
-    return walked.select(
-        segment, "path", F.transform("_d", lambda d: F.struct(d["node"].alias("node"), d["taken"].alias("taken"))).alias("decisions"),
-        F.aggregate("_d", F.lit(0).cast("long"), lambda t, d: t + F.when(d["taken"], d["s"]).otherwise(0)).alias("S"), F.size("_d").alias("C"),
-        F.size(F.array_distinct(F.flatten(F.transform("_d", lambda d: d["v"])))).alias("V"),
+    # a path's number is too small to turn any but the last 62 open branches
+    shift = lambda b: F.least(F.col("_k") - place(b), F.lit(63)).cast("int")
+    one = F.lit(1).cast("long")
+    decoded = lambda b: F.when(shift(b) > 62, True).otherwise(F.call_function("shiftright", F.col("path"), shift(b)).bitwiseAND(one) == 0)
+    greedy = lambda b: (F.col("path") == 0) | (F.array_position(F.col("_turned"), b["node"]) != F.col("path"))
+    taken = lambda b: F.when(place(b) == 0, b["way"]).otherwise(F.when(F.col("_greedy"), greedy(b)).otherwise(decoded(b)))
+    total = lambda field: F.aggregate("_b", F.lit(0).cast("long"), lambda t, b: t + b[field].cast("long"))
+    return each.select(
+        segment, "path", F.transform("_b", lambda b: F.struct(b["node"].alias("node"), taken(b).alias("taken"))).alias("decisions"), total("s").alias("S"), total("call").alias("C"), total("v").alias("V")
     )
 
 

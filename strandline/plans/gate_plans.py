@@ -23,16 +23,15 @@ def unsat_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "explored_verdicts",
-    """WITH a AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 'TP' WHEN 'error' THEN 'FP' ELSE 'UNKNOWN' END AS v, value > 90 AS leak, true AS done FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 2 DAY FROM events)),
-    g AS (SELECT user_id, count(*)::BIGINT AS n, bool_or(v = 'TP') AS tp, sum(CASE WHEN leak THEN 1 ELSE 0 END) AS l, bool_and(v = 'FP') AS fp FROM a GROUP BY user_id)
-    SELECT user_id AS report_key, CASE WHEN tp THEN 'TP' WHEN l >= least(2, n) OR fp THEN 'FP' ELSE 'UNKNOWN' END AS verdict, CASE WHEN tp THEN 'reachable' WHEN l >= least(2, n) THEN 'leak consensus' WHEN fp THEN 'space exhausted' ELSE 'undecided' END AS reason, n AS n_attempts FROM g""",
+    """WITH a AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS k, CASE event_type WHEN 'purchase' THEN 'TP' WHEN 'error' THEN 'FP' ELSE 'UNKNOWN' END AS v, value > 90 AS leak, true AS done FROM events),
+    g AS (SELECT k, count(*)::BIGINT AS n, bool_or(v = 'TP') AS tp, sum(CASE WHEN leak THEN 1 ELSE 0 END) AS l, bool_and(v = 'FP') AS fp FROM a GROUP BY k)
+    SELECT k AS report_key, CASE WHEN tp THEN 'TP' WHEN l >= least(2, n) OR fp THEN 'FP' ELSE 'UNKNOWN' END AS verdict, CASE WHEN tp THEN 'reachable' WHEN l >= least(2, n) THEN 'leak consensus' WHEN fp THEN 'space exhausted' ELSE 'undecided' END AS reason, n AS n_attempts FROM g""",
 )
 def explored_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    last = events.agg((F.max("ts") - F.expr("INTERVAL 2 DAYS")).alias("since"))
-    recent = events.join(F.broadcast(last), F.col("ts") >= F.col("since"))  # one row
+    report = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
     verdict = F.when(F.col("event_type") == "purchase", "TP").when(F.col("event_type") == "error", "FP").otherwise("UNKNOWN")
-    return T.explored_verdict(recent.select(F.col("user_id").alias("report_key"), verdict.alias("verdict"), (F.col("value") > 90).alias("leak"), F.lit(True).alias("exhausted")))
+    return T.explored_verdict(events.select(report.alias("report_key"), verdict.alias("verdict"), (F.col("value") > 90).alias("leak"), F.lit(True).alias("exhausted")))
 
 
 @query(

@@ -37,13 +37,13 @@ def _event_at():
 
 @query(
     "band_match",
-    """WITH l AS (SELECT event_id, floor(value)::BIGINT AS pos, user_id % 25 AS k FROM events WHERE value IS NOT NULL), r AS (SELECT p_partkey, p_size, p_partkey % 25 AS k FROM part WHERE p_partkey <= 500),
+    """WITH l AS (SELECT event_id, floor(value)::BIGINT AS pos, user_id % 25 AS k FROM events WHERE value IS NOT NULL), r AS (SELECT p_partkey, p_size, p_partkey % 25 AS k FROM part),
     m AS (SELECT event_id, CASE WHEN pos = p_size THEN 0 ELSE 1 END AS tier, count(*)::BIGINT AS n, min(p_partkey) AS f FROM l JOIN r USING (k) WHERE abs(pos - p_size) <= 5 GROUP BY 1, 2)
     SELECT event_id, min(tier) AS tier, arg_min(n, tier) AS n_matches, arg_min(f, tier) AS first_match FROM m GROUP BY event_id""",
 )
 def band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", _event_at().alias("at"), (F.col("user_id") % 25).alias("k"))
-    right = table(spark, sf_dir, "part").where("p_partkey <= 500").select("p_partkey", "p_size", (F.col("p_partkey") % 25).alias("k"))
+    right = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 25).alias("k"))
     return J.tiered_match(left, right, "event_id", "at", "p_partkey", "p_size", 5, ["k"])
 
 
@@ -65,15 +65,15 @@ _HOST = r"://([^/?#]*)"
 @query(
     "ranked_resolution",
     r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages),
-    a AS (SELECT page_id, host, regexp_replace(host, '^[^.]*\.', '') AS parent FROM p WHERE page_id % 2 = 0), k AS (SELECT page_id AS t, host, regexp_replace(host, '^[^.]*\.', '') AS parent FROM p WHERE page_id % 2 = 1),
+    a AS (SELECT page_id, host, regexp_replace(host, '^[^.]*\.', '') AS parent FROM p), k AS (SELECT page_id AS t, host, regexp_replace(host, '^[^.]*\.', '') AS parent FROM p WHERE url LIKE 'https:%'),
     h AS (SELECT a.page_id, 0 AS strategy, min(t) AS target FROM a JOIN k ON a.host = k.host GROUP BY 1 UNION ALL SELECT a.page_id, 1, min(t) FROM a JOIN k ON a.parent = k.host GROUP BY 1
     UNION ALL SELECT a.page_id, 2, min(t) FROM a JOIN k ON a.parent = k.parent GROUP BY 1)
     SELECT a.page_id, coalesce(min(strategy), -1) AS strategy, arg_min(target, strategy) AS target FROM a LEFT JOIN h USING (page_id) GROUP BY a.page_id""",
 )
 def ranked_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", _HOST, 1).alias("host")).withColumn("parent", F.regexp_replace("host", r"^[^.]*\.", ""))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", _HOST, 1).alias("host")).withColumn("parent", F.regexp_replace("host", r"^[^.]*\.", ""))
     rungs = [(F.col("host"), F.col("host")), (F.col("parent"), F.col("host")), (F.col("parent"), F.col("parent"))]
-    return J.ranked_resolution(pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1"), "page_id", rungs, "page_id")
+    return J.ranked_resolution(pages, pages.where("url LIKE 'https:%'"), "page_id", rungs, "page_id")
 
 
 @query(
@@ -89,12 +89,12 @@ def path_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tightest_range",
-    """WITH r AS (SELECT p_brand AS name, min(p_partkey) AS low, max(p_partkey) AS high FROM part WHERE p_partkey % 10 = 0 GROUP BY p_brand),
+    """WITH r AS (SELECT p_brand AS name, min(p_partkey) AS low, max(p_partkey) AS high FROM part GROUP BY p_brand),
     m AS (SELECT s_suppkey, name, (high - low)::BIGINT AS span FROM supplier JOIN r ON s_suppkey BETWEEN low AND high)
     SELECT s_suppkey, arg_min(name, (span, name)) AS name, min(span) AS span FROM m GROUP BY s_suppkey""",
 )
 def tightest_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
+    ranges = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
     return J.tightest_range(table(spark, sf_dir, "supplier").select("s_suppkey"), ranges, "s_suppkey", "s_suppkey", "low", "high", "name")
 
 

@@ -19,7 +19,7 @@ def test_shortest_paths_filter_and_fall_back(spark):
     rows = [("s", 1, "a", None, 5, ["x"]), ("s", 2, "b", None, 1, ["x"]), ("t", 1, "c", "consistent", 2, ["y"])]
     df = spark.createDataFrame(rows, "seg string, position int, node string, verdict string, statements long, variables array<string>")
     best = B.shortest_paths(df, "seg", 2).where("rank = 1").collect()
-    assert {r["seg"]: [d["taken"] for d in r["decisions"]] for r in best} == {"s": [False, False], "t": [True]}
+    assert {r["seg"]: [d["taken"] for d in r["decisions"]] for r in best} == {"s": [True, True], "t": [True]}
     wanted = spark.createDataFrame([("b", True), ("c", False)], "node string, taken boolean")
     groups = spark.createDataFrame([(["a", "b"],)], "nodes array<string>")
     found = B.shortest_paths(df, "seg", 5, groups, wanted).orderBy("seg", "rank").collect()

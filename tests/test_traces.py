@@ -50,15 +50,27 @@ def test_slice_counts_hops_between_functions_only(spark):
 @pytest.mark.parametrize("n", [3, 9])
 def test_paths_equal_the_walk(spark, n):
     verdicts = ["insufficient_info", "consistent", "contradictory"] * 3
-    rows = [("s", i, f"n{i}", verdicts[i] if n == 3 else None, i + 1, [f"v{i % 2}"]) for i in range(n)]
-    df = spark.createDataFrame(rows, "seg string, position int, node string, verdict string, statements long, variables array<string>")
-    open_ = [r for r in rows if r[3] != "contradictory"]
-    walk = list(itertools.product(*[[True] if r[3] == "consistent" else [True, False] for r in open_]))[:200]
-    wanted = [(tuple((r[2], t) for r, t in zip(open_, p)), sum(r[4] for r, t in zip(open_, p) if t), len(open_), len({r[5][0] for r in open_})) for p in walk]
+    above = {1: [], 4: ["n2"], 5: ["n1"]}
+    rows = [("s", i, f"n{i}", verdicts[i] if n == 3 else "contradictory" if i == 2 else None, i + 1, [f"v{i % 2}"] * (i % 3), i % 2 == 0, i == 0, above.get(i, []) if n == 9 else []) for i in range(n)]
+    df = spark.createDataFrame(rows, "seg string, position int, node string, verdict string, statements long, variables array<string>, is_taken boolean, is_call boolean, ancestors array<string>")
+    open_ = [r for r in rows if r[3] != "contradictory" and "n2" not in r[8]]
+    walk = list(itertools.product(*[[r[6]] if r[3] == "consistent" else [True, False] for r in open_]))[:200]
+    metric = (sum(r[4] + r[7] for r in open_), sum(r[7] for r in open_), sum(len(r[5]) for r in open_))
+    wanted = [(tuple((r[2], t) for r, t in zip(open_, p)), *metric) for p in walk]
     found = [(tuple((d["node"], d["taken"]) for d in r["decisions"]), r["S"], r["C"], r["V"]) for r in T.enumerate_paths(df, "seg").orderBy("path").collect()]
     assert found == wanted
 
 
+def test_many_roots_are_walked_greedily(spark):
+    rows = [("s", i, f"n{i}", "consistent" if i == 1 else None, 1, ["v"]) for i in range(20)]
+    df = spark.createDataFrame(rows, "seg string, position int, node string, verdict string, statements long, variables array<string>")
+    found = [[d["node"] for d in r["decisions"] if not d["taken"]] for r in T.enumerate_paths(df, "seg", k=1).orderBy("path").collect()]
+    assert found == [[], ["n0"], ["n2"]]
+    deep = spark.createDataFrame([("s", i, f"n{i}", None, 1, ["v"]) for i in range(70)], df.schema)
+    last = T.enumerate_paths(deep, "seg", greedy_above=100).orderBy("path").collect()
+    assert len(last) == 200 and [d["node"] for d in last[5]["decisions"] if not d["taken"]] == ["n67", "n69"]
+
+
 def test_exclusive_groups_and_adapters(spark):
     rows = [("f", "n1", "h == 1"), ("f", "n2", "h == 2"), ("f", "n3", "h >= 3"), ("g", "n4", "h == 1"), ("f", "n5", "(k == 7)")]
     found = T.exclusive_groups(spark.createDataFrame(rows, "function_name string, node string, condition string")).collect()
