@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -42,15 +43,15 @@ _CONTRACT = """
 WITH RECURSIVE state(step, word, ids) AS (
     SELECT 0, word, ids FROM fresh
     UNION ALL
-    SELECT step + 1, word, ids[:pos - 1] || [merged] || ids[pos + 2:]
-    FROM (
-        SELECT step, word, ids, (best >> 32)::INTEGER AS merged, (best & 4294967295)::INTEGER AS pos
+    SELECT step + 1, word, ids[:(best & 4294967295)::INTEGER - 1] || [(best >> 32)::INTEGER] || ids[(best & 4294967295)::INTEGER + 2:]
+    FROM state JOIN (
+        SELECT word, min((merged::BIGINT << 32) | pos) AS best
         FROM (
-            SELECT any_value(step) AS step, word, any_value(ids) AS ids, min((merged::BIGINT << 32) | pos) AS best
-            FROM (SELECT step, word, ids, unnest(range(1, len(ids))) AS pos FROM state) AS position
-            JOIN merges ON pair = ((ids[pos]::BIGINT << 32) | ids[pos + 1])
-            GROUP BY word)))
-SELECT word, arg_max(ids, step) AS ids FROM state GROUP BY word
+            SELECT word, pos, (first::UINTEGER * 65536 + second)::UINTEGER AS pair
+            FROM (SELECT word, unnest(range(1, len(ids))) AS pos, unnest(ids[:-2]) AS first, unnest(ids[2:]) AS second FROM state)) AS position
+        JOIN merges USING (pair)
+        GROUP BY word) USING (word))
+SELECT word, arg_max(ids, step) AS ids, false AS bad FROM state GROUP BY word
 """
 
 #: For long words: one row per token position; every occurrence of the smallest pair goes in one round. That equals
@@ -70,16 +71,19 @@ WITH RECURSIVE state(step, word, pos, id, was, bad) AS (
                 FROM (
                     SELECT s.*, merged, twist, min(merged) OVER (PARTITION BY word) AS low
                     FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS following FROM state) AS s
-                    LEFT JOIN merges ON pair = ((id::BIGINT << 32) | following))
+                    LEFT JOIN merges ON pair = (id::UINTEGER * 65536 + following)::UINTEGER)
                 WHERE low IS NOT NULL)))
     WHERE turn_before IS NULL OR turn_before % 2 = 0)
 SELECT word, list(id ORDER BY pos) AS ids, bool_or(bad) AS bad
 FROM state SEMI JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) AS last USING (word, step) GROUP BY word
 """
 
+#: The words of coded with their ids in decimal and the bytes, as Latin-1 characters, that the ids decode to.
 _DECODE = """
-SELECT word, string_agg(piece, '' ORDER BY pos) AS piece
-FROM (SELECT word, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY word
+SELECT word, array_to_string(ids, ' ') AS decimal, piece
+FROM coded LEFT JOIN (
+    SELECT word, string_agg(piece, '' ORDER BY pos) AS piece
+    FROM (SELECT word, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY word) USING (word)
 """
 
 
@@ -94,7 +98,9 @@ class Tokenizer:
 
     def __init__(self, path: str, pattern: str, memory: str = "300MB"):
         ranks = read_ranks(path)
-        self._ranks, self._bytes = ranks, [ranks[bytes([i])] for i in range(256)]
+        if len(ranks) > 1 << 16:
+            raise ValueError("pairs of ids are packed into 32 bits")
+        self._ranks, self._bytes = ranks, np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self._full = regex.compile(pattern)
         self._plain = re.compile(_ASCII_PATTERN) if pattern == _default_pattern() else self._full
         pairs, merged, twist = [], [], []
@@ -102,77 +108,99 @@ class Tokenizer:
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    pairs.append(left << 32 | right)
+                    pairs.append(left << 16 | right)
                     merged.append(rank)
                     twist.append(ranks.get(token + token[:i], rank) < rank)
         self._db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
         self._db.execute("SET preserve_insertion_order = false")
-        given = pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32()), "twist": twist})
+        given = pa.table({"pair": pa.array(pairs, pa.uint32()), "merged": pa.array(merged, pa.int32()), "twist": twist})
         pieces = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
         for name, rows in (("merges", given), ("vocabulary", pieces)):
             self._db.register("given", rows)
             self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self._db.unregister("given")
-        self._memo: dict[str, tuple[str, int, bytes]] = {}
+        self._decimal: dict[str, str] = {}
+        self._piece: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         return (self._plain if text.isascii() else self._full).findall(text)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word: its own rank if the whole word is a token, else by contraction."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        out: list[list[int] | None] = [[r] if (r := self._ranks.get(b)) is not None else None for b in raw]
-        short = [i for i, b in enumerate(raw) if out[i] is None and len(b) <= LONG_WORD]
-        long = [i for i, b in enumerate(raw) if out[i] is None and len(b) > LONG_WORD]
+    def _contract(self, words: list[bytes]) -> None:
+        """Leave the words' ids in the DuckDB table coded (word, their number in the list; ids): a whole word that is a token
+        keeps its rank, others are contracted from single bytes."""
+        self._db.sql("CREATE OR REPLACE TEMP TABLE coded (word INTEGER, ids INTEGER[])")
+        whole = [(i, r) for i, w in enumerate(words) if (r := self._ranks.get(w)) is not None]
+        self._add("SELECT word, [id] FROM fresh", pa.table({"word": pa.array([i for i, _ in whole], pa.int32()), "id": pa.array([r for _, r in whole], pa.int32())}))
+        known = {i for i, _ in whole}
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD and i not in known]
         again: list[int] = []
         for at in range(0, len(long), 16):
-            found = self._contract(_CONTRACT_ALL, long[at : at + 16], raw)
-            for i, ids, bad in zip(*(found[k].to_pylist() for k in ("word", "ids", "bad"))):
-                out[i] = ids
-                again += [i] * bad
-        for chosen, size in ((short, QUERY_WORDS), (again, 16)):
-            for at in range(0, len(chosen), size):
-                found = self._contract(_CONTRACT, chosen[at : at + size], raw)
-                for i, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist()):
-                    out[i] = ids
-        return out
+            part = long[at : at + 16]
+            bad = self._bad(self._bytes_table(words, part))
+            again += bad
+            self._add(f"SELECT word, ids FROM ({_CONTRACT_ALL})", self._bytes_table(words, [i for i in part if i not in set(bad)]))
+        for at in range(0, len(again), 16):
+            self._add(f"SELECT word, ids FROM ({_CONTRACT})", self._bytes_table(words, again[at : at + 16]))
+        self._add(f"SELECT word, ids FROM ({_CONTRACT})", self._bytes_table(words, [i for i, w in enumerate(words) if len(w) <= LONG_WORD and i not in known]))
+
+    def _bad(self, fresh: pa.Table) -> list[int]:
+        self._db.register("fresh", fresh)
+        return [r[0] for r in self._db.sql(f"SELECT word FROM ({_CONTRACT_ALL}) WHERE bad").fetchall()]
+
+    def _add(self, query: str, fresh: pa.Table) -> None:
+        if len(fresh):
+            self._db.register("fresh", fresh)
+            self._db.execute(f"INSERT INTO coded {query}")
+
+    def _bytes_table(self, words: list[bytes], part: list[int]) -> pa.Table:
+        raw = [words[i] for i in part]
+        offsets = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum([len(w) for w in raw], out=offsets[1:])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self._bytes[np.frombuffer(b"".join(raw), np.uint8)]))
+        return pa.table({"word": pa.array(part, pa.int32()), "ids": ids})
+
+    def _decoded(self) -> Iterator[tuple[int, str, bytes]]:
+        """(word, ids in decimal, bytes) of the table coded."""
+        found = self._db.sql(_DECODE).to_arrow_table()
+        for i, decimal, piece in zip(*(found[k].to_pylist() for k in ("word", "decimal", "piece"))):
+            yield i, decimal or "", (piece or "").encode("latin-1")
 
-    def _contract(self, query: str, part: list[int], raw: list[bytes]) -> pa.Table:
-        ids = pa.array([[self._bytes[x] for x in raw[i]] for i in part], pa.list_(pa.int32()))
-        self._db.register("fresh", pa.table({"word": pa.array(part, pa.int32()), "ids": ids}))
-        return self._db.sql(query).to_arrow_table()
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        self._contract([w.encode("utf-8", "surrogatepass") for w in words])
+        out: list[list[int]] = [[]] * len(words)
+        for i, decimal, _ in self._decoded():
+            out[i] = [int(x) for x in decimal.split()]
+        return out
 
     def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
-        self._db.register("coded", pa.table({"word": pa.array(range(len(lists)), pa.int32()), "ids": pa.array(lists, pa.list_(pa.int32()))}))
-        found = self._db.sql(_DECODE).to_arrow_table()
+        self._db.register("fresh", pa.table({"word": pa.array(range(len(lists)), pa.int32()), "ids": pa.array(lists, pa.list_(pa.int32()))}))
+        self._db.sql("CREATE OR REPLACE TEMP TABLE coded AS SELECT word, ids FROM fresh")
         out = [b""] * len(lists)
-        for i, piece in zip(found["word"].to_pylist(), found["piece"].to_pylist()):
-            out[i] = piece.encode("latin-1")
+        for i, _, piece in self._decoded():
+            out[i] = piece
         return out
 
     def learn(self, words: set[str]) -> None:
         """Have the words' ids and decoded bytes in the memo."""
-        new = [w for w in words if w not in self._memo]
-        if not new:
-            return
-        ids = self.encode_words(new)
+        new = [w for w in words if w not in self._decimal]
         for at in range(0, len(new), QUERY_WORDS):
-            part = slice(at, at + QUERY_WORDS)
-            for w, i, b in zip(new[part], ids[part], self.decode_lists(ids[part])):
-                self._memo[w] = (" ".join(map(str, i)), len(i), b)
-
-    def documents(self, texts: list[str]) -> list[tuple[list[str], int, list[bytes]]]:
-        """For each text the words' ids in decimal (joined by a space in each word), their number, and the decoded words."""
+            part = new[at : at + QUERY_WORDS]
+            self._contract([w.encode("utf-8", "surrogatepass") for w in part])
+            for i, decimal, piece in self._decoded():
+                self._decimal[part[i]] = decimal
+                self._piece[part[i]] = piece
+
+    def documents(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids in decimal, joined by one space, and the bytes that they decode to."""
         words = [self.split(t) for t in texts]
-        if len(self._memo) > MEMO_WORDS:
-            self._memo = {}
-        self.learn({w for ws in words for w in ws})
-        out = []
+        if len(self._decimal) > MEMO_WORDS:
+            self._decimal, self._piece = {}, {}
+        self.learn(set().union(*words))
+        decimal, piece = self._decimal.__getitem__, self._piece.__getitem__
         for ws in words:
-            rows = [self._memo[w] for w in ws]
-            out.append(([r[0] for r in rows], sum(r[1] for r in rows), [r[2] for r in rows]))
-        return out
+            yield " ".join(map(decimal, ws)), b"".join(map(piece, ws))
 
 
 def _default_pattern() -> str:
@@ -216,9 +244,8 @@ def encode_documents(df: DataFrame, path: str, pattern: str | None = None, id_co
         for b in batches:
             done = []
             for block in _blocks(b["text"].to_pylist()):
-                for ids, n, pieces in tok.documents(block):
-                    joined = " ".join(ids)
-                    row = (n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join(pieces)).hexdigest())
+                for joined, decoded in tok.documents(block):
+                    row = (joined.count(" ") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                     done.append(([int(x) for x in joined.split()], *row) if keep_ids else row)
             columns = list(zip(*done)) or [()] * (4 if keep_ids else 3)
             kinds = [pa.list_(pa.int32())] * keep_ids + [pa.int64(), pa.string(), pa.string()]
