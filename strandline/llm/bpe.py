@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm._store import text_or_empty
 
-#: Words kept by a worker; about 300 bytes each.
-MEMO_WORDS = 400_000
+#: Words kept during a task, about 350 bytes each; beyond that only those that came up again stay.
+MEMO_WORDS = 300_000
 #: New words that one recursive query contracts together.
 QUERY_WORDS = 40_000
 #: Words longer than this have all occurrences of their smallest pair contracted in one round where that is provably the same.
@@ -96,7 +96,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Tokenizer:
     """Encoder and decoder of one vocabulary; one per Python worker."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "300MB"):
+    def __init__(self, path: str, pattern: str, memory: str = "160MB"):
         ranks = read_ranks(path)
         if len(ranks) > 1 << 16:
             raise ValueError("pairs of ids are packed into 32 bits")
@@ -121,6 +121,7 @@ class Tokenizer:
             self._db.unregister("given")
         self._decimal: dict[str, str] = {}
         self._piece: dict[str, bytes] = {}
+        self._again: set[str] = set()
 
     def split(self, text: str) -> list[str]:
         return (self._plain if text.isascii() else self._full).findall(text)
@@ -192,12 +193,20 @@ class Tokenizer:
                 self._decimal[part[i]] = decimal
                 self._piece[part[i]] = piece
 
+    def forget(self) -> None:
+        """Drop the memo, so that what a worker does next has its memory."""
+        self._decimal, self._piece, self._again = {}, {}, set()
+
     def documents(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text its ids in decimal, joined by one space, and the bytes that they decode to."""
         words = [self.split(t) for t in texts]
+        block = set().union(*words)
         if len(self._decimal) > MEMO_WORDS:
-            self._decimal, self._piece = {}, {}
-        self.learn(set().union(*words))
+            stay = self._again if len(self._again) < MEMO_WORDS // 2 else set()
+            self._decimal, self._piece = {w: self._decimal[w] for w in stay}, {w: self._piece[w] for w in stay}
+            self._again = set()
+        self._again |= block & self._decimal.keys()
+        self.learn(block)
         decimal, piece = self._decimal.__getitem__, self._piece.__getitem__
         for ws in words:
             yield " ".join(map(decimal, ws)), b"".join(map(piece, ws))
@@ -211,12 +220,12 @@ def _default_pattern() -> str:
 
 @lru_cache(maxsize=2)
 def worker_tokenizer(path: str, pattern: str) -> Tokenizer:
-    """The worker's tokenizer; it outlives a task, so later ones start with a filled memo."""
+    """The worker's tokenizer; its tables outlive a task, its memo doesn't."""
     return Tokenizer(path, pattern)
 
 
 #: Characters of text whose words are looked up together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_500_000
 
 
 def _blocks(texts: list[str]) -> Iterator[list[str]]:
@@ -242,14 +251,19 @@ def encode_documents(df: DataFrame, path: str, pattern: str | None = None, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(path, pattern)
         for b in batches:
-            done = []
-            for block in _blocks(b["text"].to_pylist()):
-                for joined, decoded in tok.documents(block):
-                    row = (joined.count(" ") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                    done.append(([int(x) for x in joined.split()], *row) if keep_ids else row)
-            columns = list(zip(*done)) or [()] * (4 if keep_ids else 3)
-            kinds = [pa.list_(pa.int32())] * keep_ids + [pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b["id"], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["id", *["ids"] * keep_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+            start = 0
+            for block in _blocks(b["text"].to_pylist()):  # a block's results go out before the next one's are made
+                found = list(tok.documents(block))
+                counts = [joined.count(" ") + 1 if joined else 0 for joined, _ in found]
+                columns = [b["id"].slice(start, len(block))]
+                start += len(block)
+                if keep_ids:
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    flat = np.fromstring(" ".join(joined for joined, _ in found if joined), np.int32, sep=" ") if offsets[-1] else np.empty(0, np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                columns += [pa.array(counts, pa.int64()), *[pa.array([hashlib.sha256(x).hexdigest() for x in texts]) for texts in ((j.encode() for j, _ in found), (d for _, d in found))]]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", *["ids"] * keep_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+        tok.forget()
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     schema = "id long, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"

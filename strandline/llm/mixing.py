@@ -28,7 +28,7 @@ ROUNDS_PER_PLAN = 4
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 #: The share of all tokens that the sample holds in expectation.
 FRACTION = 0.6
-#: Cells that are sent to every task; more are joined by shuffle.
+#: Cells that are raked in one task and sent to every task; more stay spread out and are joined by shuffle.
 BROADCAST_CELLS = 50_000
 
 
@@ -58,11 +58,17 @@ def _shares(cells: DataFrame, margin: str, targets: dict[str, float] | None, pow
     return listed
 
 
+def _together(cells: DataFrame, few: bool) -> DataFrame:
+    """Few cells lie in one partition, where every margin's window finds its rows without an exchange."""
+    return cells.coalesce(1) if few else cells
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """cells has the MARGINS and tokens (positive); adds weight, the raked share of all tokens, and ratio to the observed one."""
     targets = targets or {}
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.withColumn("_all", F.lit(float(total))).withColumn("weight", F.col("tokens") / F.col("_all"))
+    total, n_cells = cells.agg(F.sum("tokens"), F.count("*")).first()
+    total, few = total or 0, n_cells <= BROADCAST_CELLS
+    now = _together(cells, few).withColumn("_all", F.lit(float(total))).withColumn("weight", F.col("tokens") / F.col("_all"))
     for m in MARGINS:
         now = now.withColumn(f"_{m}", F.sum("tokens").over(Window.partitionBy(m)).cast("double"))
         now = now.withColumn(f"_t_{m}", _shares(now, m, targets.get(m), TEMPERATURE[m]))
@@ -70,12 +76,12 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     norms = {}
     for m in MARGINS:
         norms[m] = now.groupBy(m).agg(F.first(f"_t_{m}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
-    now = now.withColumns({f"_t_{m}": F.col(f"_t_{m}") / F.lit(norms[m]) for m in MARGINS})
+    now = _together(now, few).withColumns({f"_t_{m}": F.col(f"_t_{m}") / F.lit(norms[m]) for m in MARGINS})
     for r in range(rounds):
         for m in MARGINS:
             now = now.withColumn("weight", F.col("weight") * F.col(f"_t_{m}") / F.sum("weight").over(Window.partitionBy(m)))
         if r % ROUNDS_PER_PLAN == ROUNDS_PER_PLAN - 1:
-            now = materialize(now, "cells")
+            now = _together(materialize(now, "cells"), few)
     return now.select(*MARGINS, "tokens", "weight", (F.col("weight") * F.col("_all") / F.col("tokens")).alias("ratio"))
 
 

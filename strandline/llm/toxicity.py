@@ -40,7 +40,7 @@ STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 #: A feature is told apart by the least of these numbers of distinct tokens that show it.
 DOSES = (1, 2, 4)
 GRADES = 3
-_MEMO = 400_000
+_MEMO = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -125,8 +125,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most so many labelled documents of each class; copies among them count once. Without labels of both classes nothing is toxic."""
-    sample = _sample(documents, labels, rows, id_col, text_col).withColumn("print", F.xxhash64("text"))
-    counted = materialize(sample.mapInArrow(_counted, "label int, print long, features array<string>"), "toxicity-sample").dropDuplicates(["print"])
+    sample = _sample(documents, labels, rows, id_col, text_col)
+    once = sample.groupBy(F.xxhash64("text").alias("print")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
+    counted = materialize(once.mapInArrow(_counted, "label int, print long, features array<string>"), "toxicity-sample")
     sizes = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -143,11 +144,11 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_co
     if not index:
         return Model()
     odds = {f: np.log((x + 0.5) / (n1 + 1)) - np.log((m - x + 0.5) / (n0 + 1)) for f, (x, m) in chosen.items()}
-    kept = counted.select("label", F.array_intersect("features", F.array(*map(F.lit, sorted(index)))).alias("features")) if len(index) <= 200 else counted.select("label", "features")
-    marks, found = [], []
-    for r in kept.toLocalIterator():  # the sample is bounded by 2 * rows
-        marks.append(r["label"])
-        found.append([index[f] for f in r["features"] if f in index])
+    known = F.broadcast(documents.sparkSession.createDataFrame(list(index.items()), "feature string, number int"))
+    hits = counted.select("print", "label", F.explode_outer("features").alias("feature")).join(known, "feature", "left")
+    kept = hits.groupBy("print", "label").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+    seen = sorted(kept.toLocalIterator(), key=lambda r: r["print"])  # the sample is bounded by 2 * rows, its features by MAX_FEATURES
+    marks, found = [r["label"] for r in seen], [r["numbers"] for r in seen]
     names = sorted(index)
     dose = np.array([sum(odds[names[i]] > 1 for i in f) for f in found])
     label = np.array(marks)
