@@ -196,6 +196,8 @@ class Tokenizer:
     def forget(self) -> None:
         """Drop the memo, so that what a worker does next has its memory."""
         self._decimal, self._piece, self._again = {}, {}, set()
+        self._db.sql("CREATE OR REPLACE TEMP TABLE coded (word INTEGER, ids INTEGER[])")
+        pa.default_memory_pool().release_unused()
 
     def documents(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text its ids in decimal, joined by one space, and the bytes that they decode to."""

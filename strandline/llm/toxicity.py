@@ -118,9 +118,11 @@ def _sample(documents: DataFrame, labels: DataFrame, rows: int, id_col: str, tex
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [sorted(features(t)) for t in b["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["label"], b["print"], pa.array(sets, pa.list_(pa.string()))], names=["label", "print", "features"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):  # a text has thousands of features: few texts at a time
+            b = whole.slice(at, 64)
+            sets = [sorted(features(t)) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["label"], b["print"], pa.array(sets, pa.list_(pa.string()))], names=["label", "print", "features"])
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
