@@ -4,7 +4,10 @@ Every DOM node gets its characters per tag, lowered where its characters and
 tags are those of links. A node's density sum adds its children's densities;
 the node with the largest sum heads the main text. On the path from it up to
 body, the text widens to the highest ancestor that is at least as dense as
-body itself, so an article that is cut into sections is taken whole. What
+body itself, so an article that is cut into sections is taken whole. Beside it
+every subtree comes out that is at least as dense as the least dense node of the
+path, and the headings of what comes out; where the page marks its article, only
+further articles do. Lists of links go, but not those of the article itself. What
 markup names as menus, headers, footers, sidebars, notices, adverts, forms or
 reader comments never counts and never comes out.
 
@@ -45,6 +48,7 @@ NOT_MAIN_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset({"header", "head", "top"})
 LINKED_SHARE = 0.6
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z",
@@ -166,8 +170,8 @@ class Page:
             if tag in SCOPES:
                 return
 
-    def main_node(self) -> tuple[int, list[int], list[int], list[int]]:
-        """The node that heads the main text, with characters, linked characters and link tags of every subtree."""
+    def main_nodes(self) -> tuple[bytearray, bytearray]:
+        """Flags of the nodes whose own text is main text, and of those that are dropped as lists of links."""
         n = len(self.tags)
         chars, linked, inner, links = self.chars[:], self.linked[:], [0] * n, [0] * n
         for i in range(n - 1, 0, -1):
@@ -198,21 +202,69 @@ class Page:
         best = max(inside, key=lambda i: (sums[i], -i))
         if not sums[best]:
             best = body
-        least, node, up = densities[body], best, best
+        least, node, up, article = densities[body], best, best, best
         while up != body and up > 0:
+            if self.tags[up] in ("article", "main"):
+                article = up
             up = self.parents[up]
             if up != body and densities[up] >= least or self.tags[up] in ("article", "main"):
                 node = up
-        return (body if chars[node] == 0 else node), chars, linked, links
+        if self.tags[up] in ("article", "main"):
+            article = up
+        kept = self._kept(body if not chars[node] else node, best, up, densities, chars, self.tags[article] in ("article", "main"))
+        inner, listed, above = bytearray(n), bytearray(n), {0, body}  # what holds the main text is no list
+        for i in (best, node):
+            while i > 0:
+                above.add(i)
+                i = self.parents[i]
+        for i in range(1, n):
+            p = self.parents[i]
+            inner[i] = inner[p] or i == article != up
+            listed[i] = listed[p] or (not inner[i] and i not in above and self.tags[i] in BLOCK and links[i] >= 3 and linked[i] >= LINKED_SHARE * chars[i])
+        return kept, listed
+
+    def _kept(self, node: int, best: int, top: int, densities: list[float], chars: list[int], marked: bool) -> bytearray:
+        """Flags of node's subtree and of what else under top is dense enough, with its headings; node itself has a 2."""
+        n, parents, dead = len(self.tags), self.parents, self.dead
+        kept, path, least = bytearray(n), set(), densities[top]
+        kept[node] = 2
+        up = best
+        while up != top and up > 0:
+            least = min(least, densities[up])
+            up = parents[up]
+        up = node
+        while up != top and up > 0:
+            up = parents[up]
+            path.add(up)
+        open_, holds, heads = bytearray(n), bytearray(n), {}
+        open_[top] = node != top
+        for i in range(1, n):
+            p = parents[i]
+            if kept[p]:
+                kept[i] = 1
+            elif open_[p] and not dead[i] and not kept[i]:
+                dense = densities[i] >= least and densities[i] > 0 and i not in path
+                kept[i] = dense and (not marked or self.tags[i] in ("article", "main"))
+                open_[i] = not kept[i]
+        for i in range(n - 1, 0, -1):
+            p = parents[i]
+            if not open_[p] or dead[i]:
+                continue
+            if self.tags[i] in HEADINGS:
+                kept[i] = kept[i] or heads.get(p, False)
+            elif chars[i]:
+                heads[p] = bool(kept[i] or holds[i])
+            holds[p] = holds[p] or bool(kept[i]) or holds[i]
+        for i in range(1, n):
+            kept[i] = kept[i] or bool(kept[parents[i]])
+        loose = [i for i in range(top, n) if open_[i] and not kept[i] and not marked and self.chars[i] - self.linked[i] >= max(least, 1)]
+        for i in loose:  # bare text between what is kept
+            kept[i] = 1
+        return kept
 
     def text(self) -> str:
         """Blocks of the main text, joined by line ends."""
-        node, chars, linked, links = self.main_node()
-        dropped = bytearray(len(self.tags))
-        for i in range(node + 1, len(self.tags)):
-            p = self.parents[i]
-            listed = self.tags[i] in BLOCK and links[i] >= 3 and linked[i] >= LINKED_SHARE * chars[i]
-            dropped[i] = dropped[p] or self.dead[i] or listed
+        kept, listed = self.main_nodes()
         blocks: list[str] = []
         now: list[str] = []
 
@@ -221,10 +273,10 @@ class Page:
                 blocks.append(block)
             now.clear()
 
-        for i, piece in self.events[self.starts[node] : self.ends[node]]:
+        for i, piece in self.events:
             if piece is None:
                 end()
-            elif not dropped[i]:
+            elif kept[i] and not self.dead[i] and not listed[i]:
                 now.append(piece)
         end()
         return "\n".join(blocks)
