@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._store import fresh_name, materialize, text_or_empty
+from strandline.llm._store import join_groups, materialize, row_key, text_or_empty, without
 
 #: Digests in one index bucket, on average; an index takes about 250 bytes a digest.
 DIGESTS_PER_BUCKET = 100_000
@@ -183,12 +183,9 @@ def _groups(rows: DataFrame, total: int) -> DataFrame:
     return folded.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _FOLDED).drop("bucket")
 
 
-def _digested(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.monotonically_increasing_id().alias("row"),
-        F.unhex(F.sha2(normalized(text_or_empty(text_col)).cast("binary"), 256)).alias("digest"),
-    )
+def _digested(df: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
+    digest = F.unhex(F.sha2(normalized(text_or_empty(text_col)).cast("binary"), 256))
+    return df.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), *[c.alias(n) for n, c in more.items()])
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,9 +194,9 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are equal when identical after every run of white space [\\x20\\x09-\\x0D] became one space; null is the empty
     text. The smallest id stays; among repeated rows of that id the first one in the input does, and null ids count as
     largest. An empty table gives an empty one; other columns of df are left out."""
-    rows = materialize(_digested(df, id_col, text_col), "digests")
-    groups = _groups(rows, rows.count())
-    return rows.join(groups, "digest").select(
+    rows = materialize(_digested(df, id_col, text_col, row=F.monotonically_increasing_id()), "digests")
+    total = rows.count()
+    return join_groups(rows, materialize(_groups(rows, total), "groups"), "digest", "n", total).select(
         F.col("id").alias(id_col),
         F.when(~F.col("no_id"), F.col("first_id")).alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -209,13 +206,19 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_duplicates keeps, with df's columns.
-
-    Rows are numbered by their place in df, so df must give the same rows in the same order each time, as a table does."""
-    rows = materialize(_digested(df, id_col, text_col), "digests")
-    name = fresh_name(df, "row")
-    gone = rows.join(_groups(rows, rows.count()), "digest").where(F.col("row") != F.col("first_row")).select(F.col("row").alias(name))
-    return df.withColumn(name, F.monotonically_increasing_id()).join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """One row of every group of equal texts, with df's columns: of the smallest id, null ids counting as largest.
+
+    Of rows that repeat an id and a text one stays, whichever; where rows of one id have texts that differ in white space
+    only, a hash decides. Rows are told apart by id and text, so df may be computed anew in any order. Null is the empty
+    text; an empty table gives an empty one."""
+    one, two = row_key(id_col, text_col)
+    rows = materialize(_digested(df, id_col, text_col, row=one, k2=two), "digests")
+    total = rows.count()
+    groups = materialize(_groups(rows, total).where("n > 1"), "groups")
+    held = join_groups(rows, groups, "digest", "n", total)
+    stays = (F.col("row") == F.col("first_row")) & F.col("id").eqNullSafe(F.when(~F.col("no_id"), F.col("first_id")))
+    marked = held.groupBy(F.col("row").alias("k1"), "k2").agg((~F.first(stays)).alias("gone"), F.count("*").alias("times")).where("gone OR times > 1")
+    return without(df, materialize(marked.select("k1", "k2", "gone"), "marked"), id_col, text_col)
 
 
 def apply_changes(live: DataFrame, changes: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm._store import fresh_name, materialize, text_or_empty
+from strandline.llm._store import discard, join_groups, materialize, row_key, text_or_empty, without
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -57,7 +57,7 @@ def fingerprint(text: bytes) -> int:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [fingerprint(t) for t in b["text"].cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["id"], b["row"], pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "row", "print"])
+        yield pa.RecordBatch.from_arrays([b["id"], b["k1"], b["k2"], pa.array(np.array(found, np.uint64).view(np.int64))], names=_SCHEMA.names)
 
 
 def _segment(number: int) -> Column:
@@ -106,11 +106,12 @@ def links(prints: DataFrame) -> DataFrame:
     return same_a.unionByName(same_b).unionByName(off_by_one).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge table (a, b) of longs; root is the smallest node reachable.
 
     Alternating large and small stars: each round is two joins on edges, written to the shared folder, and the rounds
-    grow with the logarithm of the longest chain. Self-loops are fine; an empty table gives an empty one."""
+    grow with the logarithm of the longest chain; it ends when a round changes nothing. Self-loops are fine; an empty
+    table gives an empty one."""
 
     def large(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -123,36 +124,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         rest = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return rest.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    now = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    state = None
-    for _ in range(max_rounds):
-        now = materialize(small(large(now)), "edges")
+    now, state = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges"), None
+    while True:
+        before, now = now, materialize(small(large(now)), "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break
         state = seen
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "row", "print")])
+_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "k1", "k2", "print")])
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, row, print and component (smallest id of the component) of every row of df."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
+    """id, k1, k2, print, component (smallest id of the component) and stays (the key of its first row) of every row of df."""
+    one, two = row_key(id_col, text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), one.alias("k1"), two.alias("k2"), text_or_empty(text_col).alias("text"))
     prints = materialize(rows.mapInArrow(_prints, _SCHEMA), "prints")
-    distinct = materialize(prints.groupBy("print").agg(F.min("id").alias("least"), F.min(F.when(F.col("id").isNull(), F.col("row"))).alias("bare"), F.min("row").alias("first")), "distinct-prints")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
+    distinct = materialize(prints.groupBy("print").agg(F.min(place).alias("best"), F.count("*").alias("times")), "distinct-prints")
     roots = components(links(distinct.select("print")))
-    member = distinct.join(roots, distinct["print"] == roots["node"], "left").select(
-        "print", "least", "first", F.coalesce("root", "print").alias("root")
-    )
-    # the row that stays: of the smallest id; where all ids are null, the first row
-    least = member.groupBy("root").agg(F.min("least").alias("component"), F.min("first").alias("first"))
-    found = member.select("print", "root").join(least, "root").drop("root")
-    return prints.join(found, "print")
+    member = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "times", "best", F.coalesce("root", "print").alias("root"))
+    member = materialize(member, "members")
+    least = materialize(member.groupBy("root").agg(F.min("best").alias("stays"), F.count("*").alias("n")), "roots")
+    found = join_groups(member.drop("best"), least, "root", "n", member.count()).select("print", "times", "stays")
+    return join_groups(prints, materialize(found, "components"), "print", "times", prints.count())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,15 +161,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole sequence if it is shorter. A null or wordless text has fingerprint zero, which links like any other.
     component_id is the smallest id reachable over links, the row's own included; it is null where all of a component's
     ids are. Repeated rows come out as often as they are in df; an empty table gives an empty one."""
-    return _grouped(df, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return _grouped(df, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("stays.id").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the first one with the smallest id (null ids last), with df's columns.
-
-    Rows are numbered by their place in df, so df must give the same rows in the same order each time, as a table does."""
-    rows, name = _grouped(df, id_col, text_col), fresh_name(df, "row")
-    bare = F.when(F.col("component").isNull(), F.col("first"))
-    best = rows.groupBy("component", bare.alias("bare")).agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("best"))
-    stay = materialize(best.select(F.col("best.row").alias(name)), "stays")
-    return df.withColumn(name, F.monotonically_increasing_id()).join(stay, name, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    """One row of each component, with df's columns: the one with the smallest id, null ids counting as largest; a hash
+    decides between texts of one id, and of rows that repeat both one stays, whichever.
+
+    Rows are told apart by id and text, so df may be computed anew in any order."""
+    rows = _grouped(df, id_col, text_col)
+    goes = (F.col("k1") != F.col("stays.k1")) | (F.col("k2") != F.col("stays.k2"))
+    marked = rows.groupBy("k1", "k2").agg(F.first(goes).alias("gone"), F.count("*").alias("n")).where("gone OR n > 1")
+    return without(df, materialize(marked.select("k1", "k2", "gone"), "marked"), id_col, text_col)

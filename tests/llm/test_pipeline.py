@@ -3,9 +3,11 @@
 import hashlib
 import re
 
+import pytest
+
 import corpus_pipeline
 from strandline.llm import queries
-from strandline.llm.simhash import fingerprint
+from test_minhash import brute_links, kept
 
 
 def test_stage_names_and_order():
@@ -29,14 +31,35 @@ def test_run_equals_its_stages(spark, tmp_path):
     for i, r in sorted(seen["toxicity"].items()):
         least.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"]), i)
     assert set(seen["exact_dedup"]) == set(least.values())
-    prints = {i: fingerprint(r["text"].encode()) for i, r in seen["exact_dedup"].items()}
+    texts = {i: r["text"] for i, r in seen["exact_dedup"].items()}
     stay = set(seen["near_dedup"])
-    for i, p in prints.items():
-        if i not in stay:
-            assert any(j < i and (p ^ q).bit_count() <= 2 for j, q in prints.items())
-    assert len({prints[i] for i in stay}) == len(stay)
+    assert stay == kept(texts, brute_links(texts))
     assert set(seen["mixture"]) <= stay and set(seen["encode"]) == set(seen["mixture"])
     for i, r in seen["encode"].items():
         assert r["decoded_sha256"] == hashlib.sha256(seen["mixture"][i]["text"].encode()).hexdigest()
     run = {r["doc_id"]: r["ids_sha256"] for r in queries.pipeline(spark, sf).collect()}
     assert run == {i: r["ids_sha256"] for i, r in seen["encode"].items()}
+
+
+ODD = [(3, "a b"), (3, "a b"), (1, "a  b"), (None, "a b"), (None, None), (7, ""), (8, " "), (None, "only here"), (9, "x y " * 400_000)]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "exact_dedup", "near_dedup", "mixture", "encode"])
+def test_stages_take_nulls_repeats_ties_long_texts_and_empty_tables(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "cast(null AS string) AS source", "cast(length(text) AS long) AS n_chars")
+    docs = docs.selectExpr("*", "1 AS k1", "2 AS word", "3 AS gone", "4 AS _row", "5 AS print", "6 AS probability", "7 AS tokens")
+    out = stage(spark, docs, "/root/testdata/sf0.001")
+    ids = sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=str)
+    wanted = {
+        "toxicity": [3, 3, 1, None, None, 7, 8, None, 9],  # labels name none of these ids' texts: nothing is rejected for words it lacks
+        "exact_dedup": [1, 7, 8, None, 9],  # "a b" by its smallest id, "" by 7, " " is not ""
+        "near_dedup": [1, 7, None, 9],  # texts without words are one group
+        "encode": [3, 3, 1, None, None, 7, 8, None, 9],
+    }
+    if name in wanted:
+        assert ids == sorted(wanted[name], key=str)
+    else:
+        assert all(ids.count(i) <= [r[0] for r in ODD].count(i) for i in ids)
+    assert out.columns == docs.columns or name == "encode"
+    assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
