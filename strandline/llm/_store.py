@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: 64-bit words of a sieve: what is broadcast is never more than these, about 5 MB.
 SIEVE_WORDS = 1 << 17
+#: Short rows in a file of a table whose size is known.
+FILE_ROWS = 1_000_000
 #: A key is heavy if it holds more than one in so many rows, so there are fewer heavy keys than this.
 HEAVY_KEYS = 1_000
 
@@ -27,9 +29,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends, a lost executor costs nothing."""
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends, a lost executor costs nothing. Where it is
+    known to have about so many short rows, it is written to as few files as these need."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

@@ -125,13 +125,14 @@ def components(edges: DataFrame) -> DataFrame:
         return rest.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     now, state = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges"), None
-    while True:
-        before, now = now, materialize(small(large(now)), "edges")
+    count = now.count()
+    while count:
+        before, now = now, materialize(small(large(now)), "edges", count)
         discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break
-        state = seen
+        state, count = seen, seen[0]
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
