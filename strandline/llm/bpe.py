@@ -1,11 +1,19 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries.
 
-Each task has its own in-memory DuckDB with the merge table (left id, right id
--> rank, which is the merged id). New words of a batch of documents start as
-one token per byte. A recursive query joins each word's token positions to the
-merge table, takes the leftmost pair of the smallest rank and contracts it,
-until no word has a pair left. Decoding joins ids to the vocabulary and
-concatenates the pieces in an aggregation ordered by position.
+Each task has its own in-memory DuckDB with the merge table (pair of ids ->
+rank, which is the merged id). New words of a batch of documents start as one
+token per byte, with the rank of each position's pair. A recursive query
+contracts each word's leftmost pair of the smallest rank and joins the two
+positions beside it to the merge table, until no word has a pair left. Decoding
+joins ids to the vocabulary and concatenates the pieces in an aggregation
+ordered by position.
+
+A word of more than CHUNK bytes is contracted in overlapping chunks. Two
+encodings whose overlap holds the same token at the same place can be spliced
+there: a list of tokens is the encoding of its text if and only if every two
+neighbours are that of theirs, and all neighbours of the spliced list stand
+side by side in one of the two. Chunks that share no token grow until they do,
+in the end to the whole word, so the result is always that of the whole word.
 
 A word is a match of the tokenizer's pattern. Words recur, so a task keeps the
 ids and bytes of those it has met, up to a fixed number, and only new ones go
@@ -31,34 +39,44 @@ from strandline.llm._store import text_or_empty
 
 #: Words kept during a task, about 350 bytes each; beyond that only those that came up again stay.
 MEMO_WORDS = 300_000
-#: New words that one recursive query contracts together.
+#: New words that are looked up together.
 QUERY_WORDS = 40_000
-#: Words longer than this have all occurrences of their smallest pair contracted in one round where that is provably the same.
-LONG_WORD = 200
+#: What one recursive query takes: bytes, and squares of lengths, as a word of n bytes leaves up to n states of n tokens.
+QUERY_BYTES, QUERY_SQUARES = 400_000, 12_000_000
+#: Bytes of a chunk of a longer word, at first; chunks overlap by half.
+CHUNK = 32
+#: A chunk that would have to grow beyond this becomes its whole word.
+MAX_CHUNK = 1_536
 
 #: The ASCII part of the tokenizer's pattern, where letters, digits and white space are plain ranges.
 _ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\x09-\x0D\x20A-Za-z0-9]+|[\x09-\x0D\x20]+(?![^\x09-\x0D\x20])|[\x09-\x0D\x20]+"
 
+#: The rank of a position whose pair is no token.
+NO_RANK = 2**31 - 1
+
+#: begun (word, ids, ranks: the rank of each pair of neighbours) contracted step by step.
 _CONTRACT = """
-WITH RECURSIVE state(step, word, ids) AS (
-    SELECT 0, word, ids FROM fresh
-    UNION ALL
-    SELECT step + 1, word, ids[:(best & 4294967295)::INTEGER - 1] || [(best >> 32)::INTEGER] || ids[(best & 4294967295)::INTEGER + 2:]
-    FROM state JOIN (
-        SELECT word, min((merged::BIGINT << 32) | pos) AS best
-        FROM (
-            SELECT word, pos, (first::UINTEGER * 65536 + second)::UINTEGER AS pair
-            FROM (SELECT word, unnest(range(1, len(ids))) AS pos, unnest(ids[:-2]) AS first, unnest(ids[2:]) AS second FROM state)) AS position
-        JOIN merges USING (pair)
-        GROUP BY word) USING (word))
-SELECT word, arg_max(ids, step) AS ids, false AS bad FROM state GROUP BY word
+WITH RECURSIVE state(word, ids, ranks) {keyed} AS (
+    SELECT word, ids, ranks FROM begun
+    {union}
+    SELECT word, ids[:spot - 1] || [low] || ids[spot + 2:],
+           CASE WHEN spot > 1 THEN ranks[:spot - 2] || [coalesce(l.merged, 2147483647)] ELSE [] END
+           || CASE WHEN spot < len(ranks) THEN [coalesce(r.merged, 2147483647)] ELSE [] END || ranks[spot + 2:]
+    FROM (SELECT *, list_position(ranks, low) AS spot FROM (SELECT *, list_min(ranks) AS low FROM state) WHERE low < 2147483647) AS s
+    LEFT JOIN merges AS l ON l.pair = (ids[spot - 1]::UINTEGER * 65536 + low)::UINTEGER
+    LEFT JOIN merges AS r ON r.pair = (low::UINTEGER * 65536 + ids[spot + 2])::UINTEGER)
+SELECT word, ids FROM state WHERE len(ranks) = 0 OR list_min(ranks) = 2147483647
 """
+_SHORT = _CONTRACT.format(keyed="", union="UNION ALL")
+#: The same with one state of each word in memory, for whole long words.
+_WHOLE = _CONTRACT.format(keyed="USING KEY (word)", union="UNION")
 
-#: For long words: one row per token position; every occurrence of the smallest pair goes in one round. That equals
-#: contracting from the left unless a contraction opens a pair of a smaller rank: bad says so, and the word is done again.
+#: For long words whose chunks never met, as of repeated letters: one row per token position; every occurrence of the
+#: smallest pair goes in one round. That equals contracting from the left unless a contraction opens a pair of a smaller
+#: rank: bad says so, and the word is contracted step by step.
 _CONTRACT_ALL = """
 WITH RECURSIVE state(step, word, pos, id, was, bad) AS (
-    SELECT 0, word, unnest(range(len(ids))), unnest(ids), -1, false FROM fresh
+    SELECT 0, word, unnest(range(len(ids))), unnest(ids), -1, false FROM begun
     UNION ALL
     SELECT step + 1, word, pos, CASE WHEN turn % 2 = 1 THEN low ELSE id END, low, bad OR low < was OR twisted
     FROM (
@@ -111,7 +129,13 @@ class Tokenizer:
                     pairs.append(left << 16 | right)
                     merged.append(rank)
                     twist.append(ranks.get(token + token[:i], rank) < rank)
-        self._db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
+        self._pair_ranks = np.full((256, 256), NO_RANK, np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self._pair_ranks[token[0], token[1]] = rank
+        self._sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._sizes[list(ranks.values())] = [len(t) for t in ranks]
+        self._db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})  # nothing spills to a local disk
         self._db.execute("SET preserve_insertion_order = false")
         given = pa.table({"pair": pa.array(pairs, pa.uint32()), "merged": pa.array(merged, pa.int32()), "twist": twist})
         pieces = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
@@ -131,34 +155,141 @@ class Tokenizer:
         keeps its rank, others are contracted from single bytes."""
         self._db.sql("CREATE OR REPLACE TEMP TABLE coded (word INTEGER, ids INTEGER[])")
         whole = [(i, r) for i, w in enumerate(words) if (r := self._ranks.get(w)) is not None]
-        self._add("SELECT word, [id] FROM fresh", pa.table({"word": pa.array([i for i, _ in whole], pa.int32()), "id": pa.array([r for _, r in whole], pa.int32())}))
         known = {i for i, _ in whole}
-        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD and i not in known]
-        again: list[int] = []
-        for at in range(0, len(long), 16):
-            part = long[at : at + 16]
-            bad = self._bad(self._bytes_table(words, part))
-            again += bad
-            self._add(f"SELECT word, ids FROM ({_CONTRACT_ALL})", self._bytes_table(words, [i for i in part if i not in set(bad)]))
-        for at in range(0, len(again), 16):
-            self._add(f"SELECT word, ids FROM ({_CONTRACT})", self._bytes_table(words, again[at : at + 16]))
-        self._add(f"SELECT word, ids FROM ({_CONTRACT})", self._bytes_table(words, [i for i, w in enumerate(words) if len(w) <= LONG_WORD and i not in known]))
-
-    def _bad(self, fresh: pa.Table) -> list[int]:
-        self._db.register("fresh", fresh)
-        return [r[0] for r in self._db.sql(f"SELECT word FROM ({_CONTRACT_ALL}) WHERE bad").fetchall()]
-
-    def _add(self, query: str, fresh: pa.Table) -> None:
-        if len(fresh):
-            self._db.register("fresh", fresh)
-            self._db.execute(f"INSERT INTO coded {query}")
-
-    def _bytes_table(self, words: list[bytes], part: list[int]) -> pa.Table:
-        raw = [words[i] for i in part]
-        offsets = np.zeros(len(raw) + 1, np.int32)
-        np.cumsum([len(w) for w in raw], out=offsets[1:])
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self._bytes[np.frombuffer(b"".join(raw), np.uint8)]))
-        return pa.table({"word": pa.array(part, pa.int32()), "ids": ids})
+        self._add([i for i, _ in whole], np.array([r for _, r in whole], np.int32), np.arange(len(whole) + 1))
+        short = [i for i, w in enumerate(words) if len(w) <= CHUNK and i not in known]
+        for part in self._parts([len(words[i]) for i in short]):
+            self._insert([words[i] for i in short[part]], short[part])
+        long = [i for i, w in enumerate(words) if len(w) > CHUNK and i not in known]
+        for at in range(0, len(long), 2_000):
+            part = long[at : at + 2_000]
+            self._add(part, *self._spliced([words[i] for i in part]))
+
+    def _insert(self, raw: list[bytes], numbers: list[int]) -> None:
+        """Contract words of at most CHUNK bytes into coded."""
+        self._db.register("begun", self._begun(raw, numbers))
+        try:
+            self._db.execute(f"INSERT INTO coded {_SHORT}")
+        except duckdb.OutOfMemoryException:
+            if len(raw) == 1:
+                raise
+            half = len(raw) // 2
+            self._insert(raw[:half], numbers[:half])
+            self._insert(raw[half:], numbers[half:])
+
+    def _add(self, numbers: list[int], flat: np.ndarray, offsets: np.ndarray) -> None:
+        if numbers:
+            self._db.register("done", pa.table({"word": pa.array(numbers, pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))}))
+            self._db.execute("INSERT INTO coded SELECT word, ids FROM done")
+
+    @staticmethod
+    def _parts(lengths: list[int]) -> Iterator[slice]:
+        """Runs of words that one query takes."""
+        start, size, squares = 0, 0, 0
+        for i, n in enumerate(lengths):
+            if i > start and (size + n > QUERY_BYTES or squares + n * n > QUERY_SQUARES):
+                yield slice(start, i)
+                start, size, squares = i, 0, 0
+            size, squares = size + n, squares + n * n
+        if start < len(lengths):
+            yield slice(start, len(lengths))
+
+    def _begun(self, raw: list[bytes], numbers: list[int]) -> pa.Table:
+        """The words as one token per byte with the ranks of their pairs."""
+        data, lengths = np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw], np.int32)
+        ends = np.cumsum(lengths)
+        inside = np.ones(max(0, len(data) - 1), bool)
+        inside[ends[:-1] - 1] = False
+        ranks = self._pair_ranks[data[:-1], data[1:]][inside]
+        lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+        return pa.table({"word": pa.array(numbers, pa.int32()), "ids": lists(lengths, self._bytes[data]), "ranks": lists(lengths - 1, ranks)})
+
+    def _encodings(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece, contracted on its own."""
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(raw)
+        small = [i for i, w in enumerate(raw) if len(w) <= MAX_CHUNK]
+        for part in self._parts([len(raw[i]) for i in small]):
+            self._fetch(_SHORT, [raw[i] for i in small[part]], small[part], out)
+        for i, w in enumerate(raw):
+            if len(w) > MAX_CHUNK:
+                self._db.register("begun", self._begun([w], [i]))
+                bad = self._db.sql(f"SELECT bad FROM ({_CONTRACT_ALL})").fetchall()[0][0]
+                self._fetch(_WHOLE if bad else f"SELECT word, ids FROM ({_CONTRACT_ALL})", [w], [i], out)
+        return out
+
+    def _fetch(self, query: str, raw: list[bytes], numbers: list[int], out: list[np.ndarray]) -> None:
+        self._db.register("begun", self._begun(raw, numbers))
+        try:
+            found = self._db.sql(query).to_arrow_table()
+        except duckdb.OutOfMemoryException:
+            if len(raw) == 1:
+                raise
+            half = len(raw) // 2
+            self._fetch(query, raw[:half], numbers[:half], out)
+            self._fetch(query, raw[half:], numbers[half:], out)
+            return
+        ids = found["ids"].combine_chunks()
+        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        for i, a, b in zip(found["word"].to_pylist(), offsets, offsets[1:]):
+            out[i] = flat[a:b]
+
+    def _spliced(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of long words, one after the other, and where each word's begin: contracted in chunks, spliced at tokens
+        that neighbours share."""
+        spans = [(k, s, min(s + CHUNK, len(w))) for k, w in enumerate(words) for s in range(0, max(1, len(w) - CHUNK // 2), CHUNK // 2)]
+        held: dict[tuple[int, int, int], np.ndarray] = {}
+        while True:
+            new = [x for x in spans if x not in held]
+            held.update(zip(new, self._encodings([words[k][s:e] for k, s, e in new])))
+            word, start, end = (np.array(c, np.int64) for c in zip(*spans))
+            lists = [held[x] for x in spans]
+            flat, counts = np.concatenate(lists), np.array([len(x) for x in lists])
+            of = np.repeat(np.arange(len(spans)), counts)
+            upto = np.cumsum(self._sizes[flat])
+            begins = np.concatenate([[0], upto[:-1]])
+            place = begins - np.repeat(begins[np.cumsum(counts) - counts], counts) + start[of]  # of a token in its word
+            joint = np.flatnonzero(word[:-1] == word[1:])  # between a span and the next one
+            is_joint = np.zeros(len(spans) + 1, bool)
+            is_joint[joint] = True
+            after = np.append(start[1:], 0)  # where the next span begins
+            left = is_joint[of] & (place >= after[of])
+            right = (of > 0) & is_joint[of - 1] & (place < end[of - 1])
+            tag = lambda k, at, i: k << 36 | at << 16 | i
+            shared = np.intersect1d(tag(of[left], place[left] - after[of[left]], flat[left]), tag(of[right] - 1, place[right] - start[of[right]], flat[right]))
+            first, where = np.unique(shared >> 36, return_index=True)
+            cut = np.full(len(spans), -1, np.int64)
+            cut[first] = (shared[where] >> 16 & 0xFFFFF) + after[first]
+            low = np.where(np.append(False, is_joint[: len(spans) - 1]), np.append(0, cut[:-1]), 0)
+            failed = is_joint[: len(spans)] & ((cut < 0) | (cut < low))
+            if not failed.any():
+                high = np.where(is_joint[: len(spans)], cut, np.iinfo(np.int64).max)
+                keep = (place >= low[of]) & (place < high[of])
+                return flat[keep], np.concatenate([[0], np.cumsum(np.bincount(word[of[keep]], minlength=len(words)))])
+            spans = self._regrown(spans, failed, words)
+
+    @staticmethod
+    def _regrown(spans: list[tuple[int, int, int]], failed: np.ndarray, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """The spans, with every run of them that failed to meet cut anew into spans three times as long."""
+        out, i = [], 0
+        while i < len(spans):
+            j = i
+            while failed[j]:
+                j += 1
+            if j == i:
+                out.append(spans[i])
+            else:
+                k, begin, end = spans[i][0], spans[i][1], spans[j][2]
+                size = 3 * max(e - s for _, s, e in spans[i : j + 1])
+                if size > MAX_CHUNK:  # the whole word, in place of all its spans
+                    while out and out[-1][0] == k:
+                        out.pop()
+                    while j + 1 < len(spans) and spans[j + 1][0] == k:
+                        j += 1
+                    out.append((k, 0, len(words[k])))
+                else:
+                    out += [(k, s, min(s + size, end)) for s in range(begin, max(begin + 1, end - size // 2), size // 2)]
+            i = j + 1
+        return out
 
     def _decoded(self) -> Iterator[tuple[int, str, bytes]]:
         """(word, ids in decimal, bytes) of the table coded."""
