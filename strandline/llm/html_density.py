@@ -7,7 +7,7 @@ body, the text widens to the highest ancestor that is at least as dense as
 body itself, so an article that is cut into sections is taken whole. Beside it
 every subtree comes out that is at least as dense as the least dense node of the
 path, and the headings of what comes out; where the page marks its article, only
-further articles do. Lists of links go, but not those of the article itself. What
+further articles do. Lists of links go, but not those of the article itself or of the densest node. What
 markup names as menus, headers, footers, sidebars, notices, adverts, forms or
 reader comments never counts and never comes out.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,32 +51,54 @@ HEADER_WORDS = frozenset({"header", "head", "top"})
 LINKED_SHARE = 0.6
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
+#: What follows a word of NOT_MAIN_WORDS in the name of a part of a page, as in comment-list or ad-slot.
+PART_WORDS = frozenset(
+    "area bar block body bottom box button buttons container content column entry footer form header holder icons inner item items left link "
+    "links list listing module outer overlay panel popup post posts right section slot thread title toggle top unit wrap wrapper zone".split()
+)
+#: Elements that hold text themselves: a compound name says nothing against these.
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th caption figcaption span a b i em strong q cite code mark small sub sup u font summary".split())
+
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?:\s{_ATTRIBUTES})?/>|<({RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"\s+")
 
 
+def _names_boilerplate(word: str, tag: str, inside_main: bool) -> bool:
+    """Whether a class or id names a part of the page that isn't main text: comment, comment-5, comment-list, page-footer,
+    but not notice-board or has-sidebar; a text element only by the plain word."""
+    parts = [x for x in re.split(r"[-_]+|(?<=[a-z])(?=\d)", word) if x]
+    if not parts or parts[0] in ("has", "with", "no", "is", "js"):
+        return False
+    while len(parts) > 1 and parts[-1].isdigit():
+        parts.pop()
+    if len(parts) == 1:
+        return parts[0] in NOT_MAIN_WORDS or (not inside_main and parts[0] in HEADER_WORDS)
+    if tag in TEXT_ELEMENTS:
+        return False
+    if parts[-1] in NOT_MAIN_WORDS or (not inside_main and len(parts) < 3 and parts[-1] in HEADER_WORDS):
+        return True
+    return parts[0] in NOT_MAIN_WORDS and parts[-1] in PART_WORDS
+
+
 def _not_main(tag: str, attributes: str, inside_main: bool) -> bool:
     if tag in NOT_MAIN or (tag == "header" and not inside_main):
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
-    for name, *values in _NAMES.findall(attributes):
+    for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
         if name == "role" and value in NOT_MAIN_ROLES and not (value == "banner" and inside_main):
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                if parts[0] in ("has", "with", "no", "is", "js"):
-                    continue
-                if parts[0] in NOT_MAIN_WORDS or parts[-1] in NOT_MAIN_WORDS or (not inside_main and len(parts) < 3 and parts[-1] in HEADER_WORDS):
-                    return True
+        if name in ("class", "id") and any(_names_boilerplate(w, tag, inside_main) for w in value.split()):
+            return True
     return False
 
 
@@ -90,12 +113,13 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, links, mains, at = [0], 0, 0, 0
+        stack, links, mains, at, is_open = [0], 0, 0, 0, Counter()
         tags, parents, dead = self.tags, self.parents, self.dead
 
         def pop() -> None:
             nonlocal links, mains
             node = stack.pop()
+            is_open[tags[node]] -= 1
             self.ends[node] = len(self.events)
             links -= tags[node] == "a"
             mains -= tags[node] in ("article", "main")
@@ -122,15 +146,17 @@ class Page:
                 continue
             tag = tag.lower()
             if m[2]:
+                if not is_open[tag]:  # no need to look through all that is open
+                    continue
                 for depth in range(len(stack) - 1, 0, -1):
                     if tags[stack[depth]] == tag:
                         while len(stack) > depth:
                             pop()
                         break
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and is_open["p"]:
                 self._close(stack, {"p"}, pop)
-            if tag in SAME_CLOSES:
+            if tag in SAME_CLOSES and any(is_open[x] for x in SAME_CLOSES[tag]):
                 self._close(stack, SAME_CLOSES[tag], pop)
             node, parent = len(tags), stack[-1]
             tags.append(tag)
@@ -151,6 +177,7 @@ class Page:
                 self.ends[node] = len(self.events)
                 continue
             stack.append(node)
+            is_open[tag] += 1
             links += tag == "a"
             mains += tag in ("article", "main")
         if at < len(source):
@@ -170,8 +197,8 @@ class Page:
             if tag in SCOPES:
                 return
 
-    def main_nodes(self) -> tuple[bytearray, bytearray]:
-        """Flags of the nodes whose own text is main text, and of those that are dropped as lists of links."""
+    def measured(self) -> tuple[list[int], list[int], list[int], list[float], list[float], int]:
+        """chars, linked, links, density and density sum of every node, and the body's number."""
         n = len(self.tags)
         chars, linked, inner, links = self.chars[:], self.linked[:], [0] * n, [0] * n
         for i in range(n - 1, 0, -1):
@@ -180,9 +207,8 @@ class Page:
             p = self.parents[i]
             chars[p] += chars[i]
             linked[p] += linked[i]
-            own_link = self.tags[i] == "a"
             inner[p] += inner[i] + 1
-            links[p] += links[i] + own_link
+            links[p] += links[i] + (self.tags[i] == "a")
         body = next((i for i in range(n) if self.tags[i] == "body"), 0)
         body_chars, body_linked = max(1, chars[body]), linked[body]
 
@@ -197,6 +223,12 @@ class Page:
         sums = [0.0] * n
         for i in range(1, n):
             sums[self.parents[i]] += densities[i]
+        return chars, linked, links, densities, sums, body
+
+    def main_nodes(self) -> tuple[bytearray, bytearray]:
+        """Flags of the nodes whose own text is main text, and of those that are dropped as lists of links."""
+        n = len(self.tags)
+        chars, linked, links, densities, sums, body = self.measured()
         alive = [i for i in range(n) if not self.dead[i]]
         inside = [i for i in alive if i >= body] or [0]
         best = max(inside, key=lambda i: (sums[i], -i))
@@ -219,7 +251,7 @@ class Page:
                 i = self.parents[i]
         for i in range(1, n):
             p = self.parents[i]
-            inner[i] = inner[p] or i == article != up
+            inner[i] = inner[p] or i == article != up or i == best != up
             listed[i] = listed[p] or (not inner[i] and i not in above and self.tags[i] in BLOCK and links[i] >= 3 and linked[i] >= LINKED_SHARE * chars[i])
         return kept, listed
 
