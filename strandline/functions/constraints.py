@@ -92,3 +92,17 @@ def parse_constraint(text: Column) -> Column:
     pattern = r"([A-Za-z_][\w.\->\[\]]*)\s*(==|!=|<=|>=|<|>)\s*(-?[\w.]+)"
     part = lambda i: F.regexp_extract(text, pattern, i)
     return F.when(part(2) != "", F.struct(part(1).alias("variable"), part(2).alias("operator"), part(3).alias("value")))
+
+
+def requires_non_null(condition: Column, variable: Column) -> Column:
+    """Whether a condition holds only while a pointer isn't null, in a form that shows it: V, !!V, V != null or null != V, in
+    brackets or not. Everything else, the opposite and compound conditions included, is false."""
+    bare = F.regexp_replace(F.regexp_replace(condition, r"\b(?:nullptr|NULL|__null)\b", "0"), r"\s+", "")
+    part = lambda i: F.regexp_extract(bare, r"^(\(*)((?:!!)*)(?:([A-Za-z_]\w*)(?:!=0)?|0!=([A-Za-z_]\w*))(\)*)$", i)
+    return F.coalesce((F.concat(part(3), part(4)) == variable) & (F.length(part(1)) == F.length(part(5))), F.lit(False))
+
+
+def is_pointer_parameter(parameters: Column, variable: Column) -> Column:
+    """Whether a parameter list declares the variable as a pointer; function pointers never count."""
+    own = F.filter(F.split(parameters, ","), lambda p: ~p.rlike(r"[()]") & (F.regexp_extract(p, r"([A-Za-z_]\w*)[^A-Za-z_]*$", 1) == variable))
+    return F.coalesce(F.exists(own, lambda p: p.contains("*")), F.lit(False))

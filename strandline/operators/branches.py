@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import constraints as C
 from strandline.functions import text as X
 from strandline.operators.enumeration import keep_all_if_empty, top_candidates
-from strandline.operators.traces import MOST_PATHS, enumerate_paths, evaluated
+from strandline.operators.traces import MOST_PATHS, assumptions, enumerate_paths, evaluated
 
 
 def branch_verdict(condition: Column, taken: Column, constraint: Column) -> Column:
@@ -51,14 +51,15 @@ def direction_conflicts(events: DataFrame, macros: dict[str, str], key: str = "r
 
     events: key, step, message, condition, direction. Values are what the report assumes about names and what calls return,
     over all of the report's events, the last one winning. A condition with an unknown name makes no claim."""
-    assumed = r"Assuming (?:field )?'([^']+)' is equal to\s+([A-Za-z_]\w*|-?\d+)"
-    returned = F.regexp_extract("message", r"Returning the value\s+(-?\d+)", 1)
-    call = F.nullif(F.regexp_extract("message", r"Calling '([^']+)'", 1), F.lit(""))
+    said = lambda start: F.regexp_extract("message", rf"^\W*{start}\s+'?([^\s']+)", 1)
+    call = F.nullif(said("Calling"), F.lit(""))
     w = Window.partitionBy(key).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = events.withColumn("_call", F.last(call, ignorenulls=True).over(w))
-    name = F.when(F.regexp_extract("message", assumed, 1) != "", F.regexp_extract("message", assumed, 1)).when((returned != "") & F.col("_call").isNotNull(), F.col("_call"))
-    value = F.when(F.regexp_extract("message", assumed, 1) != "", F.regexp_extract("message", assumed, 2)).otherwise(returned)
-    facts = named.select(key, "step", name.alias("n"), value.alias("v")).where("n IS NOT NULL").groupBy(key, "n").agg(F.max(F.struct("step", "v"))["v"].alias("v"))
+    named = assumptions(events.withColumns({"line": F.lit(None).cast("int"), "_call": F.last(call, ignorenulls=True).over(w)}), keep_others=True)
+    equal = (F.col("operator") == "==") & F.lower("message").contains("assuming") & ~F.col("variable").startswith("condition@")
+    back = F.nullif(said("Returning the value"), F.lit(""))
+    name = F.when(equal, F.col("variable")).when(back.isNotNull(), F.col("_call"))
+    value = F.when(equal, F.col("value")).otherwise(back)
+    facts = named.select(key, "step", name.alias("n"), value.alias("v")).where("n IS NOT NULL AND v IS NOT NULL").groupBy(key, "n").agg(F.max(F.struct("step", "v"))["v"].alias("v"))
     known = facts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("n", "v"))).alias("_facts"))
     fixed = F.create_map(*[F.lit(x) for kv in macros.items() for x in kv]) if macros else F.create_map().cast("map<string,string>")
     asked = events.where("direction IS NOT NULL AND condition <> ''").join(known, key)

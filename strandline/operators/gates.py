@@ -5,23 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.constraints import is_pointer_parameter, requires_non_null
 
-def fabricated_entry_state(steps: DataFrame, key: str = "report_key") -> DataFrame:
-    """Reports whose path begins by assuming that a parameter is null and ends in a dereference of it, with no write or return value between that could make it so.
 
-    steps: key, step, kind, message. Result: key, variable, first_step, last_step. A report without such an assumption, or
-    with a later assumption or return about the variable, makes no claim."""
-    assumed = F.regexp_extract("message", r"(?i)Assuming (?:pointer value |')?'?([A-Za-z_]\w*)'? is null", 1)
+#: Names of checks that are always compiled and whose failing arm never returns; those that release builds leave out aren't among them.
+FATAL_CHECKS = ("CHECK",)
+
+
+def fabricated_entry_state(reports: DataFrame, steps: DataFrame, functions: DataFrame, checks: DataFrame, fatal: tuple[str, ...] = FATAL_CHECKS, key: str = "report_key") -> DataFrame:
+    """Reports whose assumed entry state their own path refutes: key, function, parameter, check_line, check_step, deref_line.
+
+    The path begins (after an error-start event at most) by assuming a null pointer; the null dereference at its end loads
+    a variable that is a pointer parameter of the function around it; an always-compiled check that fails for null stands
+    in that function before the dereference, and the path records its failing arm (direction true at its line) and walks
+    on. Nothing may store to the variable before the check. Whatever can't be shown makes no claim.
+
+    reports: key, bug_type; steps: key, step, kind, file, line, message, direction (null without one); functions: file, name,
+    parameters, low, high (lines); checks: file, line, macro, condition. Null columns count as nothing known."""
     ordered = Window.partitionBy(key).orderBy("step")
-    rows = steps.withColumns({"_v": assumed, "_n": F.row_number().over(ordered), "_last": F.max("step").over(Window.partitionBy(key))})
-    first = rows.where("_n = 1 AND _v <> ''").select(key, F.col("_v").alias("variable"), F.col("step").alias("first_step"))
-    named = F.col("message").rlike(r"") & F.expr("instr(message, variable) > 0")
-    later = rows.join(first, key).where("step > first_step")
-    per = later.groupBy(key, "variable", "first_step").agg(
-        F.max(F.when((F.col("step") == F.col("_last")) & (F.col("kind") == "report") & named, F.col("step"))).alias("last_step"),
-        F.max((F.col("step") < F.col("_last")) & named & F.col("kind").isin("assume", "return", "call")).alias("_touched"),
-    )
-    return per.where("last_step IS NOT NULL AND NOT _touched").select(key, "variable", "first_step", "last_step")
+    rows = steps.withColumn("_n", F.row_number().over(ordered))
+    start = F.col("kind") == "error_start"
+    begun = rows.groupBy(key).agg(F.min(F.when(~F.coalesce(start, F.lit(False)), F.struct("_n", "message"))).alias("_first"), F.max(F.struct("step", "file", "line", "message")).alias("_end"))
+    begun = begun.where((F.col("_first._n") <= 2) & F.col("_first.message").rlike(r"(?i)^\s*assuming\s+(?:the\s+)?pointer\s+value\s+is\s+null"))
+    loaded = F.regexp_extract("_end.message", r"""(?i)\b(?:loaded|read) from (?:the )?(?:variable|memory) ['"]([A-Za-z_]\w*)['"]""", 1)
+    ends = begun.select(key, loaded.alias("parameter"), F.col("_end.file").alias("file"), F.col("_end.line").alias("deref_line")).where("parameter <> ''")
+    asked = ends.join(reports.where(F.col("bug_type").rlike(r"(?i)null")).select(key).distinct(), key)
+    around = asked.join(functions.select("file", F.col("name").alias("function"), "parameters", "low", "high"), "file").where("deref_line BETWEEN low AND high")
+    around = around.where(is_pointer_parameter(F.col("parameters"), F.col("parameter")))
+    held = around.join(checks.where(F.col("macro").isin(*fatal)).select("file", F.col("line").alias("check_line"), "condition"), "file")
+    held = held.where("check_line BETWEEN low AND high AND check_line < deref_line").where(requires_non_null(F.col("condition"), F.col("parameter")))
+    failing = rows.where("direction").select(key, "file", F.col("line").alias("check_line"), "step")
+    taken = held.join(failing, [key, "file", "check_line"]).groupBy(key, "function", "parameter", "check_line", "deref_line").agg(F.min("step").alias("check_step"))
+    stored = rows.select(key, F.col("step").alias("_s"), F.regexp_extract("message", r"(?i)\b(?:stored|assigned) to (?:field |variable |the )*'([A-Za-z_]\w*)'", 1).alias("parameter"))
+    spoiled = taken.join(stored, [key, "parameter"]).where("_s < check_step").select(key, "parameter", "check_line").distinct()
+    return taken.join(spoiled, [key, "parameter", "check_line"], "left_anti").select(key, "function", "parameter", "check_line", "check_step", "deref_line")
 
 
 def no_path_verdict(reports: DataFrame, candidates: str, evidence: str) -> DataFrame:
@@ -33,15 +50,21 @@ def no_path_verdict(reports: DataFrame, candidates: str, evidence: str) -> DataF
 def explored_verdict(attempts: DataFrame, key: str = "report_key") -> DataFrame:
     """Verdict over the attempts on a report: key, verdict, reason, n_attempts.
 
-    attempts: key, verdict (TP, FP or UNKNOWN), leak boolean, exhausted boolean. A TP decides. Else agreement of at least
-    two (or all, if fewer) on a leak means FP, and so do attempts that are all FP once the space is exhausted."""
+    attempts: key, verdict (TP, FP or UNKNOWN), leak (the verdict is that of the ownership layer), conforms (the attempt kept
+    to the path asked for; null: it did), exhausted. A TP that isn't of the ownership layer decides. The ownership layer
+    decides FP if at least two conforming attempts (all, if fewer) say so and none says TP; attempts that contradict one
+    another there void it. Else FP takes attempts that are all FP in an exhausted space."""
+    leak, conforms = F.coalesce("leak", F.lit(False)), F.coalesce("conforms", F.lit(True))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     per = attempts.groupBy(key).agg(
-        F.count("*").alias("n_attempts"), F.coalesce(F.bool_or(F.col("verdict") == "TP"), F.lit(False)).alias("_tp"),
-        F.sum(F.when(F.col("leak"), 1).otherwise(0)).alias("_leaks"), F.coalesce(F.bool_and(F.coalesce(F.col("verdict"), F.lit("UNKNOWN")) == "FP"), F.lit(False)).alias("_fp"), F.coalesce(F.bool_or("exhausted"), F.lit(False)).alias("_done"),
+        F.count("*").alias("n_attempts"), count((F.col("verdict") == "TP") & ~leak).alias("_tp"), count((F.col("verdict") == "TP") & leak & conforms).alias("_for"),
+        count((F.col("verdict") == "FP") & leak & conforms).alias("_against"), F.coalesce(F.bool_and(F.coalesce("verdict", F.lit("UNKNOWN")) == "FP"), F.lit(False)).alias("_fp"),
+        F.coalesce(F.bool_or("exhausted"), F.lit(False)).alias("_done"),
     )
-    agreed = F.col("_leaks") >= F.least(F.lit(2), "n_attempts")
-    reason = F.when(F.col("_tp"), "reachable").when(agreed, "leak consensus").when(F.col("_done") & F.col("_fp"), "space exhausted").otherwise("undecided")
-    verdict = F.when(F.col("_tp"), "TP").when(agreed | (F.col("_done") & F.col("_fp")), "FP").otherwise("UNKNOWN")
+    agreed, void = (F.col("_for") == 0) & (F.col("_against") >= F.least(F.lit(2), "n_attempts")), (F.col("_for") > 0) & (F.col("_against") > 0)
+    every = F.col("_done") & F.col("_fp")
+    reason = F.when(F.col("_tp") > 0, "reachable").when(agreed, "leak consensus").when(every, "space exhausted").when(void, "leak contradiction").otherwise("undecided")
+    verdict = F.when(F.col("_tp") > 0, "TP").when(agreed | every, "FP").otherwise("UNKNOWN")
     return per.select(key, verdict.alias("verdict"), reason.alias("reason"), "n_attempts")
 
 

@@ -169,14 +169,16 @@ def implicit_false(events: DataFrame, controls: DataFrame, key: str = "report_ke
 
     events: key, step, kind, file, line, message. An assumption stands at the statement's line, no control event does, and
     either its text refutes the condition or the first later event at or after the body lies beyond it."""
-    w = Window.partitionBy(key).orderBy("step").rowsBetween(1, Window.unboundedFollowing)
-    later = events.withColumn("_later", F.collect_list(F.when(F.col("line") > 0, F.col("line"))).over(w))
     stated = events.where("kind = 'control'").select(key, "file", "line").distinct()
-    assumed = later.where("kind IN ('event', 'assume')").where(F.lower("message").contains("assuming")).join(stated, [key, "file", "line"], "left_anti")
+    assumed = events.where("kind IN ('event', 'assume')").where(F.lower("message").contains("assuming")).join(stated, [key, "file", "line"], "left_anti")
     joined = assumed.join(controls.select("file", "line", "condition", "body_start", "body_end"), ["file", "line"])
-    following = F.get(F.filter("_later", lambda x: x >= F.col("body_start")), F.lit(0))
-    proved = falsified(F.col("condition"), F.col("message")) | F.coalesce(following > F.col("body_end"), F.lit(False))
-    return joined.where(proved).groupBy(key, "file", "line").agg(F.min("step").alias("step"))
+    # the first later event at or after the body: a join inside the report, folded to one row per assumption and statement
+    after = events.where("line > 0").select(key, F.col("step").alias("_s"), F.col("line").alias("_l"))
+    met = (F.col("_s") > F.col("step")) & (F.col("_l") >= F.col("body_start"))
+    at = [key, "file", "line", "step", "condition", "message", "body_start", "body_end"]
+    held = joined.select(*at).join(after, key, "left").groupBy(*at).agg(F.min(F.when(met, F.struct("_s", "_l")))["_l"].alias("_following"))
+    proved = falsified(F.col("condition"), F.col("message")) | F.coalesce(F.col("_following") > F.col("body_end"), F.lit(False))
+    return held.where(proved).groupBy(key, "file", "line").agg(F.min("step").alias("step"))
 
 
 def short_circuits(events: DataFrame, controls: DataFrame, key: str = "report_key") -> DataFrame:
@@ -188,7 +190,7 @@ def short_circuits(events: DataFrame, controls: DataFrame, key: str = "report_ke
     says_true = ~says_false & text.rlike(r"is (?:non-null|true)\b|is (?:not equal to|equal to|[<>]=?)")
     said = events.where(text.contains("assuming")).select(key, "file", F.col("line").alias("_at"), says_true.alias("_true"), says_false.alias("_false"))
     first = F.get(F.col("operands"), F.lit(0))["line"]
-    chains = controls.where(F.size("operands") > 1).select("file", first.alias("_at"), F.explode(F.slice("operands", 2, 1000)).alias("o"))
+    chains = controls.where(F.size("operands") > 1).select("file", first.alias("_at"), F.explode(F.slice("operands", F.lit(2), F.size("operands"))).alias("o"))
     hit = said.join(chains, ["file", "_at"]).where((F.col("o.line") > F.col("_at")) & (((F.col("o.joined_by") == "||") & F.col("_true")) | ((F.col("o.joined_by") == "&&") & F.col("_false"))))
     return hit.select(key, "file", F.col("o.line").alias("line"), F.when(F.col("o.joined_by") == "||", "first operand is true").otherwise("first operand is false").alias("reason")).distinct()
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import ast
 import json
-import operator
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from strandline.operators.graph import settle
+from strandline.functions.c_expression import truth
+from strandline.operators.graph import fixpoint, settle
 from strandline.operators.joins import band_join
 
 #: Lines that a graph node may lie off an event's.
@@ -59,8 +57,8 @@ def path_annotations(events: DataFrame, predicates: DataFrame) -> DataFrame:
     return joined.select("function_name", "line", "taken")
 
 
-def assumptions(events: DataFrame, text: str = "message", line: str = "line") -> DataFrame:
-    """Adds variable, operator, value of what an event assumes or stores; events that do neither are left out. The first form that fits decides."""
+def assumptions(events: DataFrame, text: str = "message", line: str = "line", keep_others: bool = False) -> DataFrame:
+    """Adds variable, operator, value of what an event assumes or stores; events that do neither are left out, or kept with nulls. The first form that fits decides."""
     t = F.col(text)
     pick = lambda p, i: F.regexp_extract(t, p, i)
     state = r"(?i)Assuming (?:field |pointer value |)'?([\w.\->]+)'? is (true|false|null|non-null)"
@@ -79,7 +77,8 @@ def assumptions(events: DataFrame, text: str = "message", line: str = "line") ->
         .when(pick(null, 1) != "", s(pick(null, 1), F.lit("=="), F.lit("null")))
         .when(pick(stored, 2) != "", s(pick(stored, 2), F.lit("=="), pick(stored, 1)))
     )
-    return events.withColumn("_f", fact).where("_f IS NOT NULL").select(*events.columns, "_f.variable", "_f.operator", "_f.value")
+    found = events.withColumn("_f", fact)
+    return (found if keep_others else found.where("_f IS NOT NULL")).select(*events.columns, "_f.variable", "_f.operator", "_f.value")
 
 
 def line_alignment(probes: DataFrame, lines: DataFrame, key: str, reach: int = 8, least: int = 8) -> DataFrame:
@@ -106,7 +105,7 @@ def snippets(points: DataFrame, lines: DataFrame, point: str, key: str, radius:
     return per.select(point, "first_line", "last_line", F.array_join(F.transform("_l", lambda x: x["text"]), "\n").alias("snippet"))
 
 
-def interprocedural_slice(edges: DataFrame, seeds: DataFrame, refused: DataFrame | None = None, max_hops: int = 10, max_rounds: int = 200) -> DataFrame:
+def interprocedural_slice(edges: DataFrame, seeds: DataFrame, refused: DataFrame | None = None, max_hops: int = 10) -> DataFrame:
     """Backward slice whose depth counts hops between functions only: node, hops.
 
     edges: src, dst, kind ('data', 'control' or 'call'); seeds: node; refused: node, predicates on branches that the path
@@ -118,20 +117,17 @@ def interprocedural_slice(edges: DataFrame, seeds: DataFrame, refused: DataFrame
         back = back.join(no, "_to", "left").where("kind <> 'control' OR _no IS NULL").select("node", "_to", "kind")
     back = settle(back)
     inside, between = back.where("kind <> 'call'"), back.where("kind = 'call'")
-    found, level = None, settle(seeds.select("node").where("node IS NOT NULL").distinct())
+    found, level = None, seeds.select("node").where("node IS NOT NULL").distinct()
     for hop in range(max_hops + 1):
-        moving = level
-        for _ in range(max_rounds):
-            step = inside.join(moving, "node").select(F.col("_to").alias("node")).distinct().join(level, "node", "left_anti")
-            moving = settle(step if found is None else step.join(found.select("node"), "node", "left_anti"))
-            if moving.isEmpty():
-                break
-            level = settle(level.unionByName(moving))
-        here = level.withColumn("hops", F.lit(hop))
-        found = here if found is None else settle(found.unionByName(here))
-        level = settle(between.join(level, "node").select(F.col("_to").alias("node")).distinct().join(found.select("node"), "node", "left_anti"))
+        step = lambda moving, _: inside.join(moving, "node").select(F.col("_to").alias("node"))
+        level = fixpoint(level, step, ["node"])
+        if found is not None:
+            level = settle(level.join(found.select("node"), "node", "left_anti"))
         if level.isEmpty():
             break
+        here = level.withColumn("hops", F.lit(hop))
+        found = settle(here if found is None else found.unionByName(here))
+        level = between.join(level, "node").select(F.col("_to").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
     if refused is not None:
         found = found.join(refused.select("node").distinct(), "node", "left_anti")
     return found
@@ -222,48 +218,9 @@ def close_over_names(wanted: DataFrame, definitions: DataFrame, present: DataFra
     return fresh.groupBy("file").agg(F.min("name").alias("name")).orderBy("name").limit(most).select("name", "file")
 
 
-_OPERATORS = {
-    ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Mod: operator.mod, ast.BitAnd: operator.and_, ast.BitOr: operator.or_, ast.LShift: operator.lshift, ast.RShift: operator.rshift,
-    ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge,
-}
-_ROUNDS = 8
-
-
-def _value(node: ast.AST):
-    if isinstance(node, ast.Expression):
-        return _value(node.body)
-    if isinstance(node, ast.Constant) and isinstance(node.value, (int, float, bool)):
-        return node.value
-    if isinstance(node, ast.BoolOp):
-        parts = [bool(_value(v)) for v in node.values]
-        return all(parts) if isinstance(node.op, ast.And) else any(parts)
-    if isinstance(node, ast.UnaryOp):
-        v = _value(node.operand)
-        return (not v) if isinstance(node.op, ast.Not) else -v if isinstance(node.op, ast.USub) else ~v if isinstance(node.op, ast.Invert) else +v
-    if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
-        return _OPERATORS[type(node.op)](_value(node.left), _value(node.right))
-    if isinstance(node, ast.Compare) and all(type(o) in _OPERATORS for o in node.ops):
-        values = [_value(x) for x in (node.left, *node.comparators)]
-        return all(_OPERATORS[type(o)](a, b) for o, a, b in zip(node.ops, values, values[1:]))
-    raise ValueError
-
-
 def evaluate(expression: str | None, facts: dict[str, str] | None) -> bool | None:
-    """The truth of a C condition under known names; null if a name is unknown or the form isn't plain arithmetic."""
-    if not expression or len(expression) > 4000:
-        return None
-    known = dict(facts or {}) | {"nullptr": "0", "NULL": "0", "true": "1", "false": "0"}
-    text = expression
-    for _ in range(_ROUNDS):
-        new = re.sub(r"[A-Za-z_]\w*(?:(?:->|\.)\w+)*", lambda m: f"({known[m[0]]})" if m[0] in known else m[0], text)
-        if new == text or len(new) > 20_000:
-            break
-        text = new
-    text = re.sub(r"(?<=\d)[uUlL]+\b", "", re.sub(r"!(?!=)", " not ", text.replace("&&", " and ").replace("||", " or ")))
-    try:
-        return bool(_value(ast.parse(text.strip(), mode="eval")))
-    except (ValueError, SyntaxError, TypeError, ZeroDivisionError, RecursionError, MemoryError, OverflowError):
-        return None
+    """The truth of a C condition under known names, by C's rules; null where it isn't known."""
+    return truth(expression, facts)
 
 
 def evaluated(expression: Column, facts: Column) -> Column:
@@ -298,7 +255,7 @@ def repair(text: str | None) -> tuple[str | None, bool]:
             stack.pop()
         if not quoted:
             stops.append((i + 1, "".join(reversed(stack))))
-    for end, close in reversed(stops[-2000:]):
+    for end, close in reversed(stops):
         try:
             return json.dumps(json.loads(body[:end].rstrip().rstrip(",") + close), sort_keys=True), True
         except ValueError:

@@ -99,23 +99,29 @@ def normalized_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "callsite_count",
-    """WITH b AS (SELECT item_id, string_split(text, ' ')[1:5] AS w, len(string_split(text, ' ')) AS n FROM benchmark), k AS (SELECT item_id, array_to_string(w, ' ') AS passage FROM b WHERE n >= 5),
-    d AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents), s AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS passage FROM d, unnest(range(1, greatest(len(w) - 3, 1))) AS t(i)),
-    c AS (SELECT item_id, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM k JOIN s USING (passage) GROUP BY item_id)
-    SELECT item_id, CASE WHEN coalesce(n, 0) <= 20 THEN coalesce(n, 0) END AS n_sites, coalesce(n_docs, 0) AS n_docs FROM k LEFT JOIN c USING (item_id)""",
+    r"""WITH b AS (SELECT item_id, string_split(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS p FROM benchmark), k AS (SELECT item_id, p, len(p) AS n, array_to_string(p[1:5], ' ') AS key FROM b WHERE p <> ['']),
+    d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w FROM documents),
+    s AS (SELECT doc_id, i, array_to_string(w[i:i + z - 1], ' ') AS key FROM d, unnest(range(1, len(w) + 1)) AS t(i), (SELECT DISTINCT least(n, 5) AS z FROM k) WHERE i + z - 1 <= len(w)),
+    h AS (SELECT item_id, doc_id, i, p, n FROM k JOIN s USING (key)),
+    c AS (SELECT item_id, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM h JOIN d USING (doc_id) WHERE w[i:i + h.n - 1] = p GROUP BY item_id)
+    SELECT item_id, CASE WHEN coalesce(c.n, 0) <= 20 THEN coalesce(c.n, 0) END AS n_sites, coalesce(n_docs, 0) AS n_docs FROM k LEFT JOIN c USING (item_id)""",
 )
 def callsite_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each benchmark passage's first five words occur in the documents; more than 20 sites count as unknown (null).
-
-    Windows of five words are joined by equality with the few passages, instead of searching every text for every passage."""
-    words = F.split("text", " ")
-    keys = table(spark, sf_dir, "benchmark").where(F.size(words) >= 5).select("item_id", F.array_join(F.slice(words, 1, 5), " ").alias("passage"))
-    tokens = F.split(F.translate("text", "\n", " "), " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.alias("w")).where(F.size("w") >= 5)
-    windows = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.concat_ws(" ", *[F.element_at("w", i + j) for j in range(5)]))).alias("passage"))
-    counts = windows.join(keys, "passage").groupBy("item_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
-    n = F.coalesce("n", F.lit(0))
-    return keys.select("item_id").join(counts, "item_id", "left").select("item_id", F.when(n <= 20, n).alias("n_sites"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    """How often each benchmark passage occurs in the documents, word for word; more than 20 sites count as unknown (null).
+
+    A passage's first words, five at most, are its key: windows of as many words meet it by equality, and the passage is
+    then compared whole at that place. Passages without words are left out."""
+    words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
+    keys = table(spark, sf_dir, "benchmark").select("item_id", words.alias("p")).where("p <> array('')").withColumns({"n": F.size("p"), "key": F.xxhash64(F.array_join(F.slice("p", 1, 5), " "))})
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    sizes = sorted(r[0] for r in keys.select(F.least("n", F.lit(5))).distinct().collect())  # five values at most
+    window = lambda z: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - z + 1, F.lit(1))), lambda i: F.struct(i.alias("i"), F.xxhash64(F.array_join(F.slice("w", i, z), " ")).alias("key")))
+    windows = docs.select("doc_id", F.explode(F.concat(*map(window, sizes))).alias("s")).select("doc_id", "s.*") if sizes else docs.selectExpr("doc_id", "1 AS i", "0L AS key").limit(0)
+    hits = windows.join(keys, "key").select("item_id", "doc_id", "i", "p", "n")
+    found = hits.join(docs, "doc_id").where(F.slice("w", F.col("i"), F.col("n")) == F.col("p"))
+    counts = found.groupBy("item_id").agg(F.count("*").alias("k"), F.count_distinct("doc_id").alias("n_docs"))
+    k = F.coalesce("k", F.lit(0))
+    return keys.select("item_id").join(counts, "item_id", "left").select("item_id", F.when(k <= 20, k).alias("n_sites"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 @query("artifact_keys", r"""SELECT page_id, substr(regexp_replace(url, '[^\w.-]', '_', 'g'), 1, 80) AS key FROM pages""")

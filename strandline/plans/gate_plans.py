@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import gates as T
@@ -23,15 +23,47 @@ def unsat_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "explored_verdicts",
-    """WITH a AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS k, CASE event_type WHEN 'purchase' THEN 'TP' WHEN 'error' THEN 'FP' ELSE 'UNKNOWN' END AS v, value > 90 AS leak, true AS done FROM events),
-    g AS (SELECT k, count(*)::BIGINT AS n, bool_or(v = 'TP') AS tp, sum(CASE WHEN leak THEN 1 ELSE 0 END) AS l, bool_and(v = 'FP') AS fp FROM a GROUP BY k)
-    SELECT k AS report_key, CASE WHEN tp THEN 'TP' WHEN l >= least(2, n) OR fp THEN 'FP' ELSE 'UNKNOWN' END AS verdict, CASE WHEN tp THEN 'reachable' WHEN l >= least(2, n) THEN 'leak consensus' WHEN fp THEN 'space exhausted' ELSE 'undecided' END AS reason, n AS n_attempts FROM g""",
+    """WITH a AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS k, CASE event_type WHEN 'purchase' THEN 'TP' WHEN 'error' THEN 'FP' ELSE 'UNKNOWN' END AS v, value > 60 AS leak, value < 95 AS conforms FROM events),
+    g AS (SELECT k, count(*)::BIGINT AS n, count(*) FILTER (v = 'TP' AND NOT leak) AS tp, count(*) FILTER (v = 'TP' AND leak AND conforms) AS f, count(*) FILTER (v = 'FP' AND leak AND conforms) AS g, bool_and(v = 'FP') AS fp FROM a GROUP BY k),
+    o AS (SELECT *, f = 0 AND g >= least(2, n) AS agreed FROM g)
+    SELECT k AS report_key, CASE WHEN tp > 0 THEN 'TP' WHEN agreed OR fp THEN 'FP' ELSE 'UNKNOWN' END AS verdict, CASE WHEN tp > 0 THEN 'reachable' WHEN agreed THEN 'leak consensus' WHEN fp THEN 'space exhausted' WHEN f > 0 AND g > 0 THEN 'leak contradiction' ELSE 'undecided' END AS reason, n AS n_attempts FROM o""",
 )
 def explored_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     report = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
     verdict = F.when(F.col("event_type") == "purchase", "TP").when(F.col("event_type") == "error", "FP").otherwise("UNKNOWN")
-    return T.explored_verdict(events.select(report.alias("report_key"), verdict.alias("verdict"), (F.col("value") > 90).alias("leak"), F.lit(True).alias("exhausted")))
+    attempts = events.select(report.alias("report_key"), verdict.alias("verdict"), (F.col("value") > 60).alias("leak"), (F.col("value") < 95).alias("conforms"), F.lit(True).alias("exhausted"))
+    return T.explored_verdict(attempts)
+
+
+@query(
+    "fabricated_entry_states",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey) AS last FROM lineitem),
+    s AS (SELECT l_orderkey AS k, n::INTEGER AS step, (10 * n)::INTEGER AS line, l_returnflag AS f, l_linestatus = 'F' AS d, l_partkey % 3 AS p, l_suppkey % 4 AS q, n, last FROM r),
+    e AS (SELECT k, p AS v, line AS deref FROM s WHERE step = last),
+    a AS (SELECT k FROM s WHERE n = 1 AND f <> 'N'),
+    c AS (SELECT s.k, e.v, e.deref, min(s.step) AS step, s.line FROM s JOIN e ON s.k = e.k WHERE s.d AND s.q = 0 AND s.line < e.deref AND e.v < 2 GROUP BY ALL)
+    SELECT c.k AS report_key, 'f' || c.k AS "function", 'p' || c.v AS parameter, c.line AS check_line, c.step AS check_step, c.deref AS deref_line FROM c SEMI JOIN a ON a.k = c.k
+    WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = c.k AND s.step < c.step AND s.n > 1 AND s.f = 'A' AND s.p = c.v)""",
+)
+def fabricated_entry_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reports, their lines as steps: the first one may assume a null pointer, the last one dereferences one of the
+    pointer parameters p0 and p1 (p2 is no pointer), others take the failing arm of a check or store to a parameter."""
+    lines = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey")
+    file, p = F.concat(F.col("l_orderkey").cast("string"), F.lit(".c")), (F.col("l_partkey") % 3).cast("string")
+    lines = lines.withColumns({"_n": F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "_last": F.count("*").over(w)})
+    message = (
+        F.when(F.col("_n") == F.col("_last"), F.concat(F.lit("Dereference of null pointer (loaded from variable 'p"), p, F.lit("')")))
+        .when((F.col("_n") == 1) & (F.col("l_returnflag") != "N"), F.lit("Assuming pointer value is null"))
+        .when((F.col("_n") > 1) & (F.col("l_returnflag") == "A"), F.concat(F.lit("The value 0 is stored to 'p"), p, F.lit("'"))).otherwise(F.lit("Taking a branch"))
+    )
+    at = (10 * F.col("_n")).cast("int")
+    steps = lines.select(F.col("l_orderkey").alias("report_key"), F.col("_n").alias("step"), F.lit("event").alias("kind"), file.alias("file"), at.alias("line"), message.alias("message"), (F.col("l_linestatus") == "F").alias("direction"))
+    orders = lines.select("l_orderkey").distinct()
+    functions = orders.select(file.alias("file"), F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("name"), F.lit("char *p0, const T<int> * p1, int p2").alias("parameters"), F.lit(1).alias("low"), F.lit(1000).alias("high"))
+    held = lines.where("l_suppkey % 4 = 0").select(file.alias("file"), at.alias("line"), F.lit("CHECK").alias("macro"), F.explode(F.array(F.lit("(p0 != nullptr)"), F.lit("!!p1"), F.lit("p2"), F.lit("!p0"), F.lit("p1 == NULL"))).alias("condition"))
+    return T.fabricated_entry_state(orders.select(F.col("l_orderkey").alias("report_key"), F.lit("Dereference of null pointer").alias("bug_type")), steps, functions, held)
 
 
 @query(

@@ -67,10 +67,16 @@ def line_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.snippets(docs.select("doc_id", F.col("doc_id").alias("k"), F.lit(3).alias("at")), lines, "doc_id", "k", 1)
 
 
-@query("condition_evaluation", """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity >= 10 AND NOT (l_suppkey % 7 = 3) OR l_returnflag = 'R' AS holds FROM lineitem""")
+@query(
+    "condition_evaluation",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey::BIGINT AS s, l_quantity::BIGINT AS q, l_returnflag AS r, l_partkey % 6 AS form FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE form WHEN 0 THEN q >= 10 AND NOT (s % 7 = 3) OR r = 'R' WHEN 1 THEN (CASE WHEN q = 0 THEN 1 ELSE 0 END) = 1 WHEN 2 THEN true
+    WHEN 3 THEN s & 1 <> 0 WHEN 4 THEN (q - 60) % 7 = -3 WHEN 5 THEN CASE WHEN q < 10 THEN true END END AS holds FROM t""",
+)
 def condition_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A C condition with macros, evaluated under each row's facts."""
+    """C conditions with macros, evaluated under each row's facts: precedence, truth values, remainders and unknown names as in C."""
     rows = table(spark, sf_dir, "lineitem")
-    text = lambda c: F.col(c).cast("string")
-    facts = F.create_map(F.lit("LIMIT"), F.lit("10"), F.lit("q->n"), text("l_quantity"), F.lit("key"), text("l_suppkey"), F.lit("returned"), F.when(F.col("l_returnflag") == "R", "true").otherwise("false"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", T.evaluated(F.lit("q->n >= LIMIT && !(key % 7 == 3) || returned"), facts).alias("holds"))
+    text = lambda c: F.col(c).cast("long").cast("string")
+    facts = F.create_map(F.lit("LIMIT"), F.lit("(5 * 2u)"), F.lit("q->n"), text("l_quantity"), F.lit("key"), text("l_suppkey"), F.lit("returned"), F.when(F.col("l_returnflag") == "R", "true").otherwise("false"))
+    forms = ["q->n >= LIMIT && !(key % 7 == 3) || returned", "!q->n == 1", "0 < key > -1", "key & 1 == 1", "(q->n - 60) % 7 == -3", "q->n < LIMIT || other(q->n)"]
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", T.evaluated(F.element_at(F.array(*map(F.lit, forms)), (F.col("l_partkey") % 6 + 1).cast("int")), facts).alias("holds"))

@@ -22,18 +22,47 @@ METADATA = {
 #: The number of a path's last event.
 END_OF_PATH = 9999
 
-_MARKER = re.compile(
-    r"""(?P<file><h4[^>]*\bclass=["']?FileName["']?[^>]*>(?P<name>.*?)</h4>)|(?P<table><table[^>]*\bclass=["']?code["']?[^>]*>)"""
-    r"""|(?P<row><tr\s+class="codeline"[^>]*?data-linenumber="(?P<line>\d+)"[^>]*>)|(?P<event><div\s+id="(?:Path(?P<number>\d+)|EndPath)"\s+class="msg\s+msg(?P<type>\w+)"[^>]*>)"""
-    r"""|(?P<open><div\b[^>]*>)|(?P<close></div\s*>)""",
-    re.S,
-)
-_TAG = re.compile(r"<[^>]+>")
-_POPUP = re.compile(r"""<(\w+)[^>]*\bclass\s*=\s*["']?[^"'>]*(?:macro_popup|variable_popup)[^>]*>""", re.I)
+# The ids and class names by which a report marks its parts.
+FILE_NAME, LISTING, LISTING_LINE, LINE_NUMBER, BOX, LAST_BOX = "FileName", "code", "codeline", "data-linenumber", "msg", "EndPath"
+POPUPS = frozenset({"macro_popup", "variable_popup"})
+
+_TAG = re.compile(r"""<(/?)([A-Za-z][\w-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {name.lower(): "".join(values) for name, *values in _ATTRIBUTE.findall(text)}
 
 
 def _plain(markup: str) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"^\d+\s+", "", entities.unescape(_TAG.sub(" ", markup)).strip())).strip()
+    """Text without tags, a box's leading number left out."""
+    words = entities.unescape(_TAG.sub(" ", markup)).split()
+    return " ".join(words[1:] if len(words) > 1 and words[0].isdigit() else words)
+
+
+def _marks(source: str) -> Iterator[tuple[str, str, int, int]]:
+    """(mark, value, start, end) of the tags that matter: file, listing, line, box, open, close."""
+    for m in _TAG.finditer(source):
+        tag = m[2].lower()
+        if tag == "div" and m[1]:
+            yield "close", "", m.start(), m.end()
+        if m[1] or tag not in ("h4", "table", "tr", "div"):
+            continue
+        has = _attributes(m[3])
+        classes, name = has.get("class", "").split(), has.get("id", "")
+        if tag == "h4" and FILE_NAME in classes:
+            yield "file", _plain(source[m.end() : max(m.end(), source.find("</h4", m.end()))]), m.start(), m.end()
+        elif tag == "table" and LISTING in classes:
+            yield "listing", "", m.start(), m.end()
+        elif tag == "tr" and LISTING_LINE in classes and has.get(LINE_NUMBER, "").isdigit():
+            yield "line", has[LINE_NUMBER], m.start(), m.end()
+        elif tag == "div":
+            number = str(END_OF_PATH) if name == LAST_BOX else name.removeprefix("Path")
+            kinds = [c.removeprefix(BOX) for c in classes if c.startswith(BOX) and c != BOX]
+            if BOX in classes and kinds and number.isdigit() and number != name:
+                yield "box", f"{number} {kinds[0].lower()}", m.start(), m.end()
+            else:
+                yield "open", "", m.start(), m.end()
 
 
 def scan_events(source: str, fallback: str) -> list[dict]:
@@ -44,50 +73,56 @@ def scan_events(source: str, fallback: str) -> list[dict]:
     found, open_boxes = [], []
     named = section = None
     line = 0
-    for m in _MARKER.finditer(source):
-        if m["file"]:
-            named = _plain(m["name"])
-        elif m["table"]:
+    for mark, value, start, end in _marks(source):
+        if mark == "file":
+            named = value
+        elif mark == "listing":
             section, named = named or fallback, None
-        elif m["row"]:
-            line = int(m["line"])
-        elif m["event"]:
-            open_boxes.append(({"path_number": int(m["number"] or END_OF_PATH), "event_type": m["type"].lower(), "line": line, "file": section or fallback, "at": len(found) + len(open_boxes)}, m.end()))
-        elif m["open"]:
-            open_boxes.append((None, m.end()))
-        elif m["close"] and open_boxes:
-            event, start = open_boxes.pop()
+        elif mark == "line":
+            line = int(value)
+        elif mark == "box":
+            number, kind = value.split(" ")
+            open_boxes.append(({"path_number": int(number), "event_type": kind, "line": line, "file": section or fallback, "at": len(found) + len(open_boxes)}, end))
+        elif mark == "open":
+            open_boxes.append((None, end))
+        elif open_boxes:
+            event, begun = open_boxes.pop()
             if event:
-                found.append(event | {"text": _plain(source[start : m.start()])})
+                found.append(event | {"text": _plain(source[begun:start])})
     return sorted(found, key=lambda e: (e["path_number"], e["at"]))
 
 
 def scan_lines(source: str, fallback: str) -> list[tuple[str, int, str]]:
     """(file, line, text) of the embedded listings, pop-ups left out."""
     out, named, section = [], None, None
-    for m in _MARKER.finditer(source):
-        if m["file"]:
-            named = _plain(m["name"])
-        elif m["table"]:
+    for mark, value, _, end in _marks(source):
+        if mark == "file":
+            named = value
+        elif mark == "listing":
             section, named = named or fallback, None
-        elif m["row"]:
-            end = source.find("</tr>", m.end())
-            cell = source[m.end() : end if end >= 0 else len(source)]
-            cell = cell.partition('class="line"')[2].partition(">")[2]
-            out.append((section or fallback, int(m["line"]), entities.unescape(_TAG.sub("", _without_popups(cell))).rstrip()))
+        elif mark == "line":
+            close = source.find("</tr>", end)
+            out.append((section or fallback, int(value), _listed(source[end : close if close >= 0 else len(source)])))
     return out
 
 
-def _without_popups(cell: str) -> str:
-    while m := _POPUP.search(cell):
-        depth, at = 1, m.end()
-        for t in re.finditer(rf"<(/?){m[1]}\b[^>]*>", cell[m.end() :], re.I):
-            depth += -1 if t[1] else 1
-            at = m.end() + t.end()
-            if not depth:
-                break
-        cell = cell[: m.start()] + (cell[at:] if not depth else "")
-    return cell
+def _listed(row: str) -> str:
+    """The text of a row's cell of class line: one walk over its tags, silent inside pop-ups."""
+    out, at, inside, popup, depth = [], 0, False, "", 0
+    for m in _TAG.finditer(row):
+        if inside and not depth:
+            out.append(row[at : m.start()])
+        at, tag = m.end(), m[2].lower()
+        if depth:
+            depth += 0 if tag != popup else -1 if m[1] else 1
+        elif not m[1]:
+            classes = set(_attributes(m[3]).get("class", "").split())
+            inside = inside or (tag == "td" and "line" in classes)
+            if inside and classes & POPUPS:
+                popup, depth = tag, 1
+    if inside and not depth:
+        out.append(row[at:])
+    return entities.unescape("".join(out)).rstrip()
 
 
 def metadata(content: Column) -> Column:
@@ -130,20 +165,22 @@ def classify(raw: DataFrame) -> DataFrame:
     """Adds kind, direction (null where the report names none), callee, assumption.
 
     In order: error start, call, end of path, control markup, return, assumption, report, plain event."""
-    text = F.col("text")
-    pick = lambda pattern, i=1: F.regexp_extract(text, pattern, i)
-    callee = pick(r"Calling '([^']+)'")
-    returning = pick(r"Returning from '?([^'→]+)'?")
-    assumed = pick(r"(?i)^\s*(?:←\s*)?(Assuming\s+.+?)(?:\s*→)?\s*$")
+    # what a box says, without the arrows around it; as words for what it says of a direction
+    said = F.regexp_replace("text", r"^[^\w']+|[^\w'\")\].]+$", "")
+    words = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(said), r"[^a-z]+"), lambda w: w != ""), " "), F.lit(" "))
+    says = lambda word: words.contains(f" {word} branch ") | words.contains(f" condition is {word} ")
+    direction = F.when(says("true"), True).when(says("false"), False)
+    after = lambda start: F.when(said.contains(start), F.substring_index(said, start, -1))
+    callee = F.coalesce(F.when(said.contains("Calling '"), F.substring_index(after("Calling '"), "'", 1)), F.lit(""))
+    returning = F.coalesce(F.translate(after("Returning from "), "'", ""), F.lit(""))
+    assumed = F.when(F.lower(said).startswith("assuming "), said).otherwise("")
     kind = (
-        F.when(F.lower(text).contains("error start"), "error_start").when(callee != "", "call").when(F.col("path_number") == END_OF_PATH, "report")
+        F.when(F.lower("text").contains("error start"), "error_start").when(callee != "", "call").when(F.col("path_number") == END_OF_PATH, "report")
         .when(F.col("event_type") == "control", "control").when(returning != "", "return").when(assumed != "", "assume").when(F.col("event_type") == "report", "report").otherwise("event")
     )
-    named = F.lower(F.coalesce(*[F.nullif(pick(p), F.lit("")) for p in (r"(?i)Taking (true|false) branch", r"(?i)Loop condition is (true|false)", r"(?i)'\?'\s+condition\s+is\s+(true|false)")]))
-    stated = F.lower(F.nullif(F.regexp_extract(assumed, r"(?i)condition\s+is\s+(true|false)", 1), F.lit("")))
     typed = raw.withColumn("kind", kind)
     return typed.withColumns({
-        "direction": F.when(F.col("kind") == "control", named == "true").when(F.col("kind") == "assume", stated == "true"),
+        "direction": F.when(F.col("kind").isin("control", "assume"), direction),
         "callee": F.when(F.col("kind") == "call", callee).when(F.col("kind") == "return", F.trim(returning)).otherwise(""),
         "assumption": F.when(F.col("kind") == "assume", F.trim(assumed)).otherwise(""),
     })

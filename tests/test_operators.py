@@ -115,16 +115,40 @@ def test_combinations_equal_the_ranked_product(spark):
 
 
 def test_verdicts_stay_conservative(spark):
-    rows = [("a", "FP", True, False), ("a", "FP", True, False), ("b", "FP", False, False), ("c", "TP", True, True), ("c", "FP", True, True), ("d", "FP", False, True), ("e", None, None, None)]
-    found = gates.explored_verdict(spark.createDataFrame(rows, "report_key string, verdict string, leak boolean, exhausted boolean"))
-    assert {r["report_key"]: r["verdict"] for r in found.collect()} == {"a": "FP", "b": "UNKNOWN", "c": "TP", "d": "FP", "e": "UNKNOWN"}
-
-
-def test_entry_state_gate_makes_no_claim_when_the_variable_is_touched(spark):
     rows = [
-        ("yes", 1, "assume", "Assuming 'p' is null"), ("yes", 2, "event", "walks on"), ("yes", 3, "report", "Dereference of null pointer p"),
-        ("no", 1, "assume", "Assuming 'p' is null"), ("no", 2, "return", "Returning null into p"), ("no", 3, "report", "Dereference of p"),
-        ("other", 1, "event", "starts"), ("other", 2, "report", "Dereference of p"),
+        ("a", "FP", True, None, False), ("a", "FP", True, True, False), ("b", "FP", False, None, False), ("c", "TP", False, None, True), ("c", "FP", True, None, True), ("d", "FP", False, None, True), ("e", None, None, None, None),
+        ("contradiction", "FP", True, None, True), ("contradiction", "FP", True, None, True), ("contradiction", "TP", True, None, True),
+        ("one witness", "FP", True, None, False), ("one witness", "UNKNOWN", False, None, False), ("strays", "FP", True, False, False), ("strays", "FP", True, False, False),
     ]
-    found = gates.fabricated_entry_state(spark.createDataFrame(rows, "report_key string, step int, kind string, message string"))
-    assert [tuple(r) for r in found.collect()] == [("yes", "p", 1, 3)]
+    found = gates.explored_verdict(spark.createDataFrame(rows, "report_key string, verdict string, leak boolean, conforms boolean, exhausted boolean"))
+    assert {r["report_key"]: (r["verdict"], r["reason"]) for r in found.collect()} == {
+        "a": ("FP", "leak consensus"), "b": ("UNKNOWN", "undecided"), "c": ("TP", "reachable"), "d": ("FP", "space exhausted"), "e": ("UNKNOWN", "undecided"),
+        "contradiction": ("UNKNOWN", "leak contradiction"), "one witness": ("UNKNOWN", "undecided"), "strays": ("UNKNOWN", "undecided"),
+    }
+
+
+STEPS = [(1, "event", 5, "Assuming pointer value is null", None), (2, "event", 7, "Taking true branch", True), (3, "report", 9, "Dereference of null pointer (loaded from variable 'out')", None)]
+CHANGED = {
+    "holds": {}, "error start first": {"before": (0, "error_start", 5, "Error Start", None)}, "brackets": {"condition": "((out != nullptr))"}, "twice not": {"condition": "!!out"},
+    "other claim first": {"before": (0, "event", 4, "Calling 'f'", None), "none": True}, "opposite": {"condition": "out == nullptr", "none": True}, "one not": {"condition": "!out", "none": True},
+    "compound": {"condition": "out != nullptr && n", "none": True}, "other variable": {"condition": "outer != nullptr", "none": True}, "value parameter": {"parameters": "int out", "none": True},
+    "a longer name": {"parameters": "char *outer, int out", "none": True}, "not taken": {"direction": False, "none": True}, "no direction": {"direction": None, "none": True}, "after the dereference": {"check_line": 11, "none": True},
+    "left out of releases": {"macro": "DCHECK", "none": True}, "outside": {"high": 8, "none": True}, "no null bug": {"bug": "Memory leak", "none": True}, "stored before": {"between": (1.5, "event", 6, "Value 0 is assigned to 'out'", None), "none": True},
+}
+
+
+def test_entry_state_gate_claims_only_what_it_can_show(spark):
+    reports, steps, functions, checks = [], [], [], []
+    for k, c in CHANGED.items():
+        reports.append((k, c.get("bug", "Dereference of null pointer")))
+        for n, kind, line, message, direction in [*STEPS, *[c[x] for x in ("before", "between") if x in c]]:
+            if direction is not None:
+                direction, line = c.get("direction", direction), c.get("check_line", line)
+            steps.append((k, float(n), kind, k, line, message, direction))
+        functions.append((k, "f", c.get("parameters", "const T *in, char *out"), 3, c.get("high", 20)))
+        checks.append((k, c.get("check_line", 7), c.get("macro", "CHECK"), c.get("condition", "out != NULL")))
+    found = gates.fabricated_entry_state(
+        spark.createDataFrame(reports, "report_key string, bug_type string"), spark.createDataFrame(steps, "report_key string, step double, kind string, file string, line int, message string, direction boolean"),
+        spark.createDataFrame(functions, "file string, name string, parameters string, low int, high int"), spark.createDataFrame(checks, "file string, line int, macro string, condition string"),
+    )
+    assert {r["report_key"] for r in found.collect()} == {k for k, c in CHANGED.items() if not c.get("none")}

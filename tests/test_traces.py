@@ -91,6 +91,14 @@ def test_conditions_and_repairs():
     assert T.evaluate("n == 8 && !p->x", facts) is True and T.evaluate("n < 8 || p->x", facts) is False
     assert T.evaluate("unknown > 1", facts) is None and T.evaluate("f(1)", facts) is None and T.evaluate(None, facts) is None and T.evaluate("1 / 0", {}) is None
     assert T.evaluate("a", {"a": "a + a"}) is None
+    as_in_c = {
+        "!x == 1": False, "a < b < c": True, "x & 2 == 2": False, "-7 % 3 == -1": True, "-7 / 2 == -3": True, "1 ? 0 : 1": False, "0 ? 0 : x ? 0 : 1": False, "x == 2 ? 3 : 0": True, "'a' == 97": True, "'\\n' == 10": True,
+        "0x10 == 16 && 010 == 8u": True, "1 << 3 >> 2 == 2": True, "1 | 2 ^ 3 & 4": True, "~0 == -1": True, "1.5 * 2 == 3": True, "f(1, (2)) || 1": True, "f(1) && 0": False, "1 || 1 / 0": True, "u && 1": None, "u ? 1 : 1": True,
+        "u ? 1 : 0": None, "arr[2] == 1": None, "(int)x": None, "1 +": None, "": None, "x = 1": None, "1 2": None, "(": None, ")": None, "1 ? 2": None, "1 : 2": None, "null == 0": True, "--x == 2": None, "f(\"a)\", x) || x": True, "x, 1": None, "(1": None,
+    }
+    for text, holds in as_in_c.items():
+        assert T.evaluate(text, {"x": "2", "a": "3", "b": "2", "c": "2"}) is holds, text
+    assert T.evaluate(" && ".join(["(1 + 1 == 2)"] * 5_000), {}) is True and T.evaluate("(" * 5_000 + "1" + ")" * 5_000, {}) is True
     assert T.repair('text {"a": [1, 2]} more') == ('{"a": [1, 2]}', False)
     document, cut = T.repair('{"a": [{"b": "x\\"y"}, {"b": "cut')
     assert cut and json.loads(document)["a"][0] == {"b": 'x"y'}
