@@ -2,7 +2,7 @@
 
 Tokens are counted per cell (source, language, topic). Raking scales the cells
 in turn so that the weights of all sources, then of all languages, then of all
-topics meet their targets, ROUNDS times over; a cell's ratio of raked to
+topics meet their targets, until all do; a cell's ratio of raked to
 observed tokens is its calibration. A document is drawn with the probability
 min(1, c * ratio), c being such that the expected tokens are the wanted
 fraction of all; the draw is a hash of seed, id and text, so it is the same
@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from strandline.llm._store import fresh_name, materialize, text_or_empty
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS = 12
+#: Raking ends when no margin is farther from its target than this share, or when a block of rounds gets no nearer.
+TOLERANCE = 1e-7
+# Fixed value: scripts without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Rounds in one plan; the cell table is written between such blocks.
 ROUNDS_PER_PLAN = 4
 #: A margin without given targets gets its observed shares to this power: below 1, small parts gain weight.
@@ -33,19 +36,19 @@ BROADCAST_CELLS = 50_000
 
 
 def topic_of(text: Column) -> Column:
-    """The kind of writing by its form: symbols, table, note, long or prose; the empty text is a note."""
+    """The kind of writing by its form, at any length: symbols, table, list (a line end for every 60 characters or more) or prose."""
     n = F.length(text)
     without = n - F.length(F.translate(text, "#$%&*{}<>=\\", ""))
     bars = n - F.length(F.replace(text, F.lit(" | "), F.lit("")))
-    return (
-        F.when(n < 400, "note").when(without * 20 > n, "symbols").when(bars * 20 > n, "table").when(n > 8000, "long").otherwise("prose")
-    )
+    ends = n - F.length(F.translate(text, "\n", ""))
+    return F.when(without * 20 > n, "symbols").when(bars * 20 > n, "table").when(ends * 60 > n, "list").otherwise("prose")
 
 
 def tokens_of(text: Column) -> Column:
-    """Words as spaces and line ends separate them, 1 at least for any text that is not empty."""
-    gaps = F.length(text) - F.length(F.translate(text, " \n\t", ""))
-    return F.when(F.length(text) == 0, 0).otherwise(gaps + 1).cast("long")
+    """Runs of anything but white space, and each character of the scripts that set no space between words."""
+    runs = F.length(F.translate(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x"), " \t\n\x0b\x0c\r", ""))
+    unspaced = F.length(text) - F.length(F.regexp_replace(text, UNSPACED, ""))
+    return (runs + F.when(F.octet_length(text) > F.length(text), unspaced).otherwise(0)).cast("long")
 
 
 def _shares(cells: DataFrame, margin: str, targets: dict[str, float] | None, power: float) -> Column:
@@ -63,7 +66,7 @@ def _together(cells: DataFrame, few: bool) -> DataFrame:
     return cells.coalesce(1) if few else cells
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """cells has the MARGINS and tokens (positive); adds weight, the raked share of all tokens, and ratio to the observed one."""
     targets = targets or {}
     total, n_cells = cells.agg(F.sum("tokens"), F.count("*")).first()
@@ -77,30 +80,43 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     for m in MARGINS:
         norms[m] = now.groupBy(m).agg(F.first(f"_t_{m}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
     now = _together(now, few).withColumns({f"_t_{m}": F.col(f"_t_{m}") / F.lit(norms[m]) for m in MARGINS})
-    for r in range(rounds):
-        for m in MARGINS:
-            now = now.withColumn("weight", F.col("weight") * F.col(f"_t_{m}") / F.sum("weight").over(Window.partitionBy(m)))
-        if r % ROUNDS_PER_PLAN == ROUNDS_PER_PLAN - 1:
-            now = _together(materialize(now, "cells"), few)
-    return now.select(*MARGINS, "tokens", "weight", (F.col("weight") * F.col("_all") / F.col("tokens")).alias("ratio"))
+    before = None
+    while True:
+        for _ in range(ROUNDS_PER_PLAN):
+            for m in MARGINS:
+                now = now.withColumn("weight", F.col("weight") * F.col(f"_t_{m}") / F.sum("weight").over(Window.partitionBy(m)))
+        now = _together(materialize(now, "cells"), few)
+        left = residual(now)
+        if left <= TOLERANCE or (before is not None and left > 0.5 * before):  # targets that contradict each other are met as near as rounds come
+            return now.select(*MARGINS, "tokens", "weight", (F.col("weight") * F.col("_all") / F.col("tokens")).alias("ratio"))
+        before = left
+
+
+def residual(weighted: DataFrame) -> float:
+    """The largest gap between a margin value's weight and its target; weighted has the MARGINS, weight and each target as _t_ and its margin."""
+    gaps = [weighted.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"_t_{m}")).alias("gap")).agg(F.max("gap")).first()[0] for m in MARGINS]
+    return max(g or 0.0 for g in gaps)
 
 
 def calibrate(raked: DataFrame, fraction: float) -> DataFrame:
-    """Adds probability = min(1, c * ratio), with c such that the expected tokens are the fraction of all (all, if that takes more than everything)."""
-    by = Window.orderBy(F.col("ratio").desc(), *MARGINS)  # over cells, not documents
-    upto = by.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(1))
-    # with the cells of the highest ratios capped at 1, the rest share what is left in proportion to ratio * tokens
-    table = raked.withColumns({"_mass": F.col("ratio") * F.col("tokens")})
-    table = table.withColumns({
-        "_full": F.coalesce(F.sum("tokens").over(upto), F.lit(0)), "_used": F.coalesce(F.sum("_mass").over(upto), F.lit(0.0)),
-        "_tokens": F.sum("tokens").over(every), "_masses": F.sum("_mass").over(every),
-    })
-    scale = (F.lit(float(fraction)) * F.col("_tokens") - F.col("_full")) / (F.col("_masses") - F.col("_used"))
-    table = table.withColumn("_c", F.when(F.col("_masses") > F.col("_used"), scale))
-    # the first cell, from the highest ratio down, that its own scale leaves at 1 or below gives the scale for all from there on
-    table = table.withColumn("_scale", F.max(F.when(F.col("_c") * F.col("ratio") <= 1 + 1e-12, F.struct(-F.col("_full"), F.col("_c").alias("c")))).over(every)["c"])
-    return table.select(*MARGINS, "tokens", "weight", "ratio", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("_scale") * F.col("ratio"), F.lit(1.0)))).alias("probability"))
+    """Adds probability = min(1, c * ratio), with c such that the expected tokens are the fraction of all (all, if that takes more than everything).
+
+    Cells that reach 1 hold their tokens, the others share what is left; c grows with each round until no further cell
+    reaches 1. A round is one aggregation over the cells, wherever they lie."""
+    mass = F.col("ratio") * F.col("tokens")
+    total, every = raked.agg(F.sum("tokens"), F.sum(mass)).first()
+    wanted, c = float(fraction) * float(total or 0), 0.0
+    if every:
+        c, new = -1.0, wanted / every
+        while new > c * (1 + 1e-12):
+            c = new
+            held, free = raked.agg(F.sum(F.when(F.col("ratio") * c >= 1, F.col("tokens"))), F.sum(F.when(F.col("ratio") * c < 1, mass))).first()
+            if not free:
+                c = float("inf")
+                break
+            new = (wanted - float(held or 0)) / free
+    p = F.lit(1.0) if c == float("inf") else F.least(F.lit(1.0), F.col("ratio") * c)
+    return raked.select(*MARGINS, "tokens", "weight", "ratio", p.alias("probability"))
 
 
 def draw(seed: int, *columns: Column) -> Column:

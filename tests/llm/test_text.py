@@ -213,3 +213,46 @@ def test_toxicity_edges(spark):
     assert kept.columns == df.columns and kept.count() == 44 - found[None]
     nothing = toxicity.train(df, labels.where("toxic = 0"))
     assert toxicity.drop_toxic(df, nothing).count() == df.count() and toxicity.grade_toxicity(df.limit(0), model).count() == 0
+
+
+def brute_rake(cells, targets, rounds=400):
+    """Shares of (source, lang, topic) cells raked one margin after the other."""
+    total = sum(cells.values())
+    w = {k: v / total for k, v in cells.items()}
+    for _ in range(rounds):
+        for m in range(3):
+            sums = Counter()
+            for k, v in w.items():
+                sums[k[m]] += v
+            w = {k: v * targets[m][k[m]] / sums[k[m]] for k, v in w.items()}
+    return w
+
+
+def test_raking_and_calibration_equal_brute_force(spark):
+    rng = random.Random(12)
+    cells = {(s, l, t): rng.randrange(1, 9_000) for s in "abcd" for l in "xyz" for t in "pq" if rng.random() < 0.9}
+    total, powers = sum(cells.values()), (0.5, 0.7, 1.0)
+    targets = []
+    for m, power in enumerate(powers):
+        sums = Counter()
+        for k, v in cells.items():
+            sums[k[m]] += v
+        shares = {k: (v / total) ** power for k, v in sums.items()}
+        targets.append({k: v / sum(shares.values()) for k, v in shares.items()})
+    wanted = brute_rake(cells, targets)
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
+    found = mixing.calibrate(mixing.rake(df), 0.6).collect()
+    ratio = {k: wanted[k] * total / v for k, v in cells.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):  # by bisection
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(1, c * ratio[k]) * v for k, v in cells.items()) < 0.6 * total else (low, c)
+    for r in found:
+        k = (r["source"], r["lang"], r["topic"])
+        assert r["weight"] == pytest.approx(wanted[k], rel=1e-4) and r["probability"] == pytest.approx(min(1, c * ratio[k]), rel=1e-4)
+
+
+def test_tokens_count_by_script(spark):
+    texts = {"": 0, " \n\t": 0, " " * 500: 0, "one two\nthree": 3, "漢字かな": 5, "ab 漢字 cd": 5, "naïve  déjà": 2}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.tokens_of(F.col("text")).alias("n")).collect()
+    assert {r["text"]: r["n"] for r in rows} == texts
