@@ -23,8 +23,8 @@ from strandline.llm._store import fresh_name, materialize, text_or_empty
 MARGINS = ("source", "lang", "topic")
 #: Raking ends when no margin is farther from its target than this share, or when a block of rounds gets no nearer.
 TOLERANCE = 1e-7
-# Fixed value: scripts without spaces between words.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+# Code points of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Kana, Han).
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3041-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 #: Rounds in one plan; the cell table is written between such blocks.
 ROUNDS_PER_PLAN = 4
 #: A margin without given targets gets its observed shares to this power: below 1, small parts gain weight.
@@ -40,15 +40,14 @@ def topic_of(text: Column) -> Column:
     n = F.length(text)
     without = n - F.length(F.translate(text, "#$%&*{}<>=\\", ""))
     bars = n - F.length(F.replace(text, F.lit(" | "), F.lit("")))
-    ends = n - F.length(F.translate(text, "\n", ""))
+    ends = n - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     return F.when(without * 20 > n, "symbols").when(bars * 20 > n, "table").when(ends * 60 > n, "list").otherwise("prose")
 
 
 def tokens_of(text: Column) -> Column:
-    """Runs of anything but white space, and each character of the scripts that set no space between words."""
-    runs = F.length(F.translate(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x"), " \t\n\x0b\x0c\r", ""))
-    unspaced = F.length(text) - F.length(F.regexp_replace(text, UNSPACED, ""))
-    return (runs + F.when(F.octet_length(text) > F.length(text), unspaced).otherwise(0)).cast("long")
+    """Characters of the scripts that set no space between words, and runs of anything else but white space."""
+    marks = F.regexp_replace(text, rf"[^\x20\x09-\x0D{UNSPACED}]+|[{UNSPACED}]", "x")
+    return F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def _shares(cells: DataFrame, margin: str, targets: dict[str, float] | None, power: float) -> Column:
