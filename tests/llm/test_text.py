@@ -145,10 +145,44 @@ def test_surrogates_keep_shape_distinctness_and_coreference(spark):
 
 
 def test_surrogates_stay_distinct_in_a_narrow_space(spark):
-    names = [("name", f"Mr {a}{b}") for a in "ABCDEFGH" for b in ["en", "or", "us", "ix", "al", "eb"]] + [("name", "Mr Parker"), ("email", "a@b.de"), ("email", "b@b.de")]
+    names = [("family", f"{a}{b}") for a in "abcdefgh" for b in ["en", "or", "us", "ix", "al", "eb"]] + [("given", "m:aldrick"), ("email", "a@b.de"), ("email", "b@b.de"), ("ipv6", "::1"), ("ssn", "123456789")]
+    names += [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]  # all addresses of one character
     rows = pii.assignments(spark.createDataFrame(names * 2, "kind string, normal string"), "key").collect()
     assert len(rows) == len(names) and len({(r["kind"], r["new"]) for r in rows}) == len(names)
     assert not {(r["kind"], r["new"]) for r in rows} & set(names) and max(r["attempt"] for r in rows) > 0
+    assert all(re.fullmatch(r"[a-z0-9]{1,3}@example\.com", r["new"]) for r in rows if r["normal"].endswith("@example.com"))
+
+
+PEOPLE = [
+    (1, "Mr John Smith met Mr. John Smith, Mr J. Smith and Mr Smith; later John F. Smith left, said John. Dr Jane Roe wrote to Herr Δημήτρης Παπάς and Ms Jane Roe."),
+    (2, "Smith and John are not named by a title here. Mr Smith's dog. Prof. O'Neil-Jones, Dr Smithson"),
+    (3, "030 1234567, +49 30 1234567, 555.123.4567, 555 123 4567, +1 555 123 4567; Password: hunter22 API_KEY=abcdef123 TOKEN = Zyxwvu99; 2001:db8::1 FE80:0:0:0:1:2:3:4"),
+    (4, "std::abs 12:30:45 a::b 1:2 3.141.5926 10 200 3000"),
+    (5, "漢字@example.com 한국@example.com שלום@example.com कमल@example.com ōmā@example.com"),
+    (6, "x" * 400_000 + " Mr Ann Other " + "Other y " * 100_000),
+]
+
+
+def test_surrogates_know_persons_in_all_their_forms(spark):
+    found = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs(spark, PEOPLE), "key").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mr\. \1 \2, Mr [A-Z]\. \2 and Mr \2; later \1 [A-Z]\. \2 left, said \1\. Dr (\w+ \w+) wrote to Herr ([Α-Ωα-ως]+) ([Α-Ωα-ως]+) and Ms \3\.", found[1])
+    assert m and m[1] != "John" and m[2] != "Smith"
+    m2 = re.fullmatch(r"(\w+) and (\w+) are not named by a title here\. Mr (\w+)'s dog\. Prof\. (\w+), Dr (\w+)", found[2])
+    assert m2 and m2[1] == m2[3] == m[2] and m2[2] == "John" and len({m2[3], m2[4], m2[5]}) == 3  # only a title in the document makes a word a name
+    three = re.fullmatch(
+        r"0\d\d \d{7}, \+\d\d \d\d \d{7}, (\d{3})\.(\d{3})\.(\d{4}), \1 \2 \3, \+1 \1 \2 \3; Password: \w{8} API_KEY=\w{9} TOKEN = \w{8}; [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f] [0-9A-F]{4}(?::[0-9A-F]){7}", found[3]
+    )
+    assert three and not any(s in found[3] for s in ["hunter22", "abcdef123", "Zyxwvu99", "1234567", "db8", "FE80"]) and found[4] == PEOPLE[3][1]
+    assert all(re.fullmatch(rf"[{script}]+@example\.com", e) for script, e in zip(["一-鿿", "가-힣", "א-ת", "ऀ-ॿ", "Ā-ž"], found[5].split()) if script != "Ā-ž")
+    assert not set(found[5].split()) & set(PEOPLE[4][1].split())
+    assert "Other" not in found[6] and found[6].startswith("x" * 400_000 + " Mr ") and found[6].count(" y ") == 100_000
+
+
+def test_surrogates_of_clashing_columns_and_shuffled_rows(spark):
+    df = docs(spark, PEOPLE[:5] * 3).withColumns({n: F.lit(1) for n in ["k1", "k2", "odd", "matches", "persons", "pattern", "row"]}).repartition(5)
+    found = pii.replace_entities(df, "key").collect()
+    once = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs(spark, PEOPLE[:5]), "key").collect()}
+    assert Counter((r["doc_id"], r["text"]) for r in found) == Counter({(k, v): 3 for k, v in once.items()})
 
 
 def mixed(n=400):
