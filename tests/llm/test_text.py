@@ -236,6 +236,15 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r["severity"] <= 2 for r in seen)
 
 
+def test_toxicity_recall_on_held_out_labels_of_more_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(documents, labels.where("doc_id % 3 <> 0"))
+    seen = toxicity.grade_toxicity(documents, model).withColumnRenamed("toxic", "found").join(labels, "doc_id").where("doc_id % 3 = 0")
+    share = {r["toxic"]: r["share"] for r in seen.groupBy("toxic").agg(F.avg(F.col("found").cast("int")).alias("share")).collect()}
+    assert share[1] >= 0.9 and share[0] <= 0.01
+
+
 def test_toxicity_edges(spark):
     words = [(i, f"calm words {i} here", 0) for i in range(40)] + [(100 + i, f"you vile{'' if i % 2 else 'st'} thing {i}", 1) for i in range(40)]
     df = spark.createDataFrame([(i, t) for i, t, _ in words] + [(500, None), (501, ""), (501, ""), (None, "VILE!")], SCHEMA).withColumn("_j", F.lit(1))
