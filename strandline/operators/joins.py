@@ -22,19 +22,33 @@ def band_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, wi
     return spread.join(placed, [*keys, "_bucket"]).where(F.abs(F.col(left_at) - F.col(right_at)) <= width).drop("_bucket")
 
 
-def tiered_match(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_id: str, right_at: str, width: int, keys: Sequence[str]) -> DataFrame:
-    """Exact matches of a left row, or if it has none those within the band: left_id, tier, n_matches, first_match."""
-    near = band_join(left, right, left_at, right_at, width, keys)
+def _by_position(left: DataFrame, best: DataFrame, left_id: str, left_at: str, keys: Sequence[str]) -> DataFrame:
+    """Each left row beside the answer of its position."""
+    return left.select(left_id, *keys, left_at).join(best, [*keys, left_at])
+
+
+def tiered_match(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_id: str, right_at: str, width: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Exact matches of a left row, or if it has none those within the band: left_id, tier, n_matches, first_match; one row per left row that has any.
+
+    Both sides are brought down to their distinct positions before they meet, so the join grows with these, not with the rows."""
+    held = right.groupBy(*keys, right_at).agg(F.count("*").alias("_n"), F.min(right_id).alias("_f"))
+    near = band_join(left.select(*keys, left_at).distinct(), held, left_at, right_at, width, keys)
     tier = F.when(F.col(left_at) == F.col(right_at), 0).otherwise(1)
-    per = near.groupBy(left_id, tier.alias("tier")).agg(F.count("*").alias("n_matches"), F.min(right_id).alias("first_match"))
-    return per.groupBy(left_id).agg(F.min(F.struct("tier", "n_matches", "first_match")).alias("_b")).select(left_id, "_b.tier", "_b.n_matches", "_b.first_match")
+    per = near.groupBy(*keys, left_at, tier.alias("tier")).agg(F.sum("_n").alias("n_matches"), F.min("_f").alias("first_match"))
+    best = per.groupBy(*keys, left_at).agg(F.min(F.struct("tier", "n_matches", "first_match")).alias("_b"))
+    return _by_position(left, best, left_id, left_at, keys).select(left_id, "_b.tier", "_b.n_matches", "_b.first_match")
+
 
+def nearest_match(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_id: str, right_at: str, width: int, keys: Sequence[str] = (), preferred: Column | None = None) -> DataFrame:
+    """The closest right row within the band, its distance lessened by one where it is preferred; first id on ties: left_id, score, match.
 
-def nearest_match(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_id: str, right_at: str, width: int, keys: Sequence[str], preferred: Column | None = None) -> DataFrame:
-    """The closest right row within the band, its distance lessened by one where it is preferred; first id on ties."""
-    score = F.abs(F.col(left_at) - F.col(right_at)) - (F.when(preferred, 1).otherwise(0) if preferred is not None else F.lit(0))
-    near = band_join(left, right, left_at, right_at, width, keys)
-    return near.groupBy(left_id).agg(F.min(F.struct(score.alias("score"), F.col(right_id).alias("match"))).alias("_b")).select(left_id, "_b.score", "_b.match")
+    As in tiered_match, distinct positions meet, not rows."""
+    bonus = F.when(preferred, 1).otherwise(0) if preferred is not None else F.lit(0)
+    held = right.groupBy(*keys, right_at, bonus.alias("_bonus")).agg(F.min(right_id).alias("_f"))
+    near = band_join(left.select(*keys, left_at).distinct(), held, left_at, right_at, width, keys)
+    score = F.abs(F.col(left_at) - F.col(right_at)) - F.col("_bonus")
+    best = near.groupBy(*keys, left_at).agg(F.min(F.struct(score.alias("score"), F.col("_f").alias("match"))).alias("_b"))
+    return _by_position(left, best, left_id, left_at, keys).select(left_id, "_b.score", "_b.match")
 
 
 def contradictions(claims: DataFrame, key: str, order: list[str], condition: str, direction: Column, blocker: Column, event: str) -> DataFrame:
@@ -79,14 +93,21 @@ def path_violations(expected: DataFrame, actual: DataFrame, key: str, wanted: st
 
 
 def tightest_range(points: DataFrame, ranges: DataFrame, point_id: str, at: str, low: str, high: str, name: str) -> DataFrame:
-    """The narrowest range that holds a point, first name on ties: point_id, name, span. Ranges are few (checked) and broadcast, else joined on blocks of their span."""
-    width = ranges.agg(F.max(F.col(high) - F.col(low))).first()[0]
-    if width is None:
-        return points.select(point_id, F.lit(None).cast("string").alias(name), F.lit(None).cast("long").alias("span")).limit(0)
-    block = max(1, int(width))
-    spread = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / block), F.floor(F.col(high) / block))))
-    held = points.withColumn("_b", F.floor(F.col(at) / block)).join(spread, "_b").where(F.col(at).between(F.col(low), F.col(high)))
-    return held.groupBy(point_id).agg(F.min(F.struct((F.col(high) - F.col(low)).cast("long").alias("span"), F.col(name).alias(name))).alias("_m")).select(point_id, f"_m.{name}", "_m.span")
+    """The narrowest range that holds a point, first name on ties: point_id, name, span. Positions are whole numbers.
+
+    A range lies in at most two blocks of the least power of two above its span, and a point looks into one block of every
+    power that occurs (64 at most). So a wide range is never spread over narrow blocks, and a point meets few ranges of a
+    power that don't hold it."""
+    span = (F.col(high) - F.col(low)).cast("long")
+    power = F.length(F.bin(span))
+    spread = ranges.where(span >= 0).withColumns({"_w": power, "_s": span}).withColumn("_width", F.expr("shiftleft(1L, _w)"))
+    block = lambda c: F.floor(F.col(c) / F.col("_width"))
+    spread = spread.withColumn("_b", F.explode(F.array_distinct(F.array(block(low), block(high)))))
+    powers = [r["_w"] for r in ranges.where(span >= 0).select(power.alias("_w")).distinct().collect()]
+    levels = F.explode(F.array(*[F.lit(w) for w in powers]).cast("array<int>"))
+    asked = points.select(point_id, F.col(at).alias("_at"), levels.alias("_w")).withColumn("_width", F.expr("shiftleft(1L, _w)")).withColumn("_b", block("_at"))
+    held = asked.join(spread.select("_w", "_b", "_s", low, high, F.col(name).alias("_name")), ["_w", "_b"]).where(F.col("_at").between(F.col(low), F.col(high)))
+    return held.groupBy(point_id).agg(F.min(F.struct("_s", "_name")).alias("_m")).select(point_id, F.col("_m._name").alias(name), F.col("_m._s").alias("span"))
 
 
 def interval_conflicts(values: DataFrame, key: str, dimension: str, low: Column, high: Column) -> DataFrame:
@@ -119,3 +140,41 @@ def unique_match(asked: DataFrame, known: DataFrame, name: str, target: str) ->
     index = known.groupBy(name).agg(F.count_distinct(target).alias("_n"), F.min(target).alias("_t"))
     joined = asked.join(index, name, "left")
     return joined.select(*asked.columns, F.when(F.col("_n") == 1, F.col("_t")).alias("target"), F.when(F.col("_n") == 1, "syntactic").when(F.col("_n") > 1, "candidate").otherwise("unresolved").alias("confidence"))
+
+
+def suffix_pairs(asked: DataFrame, known: DataFrame, ask: str, know: str) -> DataFrame:
+    """Pairs (ask, know) of distinct texts where the known one ends with the asked one, which isn't empty.
+
+    Each known text is spelled out by its suffixes, so this is an equality join that grows with distinct texts and their lengths."""
+    texts = known.select(know).where(F.col(know) != "").distinct()
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.length(know)), lambda i: F.substr(F.col(know), i)))
+    return asked.select(ask).where(F.col(ask) != "").distinct().join(texts.select(know, cut.alias(ask)), ask)
+
+
+def call_nodes(asked: DataFrame, nodes: DataFrame, tolerance: int = 5) -> DataFrame:
+    """The call-graph node that each asked function stands for: ask, strategy, node.
+
+    asked: ask, name, file, line; nodes: id, file, line, ordinal. Strategies: exact (the qualified name), place (the node's
+    file ends with the asked one, lines at most so far apart), suffix (the name after ::), unresolved. The node of least
+    ordinal is taken within a strategy; an empty or null file has no place."""
+    first = F.min(F.struct("ordinal", "id")).alias("_b")
+    exact = nodes.groupBy(F.col("id").alias("name")).agg(first)
+    parts = F.split("id", "::")
+    tails = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))))
+    suffix = nodes.select("ordinal", "id", tails.alias("name")).groupBy("name").agg(first)
+    there = nodes.groupBy(F.col("file").alias("_file"), F.col("line").alias("_line")).agg(first)
+    places = asked.where("file <> '' AND line IS NOT NULL").select("file", "line").distinct().join(suffix_pairs(asked, there, "file", "_file"), "file")
+    place = band_join(places, there, "line", "_line", tolerance, ["_file"]).groupBy("file", "line").agg(F.min("_b").alias("_b"))
+    found = asked.join(exact.withColumnRenamed("_b", "_exact"), "name", "left").join(place.withColumnRenamed("_b", "_place"), ["file", "line"], "left").join(suffix.withColumnRenamed("_b", "_suffix"), "name", "left")
+    strategy = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_place").isNotNull(), "place").when(F.col("_suffix").isNotNull(), "suffix").otherwise("unresolved")
+    return found.select("ask", strategy.alias("strategy"), F.coalesce("_exact", "_place", "_suffix")["id"].alias("node"))
+
+
+def linked_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The graph node of every call site: its columns, node, synthesized.
+
+    calls: function, line, callee; nodes: function, line, ordinal, id. Of the nodes on the call's line the last one is
+    taken; where there is none, a node is made whose id is a hash of the site."""
+    last = nodes.groupBy("function", "line").agg(F.max(F.struct("ordinal", "id"))["id"].alias("node"))
+    made = F.concat(F.lit("call-"), F.substring(F.sha1(F.concat_ws("|", "function", F.col("line").cast("string"), "callee")), 1, 12))
+    return calls.join(last, ["function", "line"], "left").select(*calls.columns, F.coalesce("node", made).alias("node"), F.col("node").isNull().alias("synthesized"))

@@ -37,26 +37,26 @@ def _event_at():
 
 @query(
     "band_match",
-    """WITH l AS (SELECT event_id, floor(value)::BIGINT AS pos, user_id % 25 AS k FROM events WHERE value IS NOT NULL), r AS (SELECT p_partkey, p_size, p_partkey % 25 AS k FROM part),
-    m AS (SELECT event_id, CASE WHEN pos = p_size THEN 0 ELSE 1 END AS tier, count(*)::BIGINT AS n, min(p_partkey) AS f FROM l JOIN r USING (k) WHERE abs(pos - p_size) <= 5 GROUP BY 1, 2)
-    SELECT event_id, min(tier) AS tier, arg_min(n, tier) AS n_matches, arg_min(f, tier) AS first_match FROM m GROUP BY event_id""",
+    """WITH l AS (SELECT event_id, floor(value)::BIGINT AS pos FROM events WHERE value IS NOT NULL), p AS (SELECT DISTINCT pos FROM l),
+    m AS (SELECT pos, CASE WHEN pos = p_size THEN 0 ELSE 1 END AS tier, count(*)::BIGINT AS n, min(p_partkey) AS f FROM p JOIN part ON abs(pos - p_size) <= 5 GROUP BY 1, 2),
+    b AS (SELECT pos, min(tier) AS tier, arg_min(n, tier) AS n_matches, arg_min(f, tier) AS first_match FROM m GROUP BY pos)
+    SELECT event_id, tier, n_matches, first_match FROM l JOIN b USING (pos)""",
 )
 def band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", _event_at().alias("at"), (F.col("user_id") % 25).alias("k"))
-    right = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 25).alias("k"))
-    return J.tiered_match(left, right, "event_id", "at", "p_partkey", "p_size", 5, ["k"])
+    left = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", _event_at().alias("at"))
+    return J.tiered_match(left, table(spark, sf_dir, "part"), "event_id", "at", "p_partkey", "p_size", 5)
 
 
 @query(
     "nearest_node",
-    """WITH l AS (SELECT event_id, floor(value)::BIGINT AS pos, user_id % 25 AS k FROM events WHERE value IS NOT NULL), r AS (SELECT p_partkey, p_size, p_type, p_partkey % 25 AS k FROM part),
-    m AS (SELECT event_id, abs(pos - p_size) - CASE WHEN p_type LIKE '%BRASS%' THEN 1 ELSE 0 END AS score, p_partkey FROM l JOIN r USING (k) WHERE abs(pos - p_size) <= 5)
-    SELECT event_id, arg_min(score, (score, p_partkey)) AS score, arg_min(p_partkey, (score, p_partkey)) AS match FROM m GROUP BY event_id""",
+    """WITH l AS (SELECT event_id, floor(value)::BIGINT AS pos FROM events WHERE value IS NOT NULL), p AS (SELECT DISTINCT pos FROM l),
+    m AS (SELECT pos, abs(pos - p_size) - CASE WHEN p_type LIKE '%BRASS%' THEN 1 ELSE 0 END AS score, p_partkey FROM p JOIN part ON abs(pos - p_size) <= 5),
+    b AS (SELECT pos, arg_min(score, (score, p_partkey)) AS score, arg_min(p_partkey, (score, p_partkey)) AS match FROM m GROUP BY pos)
+    SELECT event_id, score, match FROM l JOIN b USING (pos)""",
 )
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", _event_at().alias("at"), (F.col("user_id") % 25).alias("k"))
-    right = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", (F.col("p_partkey") % 25).alias("k"))
-    return J.nearest_match(left, right, "event_id", "at", "p_partkey", "p_size", 5, ["k"], F.col("p_type").like("%BRASS%"))
+    left = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", _event_at().alias("at"))
+    return J.nearest_match(left, table(spark, sf_dir, "part"), "event_id", "at", "p_partkey", "p_size", 5, (), F.col("p_type").like("%BRASS%"))
 
 
 _HOST = r"://([^/?#]*)"
@@ -151,3 +151,43 @@ def not_taken_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drop what hangs on a key annotated FALSE; keys without annotation stay."""
     refused = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(refused, "l_orderkey", "left_anti")
+
+
+@query(
+    "call_node_ladder",
+    """WITH a AS (SELECT o_orderkey AS ask, CASE WHEN o_orderstatus = 'F' THEN 'ns' || (o_custkey % 50 + 1) || '::' ELSE '' END || 'fn' || o_custkey AS name,
+    CASE WHEN o_orderstatus = 'O' THEN '' ELSE '#' || (o_custkey % 5 + 1) || (o_orderkey % 5 + 1) END AS file, o_orderkey % 1000 AS line FROM orders),
+    n AS (SELECT 'ns' || p_size || '::fn' || p_partkey AS id, 'src/' || p_brand AS file, p_partkey % 1000 AS line, p_partkey AS ordinal FROM part),
+    x AS (SELECT id AS name, arg_min(id, ordinal) AS e FROM n GROUP BY 1), s AS (SELECT split_part(id, '::', 2) AS name, arg_min(id, ordinal) AS s FROM n GROUP BY 1),
+    q AS (SELECT DISTINCT file, line FROM a WHERE file <> ''), p AS (SELECT q.file, q.line, arg_min(id, ordinal) AS p FROM q JOIN n ON ends_with(n.file, q.file) AND abs(n.line - q.line) <= 5 GROUP BY 1, 2)
+    SELECT ask, CASE WHEN e IS NOT NULL THEN 'exact' WHEN p IS NOT NULL THEN 'place' WHEN s IS NOT NULL THEN 'suffix' ELSE 'unresolved' END AS strategy, coalesce(e, p, s) AS node
+    FROM a LEFT JOIN x USING (name) LEFT JOIN p USING (file, line) LEFT JOIN s USING (name)""",
+)
+def call_node_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reported functions, resolved against parts as call-graph nodes."""
+    text = lambda c: c.cast("string")
+    customer = F.col("o_custkey")
+    qualified = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("ns"), text(customer % 50 + 1), F.lit("::"))).otherwise("")
+    file = F.when(F.col("o_orderstatus") == "O", "").otherwise(F.concat(F.lit("#"), text(customer % 5 + 1), text(F.col("o_orderkey") % 5 + 1)))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ask"), F.concat(qualified, F.lit("fn"), text(customer)).alias("name"), file.alias("file"), (F.col("o_orderkey") % 1000).alias("line"))
+    nodes = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("ns"), text(F.col("p_size")), F.lit("::fn"), text(F.col("p_partkey"))).alias("id"), F.concat(F.lit("src/"), "p_brand").alias("file"),
+        (F.col("p_partkey") % 1000).alias("line"), F.col("p_partkey").alias("ordinal"),
+    )
+    return J.call_nodes(asked, nodes)
+
+
+@query(
+    "linked_calls",
+    """WITH c AS (SELECT event_id, user_id AS function, floor(value)::BIGINT AS line, event_type AS callee FROM events),
+    n AS (SELECT o_custkey AS function, o_orderkey % 50 AS line, 'n' || max(o_orderkey) AS node FROM orders GROUP BY 1, 2)
+    SELECT event_id, function, line, callee, node IS NULL AS synthesized,
+    coalesce(node, 'call-' || substr(sha1(concat_ws('|', function::VARCHAR, line::VARCHAR, callee)), 1, 12)) AS node FROM c LEFT JOIN n USING (function, line)""",
+)
+def linked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as call sites; each customer's orders as the nodes of a function."""
+    calls = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("function"), _event_at().alias("line"), F.col("event_type").alias("callee"))
+    nodes = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("function"), (F.col("o_orderkey") % 50).alias("line"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("id")
+    )
+    return J.linked_calls(calls, nodes)

@@ -13,7 +13,7 @@ from strandline.session import table
 @query(
     "interprocedural_slice",
     """WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS dst, 'n' || c_nationkey AS src, 1 AS w FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 0 FROM orders UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation),
-    w AS (SELECT 'o' || o_orderkey AS node, 0 AS hops FROM orders WHERE o_totalprice > 300000 UNION SELECT e.src, hops + e.w FROM w JOIN e ON e.dst = w.node WHERE hops + e.w <= 1)
+    w AS (SELECT 'o' || o_orderkey AS node, 0 AS hops FROM orders WHERE o_totalprice > 300000 UNION SELECT e.src, hops + e.w FROM w JOIN e ON e.dst = w.node WHERE hops + e.w <= 10)
     SELECT node, min(hops) AS hops FROM w GROUP BY node""",
 )
 def interprocedural_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def interprocedural_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(table(spark, sf_dir, "orders").select(name("o", "o_orderkey").alias("dst"), name("c", "o_custkey").alias("src"), F.lit("data").alias("kind")))
         .unionByName(table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("dst"), name("r", "n_regionkey").alias("src"), F.lit("call").alias("kind")))
     )
-    return T.interprocedural_slice(edges, table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(name("o", "o_orderkey").alias("node")), max_hops=1)
+    return T.interprocedural_slice(edges, table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(name("o", "o_orderkey").alias("node")))
 
 
 @query(

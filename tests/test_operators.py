@@ -152,3 +152,56 @@ def test_entry_state_gate_claims_only_what_it_can_show(spark):
         spark.createDataFrame(functions, "file string, name string, parameters string, low int, high int"), spark.createDataFrame(checks, "file string, line int, macro string, condition string"),
     )
     assert {r["report_key"] for r in found.collect()} == {k for k, c in CHANGED.items() if not c.get("none")}
+
+
+def test_band_look_ups_equal_brute_force(spark):
+    rng = random.Random(11)
+    left = [(i, rng.randrange(0, 60)) for i in range(50)] + [(50, None)]
+    right = [(i, rng.randrange(0, 60), rng.random() < 0.3) for i in range(80)] + [(80, None, True)]
+    a, b = spark.createDataFrame(left, "a long, x long"), spark.createDataFrame(right, "b long, y long, p boolean")
+    tiers, nearest = {}, {}
+    for i, x in left:
+        near = [(j, y, p) for j, y, p in right if None not in (x, y) and abs(x - y) <= 2]
+        if near:
+            exact = [j for j, y, _ in near if y == x]
+            tiers[i] = (0, len(exact), min(exact)) if exact else (1, len(near), min(j for j, _, _ in near))
+            nearest[i] = min((abs(x - y) - p, j) for j, y, p in near)
+    assert {r[0]: tuple(r)[1:] for r in joins.tiered_match(a, b, "a", "x", "b", "y", 2).collect()} == tiers
+    assert {r[0]: tuple(r)[1:] for r in joins.nearest_match(a, b, "a", "x", "b", "y", 2, (), F.col("p")).collect()} == nearest
+
+
+def test_tightest_range_equals_brute_force(spark):
+    rng = random.Random(12)
+    ranges = [(f"r{i}", low, low + rng.choice([0, 1, 3, 4, 7, 8, 1000])) for i, low in enumerate(rng.choices(range(-50, 50), k=40))]
+    points = [(i, rng.randrange(-80, 200)) for i in range(60)]
+    wanted = {i: min((h - lo, n) for n, lo, h in ranges if lo <= x <= h) for i, x in points if any(lo <= x <= h for _, lo, h in ranges)}
+    p, r = spark.createDataFrame(points, "i long, x long"), spark.createDataFrame(ranges, "name string, low long, high long")
+    found = joins.tightest_range(p, r, "i", "x", "low", "high", "name").collect()
+    assert {f["i"]: (f["span"], f["name"]) for f in found} == wanted
+    assert joins.tightest_range(p, r.limit(0), "i", "x", "low", "high", "name").count() == 0
+
+
+def test_call_nodes_equal_brute_force(spark):
+    rng = random.Random(13)
+    nodes = [(n, f"{rng.choice(['src/', 'lib/x'])}{rng.choice('abc')}.c", rng.randrange(40), i) for i, n in enumerate(dict.fromkeys("::".join(rng.choices("pqrs", k=rng.randint(1, 3))) for _ in range(40)))]
+    asked = [(i, "::".join(rng.choices("pqrst", k=rng.randint(1, 2))), rng.choice(["", None, "a.c", "src/b.c", "c", "z.c"]), rng.choice([None, 3, 17, 30])) for i in range(60)]
+
+    def resolve(name, file, line):
+        if found := [n for n in nodes if n[0] == name]:
+            return "exact", found[0][0]
+        if file and line is not None and (found := [n for n in nodes if n[1].endswith(file) and abs(n[2] - line) <= 5]):
+            return "place", found[0][0]
+        if found := [n for n in nodes if n[0] == name or n[0].endswith("::" + name)]:
+            return "suffix", found[0][0]
+        return "unresolved", None
+
+    found = joins.call_nodes(spark.createDataFrame(asked, "ask int, name string, file string, line int"), spark.createDataFrame(nodes, "id string, file string, line int, ordinal int"))
+    assert {r["ask"]: (r["strategy"], r["node"]) for r in found.collect()} == {a[0]: resolve(*a[1:]) for a in asked}
+
+
+def test_linked_calls_takes_the_last_node_or_makes_one(spark):
+    calls = spark.createDataFrame([("f", 1, "g"), ("f", 2, "g"), ("h", 1, "g"), ("f", None, "g")], "function string, line int, callee string")
+    nodes = spark.createDataFrame([("f", 1, 0, "n0"), ("f", 1, 5, "n5")], "function string, line int, ordinal int, id string")
+    got = {(r["function"], r["line"]): (r["node"], r["synthesized"]) for r in joins.linked_calls(calls, nodes).collect()}
+    assert got["f", 1] == ("n5", False) and all(got[k][1] for k in [("f", 2), ("h", 1), ("f", None)])
+    assert len({v[0] for v in got.values()}) == 4
