@@ -129,3 +129,44 @@ def opaque_writes(nodes: DataFrame, writers: tuple[str, ...] = ("memcpy", "memse
     calls = nodes.where(X.short_name(F.col("callee")).isin(*writers)).select("function_name", F.col("id").alias("def_node_id"), target.alias("variable")).where("variable <> ''")
     mentions = nodes.select("function_name", F.col("id").alias("use_node_id"), F.explode(F.array_distinct(F.regexp_extract_all("expression", F.lit(r"([A-Za-z_]\w*)\."), F.lit(1)))).alias("variable"))
     return calls.join(mentions, ["function_name", "variable"]).where("def_node_id <> use_node_id").select("function_name", "def_node_id", "use_node_id", "variable")
+
+
+def required_returns(decisions: DataFrame, key: str = "path") -> DataFrame:
+    """What a caller's branch asks of a call on its line: key, function, line, callee, required (null if the branch leaves it open).
+
+    The first decided branch that calls the name counts. Taken, it asks for true (false behind a !) unless alternatives are
+    joined by ||; not taken, for the opposite unless && joins it to others."""
+    calls = F.regexp_extract_all("condition", F.lit(r"(!?)\s*(?<![\w:])([A-Za-z_][\w:]*)\s*\("), F.lit(0))
+    branches = decisions.where("kind <> 'call' AND taken IS NOT NULL").select(key, "position", "function", "line", "condition", "taken", F.explode(F.array_distinct(calls)).alias("_call"))
+    negated = F.col("_call").startswith("!")
+    asks = F.when(F.col("taken"), F.when(~F.col("condition").contains("||"), ~negated)).otherwise(F.when(~F.col("condition").contains("&&"), negated))
+    name = F.regexp_extract("_call", r"([A-Za-z_][\w:]*)\s*\($", 1)
+    place = F.struct("position", F.instr("condition", F.col("_call")).alias("at"), asks.alias("required"))
+    return branches.groupBy(key, "function", "line", name.alias("callee")).agg(F.min(place)["required"].alias("required"))
+
+
+def selected_returns(decisions: DataFrame, returns: DataFrame, key: str = "path") -> DataFrame:
+    """The truth value that a path's decisions inside a function make it return: key, callee (short name), selected, return_line, file.
+
+    returns: file, function, owner, line, returned, as structure.truth_returns gives them. The first taken branch that
+    returns by itself counts, else the function's own return; of several files the one the path meets first."""
+    short = X.short_name(F.col("function"))
+    inside = decisions.where("kind = 'control' AND file <> ''").select(key, "position", "file", "line", "taken", short.alias("callee"))
+    known = returns.select("file", short.alias("callee"), "owner", "line", F.struct("line", "returned").alias("_r"))
+    own = known.where("owner = 'function'").groupBy("file", "callee").agg(F.max("_r").alias("_own"))
+    early = known.where("owner = 'branch'").groupBy("file", "callee", "line").agg(F.min("_r").alias("_r"))
+    per = inside.join(early, ["file", "callee", "line"], "left").groupBy(key, "callee", "file").agg(F.min("position").alias("_at"), F.min(F.when(F.col("taken"), F.col("_r"))).alias("_early"))
+    chosen = per.join(own, ["file", "callee"], "left").withColumn("_c", F.coalesce("_early", "_own")).where("_c IS NOT NULL")
+    best = chosen.groupBy(key, "callee").agg(F.min(F.struct("_at", "file", "_c")).alias("_b"))
+    return best.select(key, "callee", F.col("_b._c.returned").alias("selected"), F.col("_b._c.line").alias("return_line"), F.col("_b.file").alias("file"))
+
+
+def call_return_violations(decisions: DataFrame, returns: DataFrame, key: str = "path") -> DataFrame:
+    """Calls whose result a branch needs otherwise than the callee's own decisions make it: key, caller, call_line, callee, required, selected, return_line, file.
+
+    decisions: key, position, kind (call, control or other), function, file, line, condition, taken, callee. A value that
+    isn't known on either side contradicts nothing; a site is named once."""
+    sites = decisions.where("kind = 'call' AND callee <> ''").select(key, "function", "line", "callee").distinct()
+    asked = sites.join(required_returns(decisions, key).where("required IS NOT NULL"), [key, "function", "line", "callee"])
+    against = asked.join(selected_returns(decisions, returns, key), [key, "callee"]).where("required <> selected")
+    return against.select(key, F.col("function").alias("caller"), F.col("line").alias("call_line"), "callee", "required", "selected", "return_line", "file")

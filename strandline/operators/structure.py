@@ -95,9 +95,8 @@ def scan_controls(source: str) -> list[tuple[int, str, str, int, int, list[dict]
     return out
 
 
-def scan_functions(source: str) -> list[tuple[str, int, int, int]]:
-    """(name, first line, first line of the body, last line) of every function that has a body."""
-    tokens, partner = _scan(source)
+def _functions(tokens, partner) -> list[tuple[str, int, int, int]]:
+    """(name, first token, token that opens the body, token that closes it) of every function that has a body."""
     out, inside = [], -1
     for i, (t, line, _) in enumerate(tokens):
         if i <= inside or t != "(" or not i or (close := partner.get(i)) is None:
@@ -115,11 +114,40 @@ def scan_functions(source: str) -> list[tuple[str, int, int, int]]:
             step = 2 if tokens[k - 1][0] == "::" else 1
             name = "".join(x[0] for x in tokens[k - step : k]) + name
             k -= step
-        out.append((name, tokens[k][1], tokens[j][1], tokens[end][1]))
+        out.append((name, k, j, end))
         inside = end
     return out
 
 
+def scan_functions(source: str) -> list[tuple[str, int, int, int]]:
+    """(name, first line, first line of the body, last line) of every function that has a body."""
+    tokens, partner = _scan(source)
+    return [(name, *(tokens[i][1] for i in places)) for name, *places in _functions(tokens, partner)]
+
+
+def scan_returns(source: str) -> list[tuple[str, str, int, bool]]:
+    """(function, owner, line, value) of the first 'return true' or 'return false' directly in an if's body (owner branch,
+    the if's line) or in a function's (owner function, its last line)."""
+    tokens, partner = _scan(source)
+    closing, out = set(partner.values()), []
+    owners = {i + 2 if (close := partner.get(i + 1)) is None else close + 1: ("branch", tokens[i][1]) for i in range(len(tokens) - 1) if tokens[i][0] == "if" and tokens[i + 1][0] == "("}
+    for name, _, start, end in _functions(tokens, partner):
+        owners[start] = ("function", tokens[end][1])
+        given, around = set(), []
+        for i in range(start, end + 1):
+            t = tokens[i][0]
+            if t == "{" and i in partner:
+                around.append(owners.get(i))
+            elif t == "}" and i in closing:
+                around.pop()
+            elif t == "return" and i + 2 < end and tokens[i + 1][0] in ("true", "false") and tokens[i + 2][0] == ";":
+                owner = owners.get(i) or around[-1]
+                if owner and owner not in given:
+                    given.add(owner)
+                    out.append((name, *owner, tokens[i + 1][0] == "true"))
+    return out
+
+
 _SPANS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 _OPERANDS = pa.list_(pa.struct([("line", pa.int32()), ("joined_by", pa.string())]))
 
@@ -149,6 +177,12 @@ def function_ranges(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInArrow(_per_file(scan_functions, names), "file string, function_name string, first_line int, body_start int, last_line int")
 
 
+def truth_returns(files: DataFrame) -> DataFrame:
+    """files (file, content) as one row per branch or function that itself returns a truth value: file, function, owner (branch or function), line, returned."""
+    names = [("file", pa.string()), ("function", pa.string()), ("owner", pa.string()), ("line", pa.int32()), ("returned", pa.bool_())]
+    return files.select("file", "content").mapInArrow(_per_file(scan_returns, names), "file string, function string, owner string, line int, returned boolean")
+
+
 def falsified(condition: Column, assumption: Column) -> Column:
     """Whether an assumption's text refutes a condition's text; false where it doesn't plainly."""
     pick = lambda p, i: F.regexp_extract(assumption, p, i)

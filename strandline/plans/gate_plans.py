@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import branches as B
 from strandline.operators import gates as T
 from strandline.plans.registry import query
 from strandline.session import table
@@ -87,3 +88,29 @@ def no_path_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("report_key"), F.coalesce("n", F.lit(0)).alias("candidates"), F.when(F.col("o_orderstatus") == "F", "trace").otherwise("location").alias("evidence")
     )
     return T.no_path_verdict(reports, "candidates", "evidence")
+
+
+@query(
+    "call_return_violations",
+    """WITH e AS (SELECT user_id AS path, event_id AS position, event_id % 3 AS kind, CASE WHEN event_id % 3 = 1 THEN 'f' || (event_id // 7 % 4) ELSE 'main' END AS fn, event_id // 10 % 3 AS line, 'f' || (event_id // 7 % 4) AS name, event_type, value > 20 AS taken FROM events),
+    r AS (SELECT path, line, name, arg_min(CASE WHEN taken THEN (CASE WHEN event_type = 'click' THEN 0 ELSE 1 END) WHEN event_type = 'view' THEN -1 WHEN event_type = 'click' THEN 1 ELSE 0 END, position) AS required FROM e WHERE kind = 2 AND taken IS NOT NULL GROUP BY 1, 2, 3),
+    b AS (SELECT 'f' || (n_nationkey % 4) AS fn, n_nationkey // 4 AS line, n_regionkey % 2 = 0 AS returned FROM nation), o AS (SELECT 'f' || r_regionkey AS fn, 100 + r_regionkey AS line, r_regionkey % 2 = 1 AS returned FROM region),
+    g AS (SELECT path, e.fn, min(CASE WHEN taken THEN b.line END) AS early FROM e LEFT JOIN b ON e.fn = b.fn AND e.line = b.line WHERE kind = 1 GROUP BY 1, 2),
+    s AS (SELECT path, g.fn, coalesce(b.returned, o.returned) AS selected, coalesce(b.line, o.line)::BIGINT AS return_line FROM g LEFT JOIN b ON g.fn = b.fn AND g.early = b.line LEFT JOIN o ON g.fn = o.fn)
+    SELECT DISTINCT e.path, 'main' AS caller, e.line AS call_line, e.name AS callee, r.required = 1 AS required, selected, return_line, 'a' AS file
+    FROM e JOIN r ON e.path = r.path AND e.line = r.line AND e.name = r.name JOIN s ON e.path = s.path AND e.name = s.fn WHERE kind = 0 AND required >= 0 AND (required = 1) <> selected""",
+)
+def call_return_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a path of calls, callee decisions and caller branches; nations and regions as what branches and functions return."""
+    text = lambda c: c.cast("string")
+    number, name = F.col("event_id"), F.concat(F.lit("f"), F.expr("CAST(event_id DIV 7 % 4 AS string)"))
+    condition = F.when(F.col("event_type") == "click", F.concat(F.lit("!"), name, F.lit("(a)"))).when(F.col("event_type") == "view", F.concat(name, F.lit("() && b"))).otherwise(F.concat(name, F.lit("(c)")))
+    kind = F.element_at(F.array(F.lit("call"), F.lit("control"), F.lit("branch")), (number % 3 + 1).cast("int"))
+    decisions = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("path"), number.alias("position"), kind.alias("kind"), F.when(number % 3 == 1, F.concat(F.lit("ns::"), name)).otherwise("main").alias("function"), F.lit("a").alias("file"),
+        F.expr("event_id DIV 10 % 3").alias("line"), F.when(number % 3 == 2, condition).alias("condition"), (F.col("value") > 20).alias("taken"), F.when(number % 3 == 0, name).alias("callee"),
+    )
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    early = nation.select(F.lit("a").alias("file"), F.concat(F.lit("f"), text(F.col("n_nationkey") % 4)).alias("function"), F.lit("branch").alias("owner"), F.expr("n_nationkey DIV 4").alias("line"), (F.col("n_regionkey") % 2 == 0).alias("returned"))
+    own = region.select(F.lit("a").alias("file"), F.concat(F.lit("f"), text(F.col("r_regionkey"))).alias("function"), F.lit("function").alias("owner"), (F.lit(100) + F.col("r_regionkey")).cast("long").alias("line"), (F.col("r_regionkey") % 2 == 1).alias("returned"))
+    return B.call_return_violations(decisions, early.unionByName(own))

@@ -55,3 +55,25 @@ def test_miners_and_opaque_calls(spark):
     assert [tuple(r)[1:] for r in B.mine_setters(lines).orderBy("line").collect()] == [(1, "initial", "ready", "false"), (2, "initial", "mode", "FAST_MODE"), (3, "guard", "p->kind", "3")]
     nodes = spark.createDataFrame([("f", "n1", "memcpy(&h, b, 4)", "std::memcpy"), ("f", "n2", "use(h.len, h.x)", "use"), ("g", "n3", "h.len", "")], "function_name string, id string, expression string, callee string")
     assert [tuple(r) for r in B.opaque_writes(nodes).collect()] == [("f", "n1", "n2", "h")]
+
+
+def test_call_return_violations(spark):
+    """The branch's demand against what the callee's decisions make it return; unknown sides make no claim."""
+    returns = spark.createDataFrame([("a.c", "ok", "branch", 10, False), ("a.c", "ok", "function", 20, True)], "file string, function string, owner string, line int, returned boolean")
+    decisions, wanted = [], set()
+    cases = [
+        # condition, taken, taken inside at line 10, violated as (required, selected, line)
+        ("ok(x)", True, True, (True, False, 10)), ("ok(x)", True, False, None), ("!ok(x)", True, False, (False, True, 20)), ("ok(x) || y", True, True, None),
+        ("ok(x) && y", False, False, None), ("ok(x)", False, False, (False, True, 20)), ("ok(x) && y", True, True, (True, False, 10)), ("look(x)", True, True, None), ("ok(x)", None, True, None),
+    ]
+    for path, (condition, taken, inside, violated) in enumerate(cases):
+        decisions += [
+            (path, 1, "call", "main", "m.c", 5, None, None, "ok"), (path, 2, "control", "Box::ok", "a.c", 10, "n", inside, None), (path, 3, "branch", "main", "m.c", 5, condition, taken, None),
+            (path, 4, "call", "main", "m.c", 5, None, None, "ok"),
+        ]
+        if violated:
+            wanted.add((path, "main", 5, "ok", *violated, "a.c"))
+    df = spark.createDataFrame(decisions, "path int, position int, kind string, function string, file string, line int, condition string, taken boolean, callee string")
+    found = B.call_return_violations(df, returns).collect()
+    assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
+    assert B.call_return_violations(df.limit(0), returns).count() == 0

@@ -52,3 +52,29 @@ def test_paths(spark, controls):
     assert {tuple(r)[:3] for r in S.short_circuits(events, controls).collect()} == {("r", "a.cpp", 4), ("r", "a.cpp", 5), ("s", "a.cpp", 4), ("s", "a.cpp", 5)}
     decided = spark.createDataFrame([("r", "a.cpp", 3, True), ("r", "a.cpp", 12, False), ("r", "a.cpp", 7, None)], "report_key string, file string, line int, taken boolean")
     assert {tuple(r)[2:] for r in S.dead_ranges(decided, controls).collect()} == {(7, 9), (9, 11), (12, 12)}
+
+
+RETURNS = """bool Box::ready(int n) {
+  if (n > 3)
+    return false;
+  if (n == 2) {
+    log("}");
+    if (n) { return true; }
+    return false;
+  }
+  if (n) return n;
+  while (n) { return true; }
+  return true;
+}
+static bool off() { return false; } // return true;
+int none() { if (1) { go(); } return 3; }
+"""
+
+
+def test_truth_returns_belong_to_the_nearest_body(spark):
+    files = spark.createDataFrame([("a.cpp", RETURNS), ("null", None), ("bad", "bool f() { if (x { return true; } ")], "file string, content string")
+    found = {tuple(r) for r in S.truth_returns(files).collect()}
+    assert found == {
+        ("a.cpp", "Box::ready", "branch", 2, False), ("a.cpp", "Box::ready", "branch", 4, False), ("a.cpp", "Box::ready", "branch", 6, True),
+        ("a.cpp", "Box::ready", "function", 12, True), ("a.cpp", "off", "function", 13, False),
+    }
