@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import constraints as C
 from strandline.functions.constraints import is_pointer_parameter, requires_non_null
 
 
@@ -109,3 +110,26 @@ def is_stuck(rounds: DataFrame, key: str = "report_key", most: int = 3) -> DataF
 def agreeing(condition: Column) -> Column:
     """Tri-state: null keeps; only a plain false drops."""
     return F.coalesce(condition, F.lit(True))
+
+
+def hard_constraints(facts: DataFrame, key: str = "report_key") -> DataFrame:
+    """What checked assumptions bind later ones to: key, variable, operator, value, each once.
+
+    facts: key, variable, operator, value, result. A violated assumption binds to its opposite, a consistent equality to
+    itself; anything else binds to nothing."""
+    op = F.when(F.col("result") == "VIOLATED", C.negate(F.col("operator"))).when((F.col("result") == "CONSISTENT") & (F.col("operator") == "=="), F.lit("=="))
+    return facts.select(key, "variable", op.alias("operator"), "value").where("operator IS NOT NULL").distinct()
+
+
+def first_conflicts(facts: DataFrame, hard: DataFrame, key: str = "report_key") -> DataFrame:
+    """The first assumption of each segment that a hard constraint on its variable rules out: key, segment, event, variable, operator, value, hard_operator, hard_value.
+
+    facts: key, segment, event, variable, operator, value. Literal opposites clash whatever their values are; otherwise only
+    numbers can. Segments without a clash have no row."""
+    bound = hard.select(key, "variable", F.col("operator").alias("hard_operator"), F.col("value").alias("hard_value")).distinct()
+    opposite = (C.negate(F.col("operator")) == F.col("hard_operator")) & C.same_text(F.col("value"), F.col("hard_value"))
+    apart = C.intervals_clash(F.col("operator"), C.to_number(F.col("value")), F.col("hard_operator"), C.to_number(F.col("hard_value")))
+    numbers = C.to_number(F.col("value")).isNotNull() & C.to_number(F.col("hard_value")).isNotNull()
+    told = ["event", "variable", "operator", "value", "hard_operator", "hard_value"]
+    clashes = facts.join(bound, [key, "variable"]).where(F.coalesce(opposite, F.lit(False)) | (numbers & apart))
+    return clashes.groupBy(key, "segment").agg(F.min(F.struct(*told)).alias("_f")).select(key, "segment", "_f.*")

@@ -114,3 +114,28 @@ def call_return_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = nation.select(F.lit("a").alias("file"), F.concat(F.lit("f"), text(F.col("n_nationkey") % 4)).alias("function"), F.lit("branch").alias("owner"), F.expr("n_nationkey DIV 4").alias("line"), (F.col("n_regionkey") % 2 == 0).alias("returned"))
     own = region.select(F.lit("a").alias("file"), F.concat(F.lit("f"), text(F.col("r_regionkey"))).alias("function"), F.lit("function").alias("owner"), (F.lit(100) + F.col("r_regionkey")).cast("long").alias("line"), (F.col("r_regionkey") % 2 == 1).alias("returned"))
     return B.call_return_violations(decisions, early.unionByName(own))
+
+
+@query(
+    "hard_constraint_conflicts",
+    """WITH f AS (SELECT user_id AS report_key, event_type AS segment, event_id AS event, 'v' || (event_id % 5) AS variable, ['==', '<=', '>', '!='][event_id % 4 + 1] AS op, floor(value)::BIGINT AS v FROM events WHERE value IS NOT NULL),
+    c AS (SELECT o_custkey AS report_key, 'v' || (o_orderkey % 5) AS variable, o_orderkey % 3 AS k, o_orderkey % 40 AS w, o_orderstatus AS s FROM orders),
+    h AS (SELECT DISTINCT report_key, variable, CASE WHEN s = 'O' THEN '==' ELSE ['!=', '>=', '<'][k + 1] END AS hop, w FROM c WHERE s = 'F' OR s = 'O' AND k = 0),
+    j AS (SELECT f.*, hop, w, CASE WHEN op IN ('==', '>=') THEN v WHEN op = '>' THEN v + 0.25 ELSE -1e15 END AS lo, CASE WHEN op IN ('==', '<=') THEN v WHEN op = '<' THEN v - 0.25 ELSE 1e15 END AS hi,
+    CASE WHEN hop IN ('==', '>=') THEN w ELSE -1e15 END AS hlo, CASE WHEN hop = '==' THEN w WHEN hop = '<' THEN w - 0.25 ELSE 1e15 END AS hhi FROM f JOIN h USING (report_key, variable)),
+    x AS (SELECT *, row_number() OVER (PARTITION BY report_key, segment ORDER BY event, hop, w::VARCHAR) AS n FROM j WHERE greatest(lo, hlo) > least(hi, hhi) OR v = w AND (op = '!=' AND hop = '==' OR op = '==' AND hop = '!='))
+    SELECT report_key, segment, event, variable, op AS operator, v::VARCHAR AS value, hop AS hard_operator, w::VARCHAR AS hard_value FROM x WHERE n = 1""",
+)
+def hard_constraint_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a user's assumptions by segment (their type), checked against what the user's orders bind them to."""
+    pick = lambda c, *ops: F.element_at(F.array(*map(F.lit, ops)), (c + 1).cast("int"))
+    name = lambda c: F.concat(F.lit("v"), (F.col(c) % 5).cast("string")).alias("variable")
+    facts = table(spark, sf_dir, "events").where("value IS NOT NULL").select(
+        F.col("user_id").alias("report_key"), F.col("event_type").alias("segment"), F.col("event_id").alias("event"), name("event_id"),
+        pick(F.col("event_id") % 4, "==", "<=", ">", "!=").alias("operator"), F.floor("value").cast("string").alias("value"),
+    )
+    result = F.when(F.col("o_orderstatus") == "F", "VIOLATED").when(F.col("o_orderstatus") == "O", "CONSISTENT").otherwise("UNCERTAIN")
+    checked = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("report_key"), name("o_orderkey"), pick(F.col("o_orderkey") % 3, "==", "<", ">=").alias("operator"), (F.col("o_orderkey") % 40).cast("string").alias("value"), result.alias("result")
+    )
+    return T.first_conflicts(facts, T.hard_constraints(checked))

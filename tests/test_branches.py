@@ -77,3 +77,15 @@ def test_call_return_violations(spark):
     found = B.call_return_violations(df, returns).collect()
     assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
     assert B.call_return_violations(df.limit(0), returns).count() == 0
+
+
+def test_hard_constraints_and_their_first_conflicts(spark):
+    from strandline.operators import gates as G
+
+    facts = "report_key int, variable string, operator string, value string, result string"
+    checked = [(1, "x", "<=", "0", "VIOLATED"), (1, "x", "<=", "0", "VIOLATED"), (1, "n", "==", "8", "CONSISTENT"), (1, "n", ">", "3", "CONSISTENT"), (1, "q", "==", "MAX", "VIOLATED"), (1, "z", "~", "1", "VIOLATED"), (2, "x", "==", "1", "UNCERTAIN")]
+    hard = G.hard_constraints(spark.createDataFrame(checked, facts))
+    assert sorted(tuple(r) for r in hard.collect()) == [(1, "n", "==", "8"), (1, "q", "!=", "MAX"), (1, "x", ">", "0")]
+    said = [(1, 0, 3, "x", "<", "-5"), (1, 0, 2, "x", "==", "4"), (1, 1, 5, "q", "==", " MAX"), (1, 2, 6, "q", "==", "MIN"), (1, 3, 7, "n", "==", "null"), (1, 3, 8, "n", ">=", "9"), (2, 0, 1, "x", "<", "0"), (1, 4, 9, None, "==", None)]
+    found = G.first_conflicts(spark.createDataFrame(said, "report_key int, segment int, event int, variable string, operator string, value string"), hard).collect()
+    assert sorted((r["segment"], r["event"], r["hard_operator"], r["hard_value"]) for r in found) == [(0, 3, ">", "0"), (1, 5, "!=", "MAX"), (3, 7, "==", "8")]
