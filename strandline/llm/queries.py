@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm import langid
 from strandline.llm.bpe import encode_documents
 from strandline.llm.cuckoo import exact_duplicates
 from strandline.llm.fingerprint import edited_fingerprints
 from strandline.llm.html_density import extract_pages
 from strandline.llm.mixing import mix
+from strandline.llm.periodic import collapse_runs
 from strandline.llm.pii import replace_entities
 from strandline.llm.sharding import assign_shards
 from strandline.llm.simhash import near_duplicates
+from strandline.llm.spelling import spelling_variants
 from strandline.llm.toxicity import grade_toxicity, train
 from strandline.llm.urlcascade import Rule, judge_urls
 from strandline.session import table
@@ -83,6 +86,19 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_toxicity(documents, train(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.train(documents))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +117,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bloom_cascade": op8_bloom_cascade,
         "op9_surrogates": op9_surrogates,
         "op10_ordinal_toxicity": op10_ordinal_toxicity,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_language_id": op13_language_id,
         "pipeline": pipeline,
     }
 
