@@ -35,12 +35,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._store import text_or_empty
+from strandline.llm._store import released, text_or_empty
 
 #: Words kept during a task, about 350 bytes each; beyond that only those that came up again stay.
 MEMO_WORDS = 300_000
-#: New words that are looked up together.
-QUERY_WORDS = 40_000
+#: New words that are looked up together: so many, or so many characters unless one word has more.
+QUERY_WORDS, QUERY_CHARS = 40_000, 600_000
 #: What one recursive query takes: bytes, and squares of lengths, as a word of n bytes leaves up to n states of n tokens.
 QUERY_BYTES, QUERY_SQUARES = 400_000, 12_000_000
 #: Bytes of a chunk of a longer word, at first; chunks overlap by half.
@@ -96,12 +96,12 @@ SELECT word, list(id ORDER BY pos) AS ids, bool_or(bad) AS bad
 FROM state SEMI JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) AS last USING (word, step) GROUP BY word
 """
 
-#: The words of coded with their ids in decimal and the bytes, as Latin-1 characters, that the ids decode to.
+#: The words of a table with their ids in decimal and the bytes, as Latin-1 characters, that the ids decode to.
 _DECODE = """
 SELECT word, array_to_string(ids, ' ') AS decimal, piece
-FROM coded LEFT JOIN (
+FROM {table} LEFT JOIN (
     SELECT word, string_agg(piece, '' ORDER BY pos) AS piece
-    FROM (SELECT word, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY word) USING (word)
+    FROM (SELECT word, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM {table}) JOIN vocabulary USING (id) GROUP BY word) USING (word)
 """
 
 
@@ -291,9 +291,20 @@ class Tokenizer:
             i = j + 1
         return out
 
-    def _decoded(self) -> Iterator[tuple[int, str, bytes]]:
-        """(word, ids in decimal, bytes) of the table coded."""
-        found = self._db.sql(_DECODE).to_arrow_table()
+    def _decoded(self, table: str = "coded") -> Iterator[tuple[int, str, bytes]]:
+        """(word, ids in decimal, bytes) of the table coded, or of halves of it where it is too much at once."""
+        try:
+            found = self._db.sql(_DECODE.format(table=table)).to_arrow_table()
+        except duckdb.OutOfMemoryException:
+            low, high = self._db.sql(f"SELECT min(word), max(word) FROM {table}").fetchall()[0]
+            if low == high:
+                raise
+            for k, span in enumerate((f"word <= {(low + high) // 2}", f"word > {(low + high) // 2}")):
+                half = f"{table}_{k}"
+                self._db.sql(f"CREATE OR REPLACE TEMP TABLE {half} AS SELECT * FROM {table} WHERE {span}")
+                yield from self._decoded(half)
+                self._db.sql(f"DROP TABLE {half}")
+            return
         for i, decimal, piece in zip(*(found[k].to_pylist() for k in ("word", "decimal", "piece"))):
             yield i, decimal or "", (piece or "").encode("latin-1")
 
@@ -317,8 +328,13 @@ class Tokenizer:
     def learn(self, words: set[str]) -> None:
         """Have the words' ids and decoded bytes in the memo."""
         new = [w for w in words if w not in self._decimal]
-        for at in range(0, len(new), QUERY_WORDS):
-            part = new[at : at + QUERY_WORDS]
+        at = 0
+        while at < len(new):
+            end, size = at, 0
+            while end < len(new) and end - at < QUERY_WORDS and (end == at or size + len(new[end]) <= QUERY_CHARS):
+                size += len(new[end])
+                end += 1
+            part, at = new[at:end], end
             self._contract([w.encode("utf-8", "surrogatepass") for w in part])
             for i, decimal, piece in self._decoded():
                 self._decimal[part[i]] = decimal
@@ -400,7 +416,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str | None = None, id_co
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     schema = "id long, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -413,4 +429,4 @@ def decode_documents(df: DataFrame, path: str, pattern: str | None = None, id_co
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(tok.decode_lists([x or [] for x in b["ids"].to_pylist()]), pa.binary())], names=["id", "decoded"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "id long, decoded binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, decoded binary").withColumnRenamed("id", id_col)

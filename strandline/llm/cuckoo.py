@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._store import join_groups, materialize, row_key, text_or_empty, without
+from strandline.llm._store import join_groups, materialize, released, row_key, text_or_empty, without
 
 #: Digests in one index bucket, on average; an index takes about 250 bytes a digest.
 DIGESTS_PER_BUCKET = 100_000
@@ -178,9 +178,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _groups(rows: DataFrame, total: int) -> DataFrame:
     """digest, no_id, first_id, first_row, n of every group of equal digests."""
     n_buckets = max(1, -(-total // DIGESTS_PER_BUCKET))
-    folded = rows.mapInArrow(_fold(n_buckets), _FOLDED)
+    folded = rows.mapInArrow(released(_fold(n_buckets)), _FOLDED)
     spread = max(n_buckets, 1)
-    return folded.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _FOLDED).drop("bucket")
+    return folded.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_merge), _FOLDED).drop("bucket")
 
 
 def _digested(df: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
@@ -244,4 +244,4 @@ def apply_changes(live: DataFrame, changes: DataFrame) -> DataFrame:
                     index.insert(digest, True)
         yield flush()
 
-    return spread.mapInArrow(run, "digest binary")
+    return spread.mapInArrow(released(run), "digest binary")

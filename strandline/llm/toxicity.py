@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from strandline.llm._store import materialize, text_or_empty
+from strandline.llm._store import materialize, released, text_or_empty
 
 #: Labelled texts of each class that the model is fitted on.
 TRAIN_ROWS = 4_000
@@ -129,7 +129,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_co
     """Fit on at most so many labelled documents of each class; copies among them count once. Without labels of both classes nothing is toxic."""
     sample = _sample(documents, labels, rows, id_col, text_col)
     once = sample.groupBy(F.xxhash64("text").alias("print")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
-    counted = materialize(once.mapInArrow(_counted, "label int, print long, features array<string>"), "toxicity-sample")
+    counted = materialize(once.mapInArrow(released(_counted), "label int, print long, features array<string>"), "toxicity-sample")
     sizes = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -186,9 +186,15 @@ _RESULT = "struct<severity: double, grade: int, p_mild: double, p_severe: double
 
 def _judge(model: Model):
     @pandas_udf(_RESULT)
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(graded)(batches)
+
+    def graded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = _scorer(model)
-        scores = np.array([score(t) for t in texts], float)
+        for texts in batches:
+            yield verdicts(np.array([score(t) for t in texts], float))
+
+    def verdicts(scores: np.ndarray) -> pd.DataFrame:
         p = model.grades(scores)
         severity = p @ np.arange(GRADES)
         return pd.DataFrame({"severity": severity, "grade": p.argmax(axis=1).astype(np.int32), "p_mild": p[:, 1], "p_severe": p[:, 2], "toxic": (1 - p[:, 0] >= model.cut) & (scores > 0)})

@@ -20,6 +20,7 @@ CASES = {
     "base 64": lambda: drawn(2, LETTERS + LETTERS.upper() + "0123456789+/", 40_000),
     "bases": lambda: drawn(3, "ACGT", 60_000),
     "words of 150 letters": lambda: " ".join(drawn(i, LETTERS, 150) for i in range(4_000)),
+    "40,000 words of 150 letters": lambda: " ".join(drawn(i, LETTERS, 150) for i in range(40_000)),
     "Han characters": lambda: drawn(4, "".join(map(chr, range(0x4E00, 0x9FA5))), 200_000),
     "one letter": lambda: "a" * 70_001,
     "dashes and spaces": lambda: "-" * 30_001 + " " * 20_003 + "=" * 10_007,
@@ -52,3 +53,33 @@ def test_random_words_of_few_letters_splice_like_the_library():
     texts = ["".join(rng.choice(LETTERS[: rng.randrange(1, 9)]) * rng.randrange(1, 40) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
     for t, (decimal, _) in zip(texts, tok.documents(texts)):
         assert [int(x) for x in decimal.split()] == reference.encode_ordinary(t)
+
+
+def test_a_table_too_large_to_decode_at_once_is_halved():
+    import duckdb
+
+    import public_tokenizers
+
+    tok = bpe.worker_tokenizer(vocabulary_path(), public_tokenizers.PATTERN)
+
+    class Small:
+        """The database, out of memory for more than 30 words."""
+
+        def __init__(self, db):
+            self.db = db
+
+        def sql(self, text):
+            if "string_agg" in text and self.db.sql(f"SELECT count(*) FROM {text.split('FROM ')[1].split()[0]}").fetchall()[0][0] > 30:
+                raise duckdb.OutOfMemoryException("too much")
+            return self.db.sql(text)
+
+        def __getattr__(self, name):
+            return getattr(self.db, name)
+
+    whole, tok._db = tok._db, Small(tok._db)
+    try:
+        lists = [[i, i + 1] for i in range(200)]
+        halved = tok.decode_lists(lists)
+    finally:
+        tok._db = whole
+    assert halved == tok.decode_lists(lists)
