@@ -98,7 +98,7 @@ def requires_non_null(condition: Column, variable: Column) -> Column:
     """Whether a condition holds only while a pointer isn't null, in a form that shows it: V, !!V, V != null or null != V, in
     brackets or not. Everything else, the opposite and compound conditions included, is false."""
     bare = F.regexp_replace(F.regexp_replace(condition, r"\b(?:nullptr|NULL|__null)\b", "0"), r"\s+", "")
-    part = lambda i: F.regexp_extract(bare, r"^(\(*)((?:!!)*)(?:([A-Za-z_]\w*)(?:!=0)?|0!=([A-Za-z_]\w*))(\)*)$", i)
+    part = lambda i: F.regexp_extract(bare, r"^(\(*)((?:!!)*+)(?:([A-Za-z_]\w*)(?:!=0)?|0!=([A-Za-z_]\w*))(\)*)$", i)
     return F.coalesce((F.concat(part(3), part(4)) == variable) & (F.length(part(1)) == F.length(part(5))), F.lit(False))
 
 

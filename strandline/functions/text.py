@@ -11,13 +11,13 @@ KEYWORDS = ("if", "while", "for", "return", "sizeof", "true", "false", "null", "
 
 def identifiers(expr: Column) -> Column:
     """Identifiers of an expression, member chains whole, keywords left out, in order of first sight."""
-    found = F.regexp_extract_all(expr, F.lit(r"[A-Za-z_]\w*(?:(?:->|\.)[A-Za-z_]\w*)*"), F.lit(0))
+    found = F.regexp_extract_all(expr, F.lit(r"[A-Za-z_]\w*+(?:(?:->|\.)[A-Za-z_]\w*+)*+"), F.lit(0))
     return F.array_distinct(F.filter(found, lambda x: ~x.isin(*KEYWORDS)))
 
 
 def strip_comment(line: Column) -> Column:
     """The line without its string literals' content and without a trailing comment."""
-    return F.rtrim(F.regexp_replace(F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', '""'), r"//.*$", ""))
+    return F.rtrim(F.regexp_replace(F.regexp_replace(line, r'"(?:[^"\\]++|\\.)*+"', '""'), r"//.*$", ""))
 
 
 def strip_tags(text: Column) -> Column:
@@ -39,8 +39,8 @@ def fold_four(text: Column) -> Column:
 
 def equality_leaf(expr: Column) -> Column:
     """struct(variable, constant) of 'name == literal' or 'literal == name', the literal a number or an UPPER_CASE name; else null."""
-    left = r"^\s*\(*\s*([A-Za-z_][\w.]*(?:->\w+)*)\s*==\s*(-?\d\w*|[A-Z][A-Z0-9_]+|'[^']{1,4}')\s*\)*\s*$"
-    right = r"^\s*\(*\s*(-?\d\w*|[A-Z][A-Z0-9_]+|'[^']{1,4}')\s*==\s*([A-Za-z_][\w.]*(?:->\w+)*)\s*\)*\s*$"
+    left = r"^\s*\(*\s*([A-Za-z_][\w.]*(?:->\w+)*+)\s*==\s*(-?\d\w*|[A-Z][A-Z0-9_]+|'[^']{1,4}')\s*\)*\s*$"
+    right = r"^\s*\(*\s*(-?\d\w*|[A-Z][A-Z0-9_]+|'[^']{1,4}')\s*==\s*([A-Za-z_][\w.]*(?:->\w+)*+)\s*\)*\s*$"
     a = F.struct(F.regexp_extract(expr, left, 1).alias("variable"), F.regexp_extract(expr, left, 2).alias("constant"))
     b = F.struct(F.regexp_extract(expr, right, 2).alias("variable"), F.regexp_extract(expr, right, 1).alias("constant"))
     return F.when(expr.rlike(left), a).when(expr.rlike(right), b)

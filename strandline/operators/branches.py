@@ -17,8 +17,8 @@ def branch_verdict(condition: Column, taken: Column, constraint: Column) -> Colu
     A branch not taken requires the opposite of its condition. Variables are the same if their last components are; a
     variable alone means that it isn't null, with ! in front that it is."""
     last = lambda v: F.element_at(F.split(v, r"->|\."), -1)
-    plain = F.regexp_extract(condition, r"^\s*(!?)\s*([A-Za-z_][\w.]*(?:->\w+)*)\s*$", 2)
-    bang = F.regexp_extract(condition, r"^\s*(!?)\s*([A-Za-z_][\w.]*(?:->\w+)*)\s*$", 1)
+    plain = F.regexp_extract(condition, r"^\s*(!?)\s*([A-Za-z_][\w.]*(?:->\w+)*+)\s*$", 2)
+    bang = F.regexp_extract(condition, r"^\s*(!?)\s*([A-Za-z_][\w.]*(?:->\w+)*+)\s*$", 1)
     alone = F.struct(plain.alias("variable"), F.when(bang == "!", "==").otherwise("!=").alias("operator"), F.lit("0").alias("value"))
     need, given = F.when(plain != "", alone).otherwise(C.parse_constraint(condition)), C.parse_constraint(constraint)
     op = F.when(taken, need["operator"]).otherwise(C.negate(need["operator"]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import constraints as C
+from strandline.functions import messages as M
 from strandline.functions.constraints import is_pointer_parameter, requires_non_null
 
 
@@ -27,9 +28,8 @@ def fabricated_entry_state(reports: DataFrame, steps: DataFrame, functions: Data
     rows = steps.withColumn("_n", F.row_number().over(ordered))
     start = F.col("kind") == "error_start"
     begun = rows.groupBy(key).agg(F.min(F.when(~F.coalesce(start, F.lit(False)), F.struct("_n", "message"))).alias("_first"), F.max(F.struct("step", "file", "line", "message")).alias("_end"))
-    begun = begun.where((F.col("_first._n") <= 2) & F.col("_first.message").rlike(r"(?i)^\s*assuming\s+(?:the\s+)?pointer\s+value\s+is\s+null"))
-    loaded = F.regexp_extract("_end.message", r"""(?i)\b(?:loaded|read) from (?:the )?(?:variable|memory) ['"]([A-Za-z_]\w*)['"]""", 1)
-    ends = begun.select(key, loaded.alias("parameter"), F.col("_end.file").alias("file"), F.col("_end.line").alias("deref_line")).where("parameter <> ''")
+    begun = begun.where((F.col("_first._n") <= 2) & M.assumes_null_pointer(F.col("_first.message")))
+    ends = begun.select(key, M.loaded(F.col("_end.message")).alias("parameter"), F.col("_end.file").alias("file"), F.col("_end.line").alias("deref_line")).where("parameter IS NOT NULL")
     asked = ends.join(reports.where(F.col("bug_type").rlike(r"(?i)null")).select(key).distinct(), key)
     around = asked.join(functions.select("file", F.col("name").alias("function"), "parameters", "low", "high"), "file").where("deref_line BETWEEN low AND high")
     around = around.where(is_pointer_parameter(F.col("parameters"), F.col("parameter")))
@@ -37,7 +37,7 @@ def fabricated_entry_state(reports: DataFrame, steps: DataFrame, functions: Data
     held = held.where("check_line BETWEEN low AND high AND check_line < deref_line").where(requires_non_null(F.col("condition"), F.col("parameter")))
     failing = rows.where("direction").select(key, "file", F.col("line").alias("check_line"), "step")
     taken = held.join(failing, [key, "file", "check_line"]).groupBy(key, "function", "parameter", "check_line", "deref_line").agg(F.min("step").alias("check_step"))
-    stored = rows.select(key, F.col("step").alias("_s"), F.regexp_extract("message", r"(?i)\b(?:stored|assigned) to (?:field |variable |the )*'([A-Za-z_]\w*)'", 1).alias("parameter"))
+    stored = rows.select(key, F.col("step").alias("_s"), M.named_after(F.col("message"), "stored to ", "assigned to ").alias("parameter"))
     spoiled = taken.join(stored, [key, "parameter"]).where("_s < check_step").select(key, "parameter", "check_line").distinct()
     return taken.join(spoiled, [key, "parameter", "check_line"], "left_anti").select(key, "function", "parameter", "check_line", "check_step", "deref_line")
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import messages as M
+
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|#[^\n]*|[A-Za-z_]\w*|\|\||&&|::|->|\n|[(){}\[\];:,]|[^\s\w]|\d[\w.]*", re.S)
 _PAIRS = {")": "(", "}": "{", "]": "["}
 CONTROL = ("if", "while", "for", "switch")
@@ -184,18 +186,10 @@ def truth_returns(files: DataFrame) -> DataFrame:
 
 
 def falsified(condition: Column, assumption: Column) -> Column:
-    """Whether an assumption's text refutes a condition's text; false where it doesn't plainly."""
-    pick = lambda p, i: F.regexp_extract(assumption, p, i)
-    flat = F.concat(F.lit(" "), F.regexp_replace(condition, r"\s*(==|!=|<=|>=|<|>)\s*", "$1"), F.lit(" "))
-
-    def says(form: str, op: str) -> Column:
-        pattern = rf"(?i)Assuming (?:field )?'([^']+)' is {form}\s+'?(-?\w+)'?"
-        piece = F.concat(pick(pattern, 1), F.lit(op), pick(pattern, 2))
-        at = F.instr(flat, piece)
-        edge = lambda i: F.substring(flat, i, F.lit(1)).rlike(r"\w")
-        return F.when(pick(pattern, 1) != "", (at > 0) & ~edge(at - 1) & ~edge(at + F.length(piece)))
-
-    return F.coalesce(F.when(assumption.rlike(r"(?i)assuming the condition is false"), True), says("not equal to", "=="), says("<=", ">"), says("equal to", "!="), F.lit(False))
+    """Whether an assumption's message refutes a condition's text; false where it doesn't plainly."""
+    given = M.assumed(assumption)
+    itself = F.coalesce((given["subject"] == "condition") & (given["operator"] == "==") & (given["value"] == "false"), F.lit(False))
+    return itself | M.refuted(condition, given)
 
 
 def implicit_false(events: DataFrame, controls: DataFrame, key: str = "report_key") -> DataFrame:
@@ -216,17 +210,21 @@ def implicit_false(events: DataFrame, controls: DataFrame, key: str = "report_ke
 
 
 def short_circuits(events: DataFrame, controls: DataFrame, key: str = "report_key") -> DataFrame:
-    """Operands that are never evaluated as one before them decided: key, file, line, reason.
-
-    In a chain of || a true first operand decides, in one of && a false one. Operands on the deciding line itself can't be told apart and don't count."""
-    text = F.lower("message")
-    says_false = text.rlike(r"is (?:null|false|0)\b|is equal to 0\b")
-    says_true = ~says_false & text.rlike(r"is (?:non-null|true)\b|is (?:not equal to|equal to|[<>]=?)")
-    said = events.where(text.contains("assuming")).select(key, "file", F.col("line").alias("_at"), says_true.alias("_true"), says_false.alias("_false"))
-    first = F.get(F.col("operands"), F.lit(0))["line"]
-    chains = controls.where(F.size("operands") > 1).select("file", first.alias("_at"), F.explode(F.slice("operands", F.lit(2), F.size("operands"))).alias("o"))
-    hit = said.join(chains, ["file", "_at"]).where((F.col("o.line") > F.col("_at")) & (((F.col("o.joined_by") == "||") & F.col("_true")) | ((F.col("o.joined_by") == "&&") & F.col("_false"))))
-    return hit.select(key, "file", F.col("o.line").alias("line"), F.when(F.col("o.joined_by") == "||", "first operand is true").otherwise("first operand is false").alias("reason")).distinct()
+    """Operands that are never evaluated as the first one decided: key, file, line, reason.
+
+    A chain of || is decided by a first operand that an assumption on its line makes true, one of && by one that it makes
+    false; both are told by comparing what is assumed with the operand's text. Operands that aren't a comparison of a name
+    with a literal, or a name alone, decide nothing, nor do chains that mix both operators. Operands on the deciding line
+    itself can't be told apart and don't count."""
+    said = events.select(key, "file", F.col("line").alias("_at"), M.assumed(F.col("message")).alias("_given")).where("_given IS NOT NULL")
+    joins = F.array_distinct(F.transform(F.slice("operands", F.lit(2), F.greatest(F.size("operands"), F.lit(1))), lambda o: o["joined_by"]))
+    chains = controls.where(F.size("operands") > 1).select("file", F.get(F.col("operands"), F.lit(0))["line"].alias("_at"), "operands", joins.alias("_by"), "condition").where(F.size("_by") == 1)
+    chains = chains.withColumn("_by", F.get("_by", F.lit(0)))
+    first = M.comparison(F.get(F.when(F.col("_by") == "||", F.split("condition", r"\|\|")).otherwise(F.split("condition", "&&")), F.lit(0)))
+    hit = said.join(chains, ["file", "_at"]).withColumn("_need", first)
+    true, false = M.refutes(F.col("_given"), M.negated(F.col("_need"))), M.refutes(F.col("_given"), F.col("_need"))
+    hit = hit.where(((F.col("_by") == "||") & true) | ((F.col("_by") == "&&") & false)).select(key, "file", "_at", "_by", F.explode(F.slice("operands", F.lit(2), F.size("operands"))).alias("o"))
+    return hit.where(F.col("o.line") > F.col("_at")).select(key, "file", F.col("o.line").alias("line"), F.when(F.col("_by") == "||", "first operand is true").otherwise("first operand is false").alias("reason")).distinct()
 
 
 def dead_ranges(decided: DataFrame, controls: DataFrame, key: str = "report_key") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from strandline.functions import messages as M
 from strandline.functions.c_expression import truth
 from strandline.operators.graph import fixpoint, settle
 from strandline.operators.joins import band_join
@@ -58,27 +59,13 @@ def path_annotations(events: DataFrame, predicates: DataFrame) -> DataFrame:
 
 
 def assumptions(events: DataFrame, text: str = "message", line: str = "line", keep_others: bool = False) -> DataFrame:
-    """Adds variable, operator, value of what an event assumes or stores; events that do neither are left out, or kept with nulls. The first form that fits decides."""
-    t = F.col(text)
-    pick = lambda p, i: F.regexp_extract(t, p, i)
-    state = r"(?i)Assuming (?:field |pointer value |)'?([\w.\->]+)'? is (true|false|null|non-null)"
-    condition = r"(?i)Assuming the condition is (true|false)"
-    field = r"Assuming (?:field |)'([^']+)' is (==|!=|<=|>=|<|>) '?([\w.\-]+)'?"
-    equal = r"Assuming (?:field |)'([^']+)' is equal to (?:field |)'?([\w.\-]+)'?"
-    null = r"Null pointer value stored to (?:field |)'([^']+)'"
-    stored = r"[Vv]alue '?([^' ]+)'? (?:is )?stored to (?:field |)'([^']+)'"
-    s = lambda v, o, x: F.struct(v.alias("variable"), o.alias("operator"), x.alias("value"))
-    word = F.lower(pick(state, 2))
-    fact = (
-        F.when(pick(state, 2) != "", s(pick(state, 1), F.when(word == "non-null", "!=").otherwise("=="), F.when(word == "non-null", "null").otherwise(word)))
-        .when(pick(condition, 1) != "", s(F.concat(F.lit("condition@L"), F.col(line).cast("string")), F.lit("=="), F.lower(pick(condition, 1))))
-        .when(pick(field, 2) != "", s(pick(field, 1), pick(field, 2), pick(field, 3)))
-        .when(pick(equal, 2) != "", s(pick(equal, 1), F.lit("=="), pick(equal, 2)))
-        .when(pick(null, 1) != "", s(pick(null, 1), F.lit("=="), F.lit("null")))
-        .when(pick(stored, 2) != "", s(pick(stored, 2), F.lit("=="), pick(stored, 1)))
-    )
-    found = events.withColumn("_f", fact)
-    return (found if keep_others else found.where("_f IS NOT NULL")).select(*events.columns, "_f.variable", "_f.operator", "_f.value")
+    """Adds variable, operator, value of what an event assumes or stores; events that do neither are left out, or kept with
+    nulls. An assumption about the condition itself is named after its line."""
+    given, put = M.assumed(F.col(text)), M.stored(F.col(text))
+    said = F.when(given.isNotNull(), given).when(put.isNotNull(), F.struct(put["subject"].alias("subject"), F.lit("==").alias("operator"), put["value"].alias("value")))
+    found = events.withColumn("_f", said)
+    name = F.when(F.col("_f.subject") == "condition", F.concat(F.lit("condition@L"), F.col(line).cast("string"))).otherwise(F.col("_f.subject"))
+    return (found if keep_others else found.where("_f IS NOT NULL")).select(*events.columns, name.alias("variable"), F.col("_f.operator").alias("operator"), F.col("_f.value").alias("value"))
 
 
 def line_alignment(probes: DataFrame, lines: DataFrame, key: str, reach: int = 8, least: int = 8) -> DataFrame:

@@ -6,12 +6,22 @@ to is carried forward by a window over the lines of one dump.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: the header of a block in the dump.
 _BLOCK = r"^\s*\[(B\d+)\s*(?:\((\w+)\))?\]\s*$"
-_PARTS = {"statement": r"^\s+\d+:\s+(.+)$", "terminator": r"^\s+T:\s+(.+)$", "predecessors": r"^\s+Preds\s+\(\d+\):\s+(.*)$", "successors": r"^\s+Succs\s+\(\d+\):\s+(.*)$"}
+# What a line of a block begins with, by what it holds; a statement begins with its number.
+_LABELS = {"terminator": "T", "predecessors": "Preds", "successors": "Succs"}
+
+
+def _part(name: str) -> Column:
+    """What an indented line says behind its label and the first colon, empty for lines of other kinds."""
+    label = F.trim(F.substring_index(F.trim("line"), "(", 1)) if name in ("predecessors", "successors") else F.substring_index(F.trim("line"), ":", 1)
+    label = F.regexp_replace(label, r"\s.*$", "")
+    mine = label.rlike(r"^\d+$") if name == "statement" else label == _LABELS[name]
+    at = F.instr("line", ":")
+    return F.when(F.col("line").rlike(r"^\s") & mine & (at > 0), F.trim(F.expr("substring(line, instr(line, ':') + 1)"))).otherwise("")
 
 
 def blocks(dumps: DataFrame) -> DataFrame:
@@ -31,8 +41,7 @@ def blocks(dumps: DataFrame) -> DataFrame:
         "function_name": F.last(F.when(F.col("_opens"), text), ignorenulls=True).over(upto),
         "block_id": F.last(F.when(F.col("_opens"), F.lit("")).when(F.col("_block") != "", F.col("_block")), ignorenulls=True).over(upto),
     }).where("function_name IS NOT NULL AND block_id <> ''")
-    one = lambda name: F.regexp_extract("line", _PARTS[name], 1)
-    parts = carried.withColumns({k: one(k) for k in _PARTS})
+    parts = carried.withColumns({k: _part(k) for k in ("statement", *_LABELS)})
     listed = F.sort_array(F.collect_list(F.when((F.col("statement") != "") & (F.col("terminator") == ""), F.struct("at", "statement"))))
     names = lambda column: F.filter(F.split(F.trim(F.max(column)), r"\s+"), lambda x: x != "")
     found = parts.groupBy("path", "function_name", "_start", "block_id").agg(

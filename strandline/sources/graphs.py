@@ -73,7 +73,7 @@ def read_call_graph(documents: DataFrame) -> dict[str, DataFrame]:
 def read_compile_database(documents: DataFrame) -> DataFrame:
     """path, directory, file, arguments of every entry; a command string is split at white space outside quotes."""
     parsed = documents.select("path", F.posexplode(F.from_json("content", COMPILE_SCHEMA)).alias("ordinal", "e"))
-    words = F.transform(F.regexp_extract_all("e.command", F.lit(r'(?:[^\s"]|"[^"]*")+'), F.lit(0)), lambda w: F.replace(w, F.lit('"'), F.lit("")))
+    words = F.transform(F.regexp_extract_all("e.command", F.lit(r'(?:[^\s"]++|"[^"]*+")++'), F.lit(0)), lambda w: F.replace(w, F.lit('"'), F.lit("")))
     return parsed.select("path", "ordinal", "e.directory", "e.file", F.coalesce("e.arguments", words).alias("arguments"))
 
 

@@ -49,7 +49,7 @@ def test_paths(spark, controls):
     ]
     events = spark.createDataFrame(rows, "report_key string, step int, kind string, file string, line int, message string")
     assert {tuple(r) for r in S.implicit_false(events, controls).collect()} == {("r", "a.cpp", 3, 1), ("u", "a.cpp", 7, 1)}
-    assert {tuple(r)[:3] for r in S.short_circuits(events, controls).collect()} == {("r", "a.cpp", 4), ("r", "a.cpp", 5), ("s", "a.cpp", 4), ("s", "a.cpp", 5)}
+    assert S.short_circuits(events, controls).collect() == []  # neither assumption makes `p == 0` true
     decided = spark.createDataFrame([("r", "a.cpp", 3, True), ("r", "a.cpp", 12, False), ("r", "a.cpp", 7, None)], "report_key string, file string, line int, taken boolean")
     assert {tuple(r)[2:] for r in S.dead_ranges(decided, controls).collect()} == {(7, 9), (9, 11), (12, 12)}
 
