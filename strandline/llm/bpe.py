@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import duckdb
@@ -133,6 +133,7 @@ class Tokenizer:
         for token, rank in ranks.items():
             if len(token) == 2:
                 self._pair_ranks[token[0], token[1]] = rank
+        self.memo_words = MEMO_WORDS
         self._sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self._sizes[list(ranks.values())] = [len(t) for t in ranks]
         self._db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})  # nothing spills to a local disk
@@ -350,8 +351,8 @@ class Tokenizer:
         """For each text its ids in decimal, joined by one space, and the bytes that they decode to."""
         words = [self.split(t) for t in texts]
         block = set().union(*words)
-        if len(self._decimal) > MEMO_WORDS:
-            stay = self._again if len(self._again) < MEMO_WORDS // 2 else set()
+        if len(self._decimal) > self.memo_words:
+            stay = self._again if len(self._again) < self.memo_words // 2 else set()
             self._decimal, self._piece = {w: self._decimal[w] for w in stay}, {w: self._piece[w] for w in stay}
             self._again = set()
         self._again |= block & self._decimal.keys()
@@ -377,7 +378,7 @@ def worker_tokenizer(path: str, pattern: str) -> Tokenizer:
 BLOCK_CHARS = 2_500_000
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
+def _blocks(texts: Iterable[str]) -> Iterator[list[str]]:
     block, size = [], 0
     for t in texts:
         block.append(t)
@@ -389,19 +390,20 @@ def _blocks(texts: list[str]) -> Iterator[list[str]]:
         yield block
 
 
-def encode_documents(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per row of df: the id, ids (array of int, if keep_ids), n_tokens, ids_sha256, decoded_sha256.
 
-    path is the vocabulary's place on every worker. Each match of the pattern is encoded on its own, without special
+    path is the vocabulary's place on every worker; memo_words rules how many words a task keeps with their ids. Each match of the pattern is encoded on its own, without special
     tokens; a null text counts as empty and has no tokens. decoded_sha256 is of the bytes that the ids decode to. Repeated
     rows come out each; an empty table gives an empty one."""
     pattern = pattern or _default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(path, pattern)
+        tok.memo_words = memo_words
         for b in batches:
             start = 0
-            for block in _blocks(b["text"].to_pylist()):  # a block's results go out before the next one's are made
+            for block in _blocks(t.as_py() for t in b["text"]):  # a block's results go out before the next one's are made
                 found = list(tok.documents(block))
                 counts = [joined.count(" ") + 1 if joined else 0 for joined, _ in found]
                 columns = [b["id"].slice(start, len(block))]
