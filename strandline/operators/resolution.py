@@ -116,7 +116,8 @@ def resolve_functions(asked: DataFrame, known: DataFrame, calls: DataFrame | Non
     if calls is not None:
         # only what the ladder left open, one (caller, name) once
         open_ = told.where("b0 IS NULL AND b1 IS NULL AND b2 IS NULL AND name IS NOT NULL AND name <> ''").select("caller", "name").distinct()
-        met = open_.join(calls, "caller").where(F.contains("callee", "name"))
+        once = calls.groupBy("caller", "callee").agg(F.min("ordinal").alias("ordinal"))
+        met = open_.join(once, "caller").where(F.contains("callee", "name"))
         ends = (F.col("callee") == F.col("name")) | F.endswith("callee", F.concat(F.lit("::"), "name"))
         pick = lambda c: F.min(F.when(c, F.struct("ordinal", F.col("callee").alias("target"))))
         told = told.join(met.groupBy("caller", "name").agg(pick(ends).alias("b3"), pick(~ends).alias("b4")), ["caller", "name"], "left")
