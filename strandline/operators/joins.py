@@ -145,10 +145,13 @@ def unique_match(asked: DataFrame, known: DataFrame, name: str, target: str) ->
 def suffix_pairs(asked: DataFrame, known: DataFrame, ask: str, know: str) -> DataFrame:
     """Pairs (ask, know) of distinct texts where the known one ends with the asked one, which isn't empty.
 
-    Each known text is spelled out by its suffixes, so this is an equality join that grows with distinct texts and their lengths."""
+    Each known text stands under one hash for each length of its end, folded from the last character on, so the join grows
+    with the texts' lengths; only ends as long as some asked text are kept, and texts decide behind the hash."""
+    ends = lambda c: F.aggregate(F.reverse(F.split(c, "")), F.array(F.lit(42).cast("long")), lambda held, x: F.concat(held, F.array(F.xxhash64(x, F.element_at(held, -1)))))
+    wanted = asked.select(ask).where(F.col(ask) != "").distinct().select(ask, F.length(ask).alias("_n"), F.element_at(ends(F.col(ask)), -1).alias("_h"))
     texts = known.select(know).where(F.col(know) != "").distinct()
-    cut = F.explode(F.transform(F.sequence(F.lit(1), F.length(know)), lambda i: F.substr(F.col(know), i)))
-    return asked.select(ask).where(F.col(ask) != "").distinct().join(texts.select(know, cut.alias(ask)), ask)
+    cut = texts.select(know, F.posexplode(ends(F.col(know))).alias("_n", "_h")).where("_n > 0").join(F.broadcast(wanted.agg(F.max("_n").alias("_most"))), F.col("_n") <= F.col("_most")).drop("_most")
+    return wanted.join(cut, ["_n", "_h"]).where(F.endswith(know, F.col(ask))).select(ask, know)
 
 
 def call_nodes(asked: DataFrame, nodes: DataFrame, tolerance: int = 5) -> DataFrame:
