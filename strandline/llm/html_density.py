@@ -9,7 +9,9 @@ every subtree comes out that is at least as dense as the least dense node of the
 path, and the headings of what comes out; where the page marks its article, only
 further articles do. Lists of links go, but not those of the article itself or of the densest node. What
 markup names as menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments never counts and never comes out.
+reader comments never counts and never comes out, with one exception: a form or a
+part named like a header that holds the page's main text stays, its controls go,
+and no name at all empties a page.
 
 Pages are independent of one another: one Arrow-batched pass, no exchange.
 """
@@ -30,7 +32,7 @@ from strandline.llm._store import text_or_empty
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|title|textarea|noscript|iframe|xmp|noembed|noframes|svg|math|template"
+RAW = "script|style|title|textarea|noscript|iframe|xmp|noembed|noframes|template"
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -39,7 +41,7 @@ CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legen
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section div body html td th aside nav main header footer blockquote form".split())
 # Elements, roles and class or id words of what isn't main text.
-NOT_MAIN = frozenset("head nav footer aside form button select option menu dialog object canvas audio video label fieldset".split())
+NOT_MAIN = frozenset("head nav footer aside form button select option menu dialog object canvas audio video label svg annotation annotation-xml".split())
 NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOT_MAIN_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu submenu "
@@ -48,6 +50,12 @@ NOT_MAIN_WORDS = frozenset(
     "copyright disclaimer alert signup login search pagination pager skip topbar".split()
 )
 HEADER_WORDS = frozenset({"header", "head", "top"})
+#: Names of articles that aren't the page's own.
+OTHER_ARTICLES = frozenset("teaser teasers related recommended promo sponsored ad comment comments reply".split())
+#: A part that markup rules out holds the page's main text if it has so many paragraphs and more than half of all text.
+MAIN_PARAGRAPHS = 2
+#: A page that wraps its text in more such parts than this has names that mean nothing.
+WRAPPERS = 4
 LINKED_SHARE = 0.6
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
@@ -59,9 +67,10 @@ PART_WORDS = frozenset(
 #: Elements that hold text themselves: a compound name says nothing against these.
 TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th caption figcaption span a b i em strong q cite code mark small sub sup u font summary".split())
 
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# Attributes as HTML reads them: a quote opens a value only behind an equals sign, anywhere else it is part of a name.
+_ATTRIBUTES = r"(?:[\s/]+|=|[^\s/>=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?)*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?:\s{_ATTRIBUTES})?/>|<({RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
     rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z",
     re.S | re.I,
 )
@@ -89,7 +98,10 @@ def _names_boilerplate(word: str, tag: str, inside_main: bool) -> bool:
 def _not_main(tag: str, attributes: str, inside_main: bool) -> bool:
     if tag in NOT_MAIN or (tag == "header" and not inside_main):
         return True
-    if not attributes or tag in ("html", "body", "main", "article"):
+    if tag == "article":
+        words = {w for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() == "class" for w in "".join(values).lower().split()}
+        return bool(words & OTHER_ARTICLES)
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
@@ -102,10 +114,17 @@ def _not_main(tag: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
+def _hidden(attributes: str) -> bool:
+    return any(name.lower() == "hidden" or (name.lower(), "".join(values).lower()) == ("aria-hidden", "true") for name, *values in _ATTRIBUTE.findall(attributes or ""))
+
+
 class Page:
     """A page's element tree as parallel lists in document order, with the text events that lie between."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, spared: frozenset[int] = frozenset(), names: bool = True):
+        self.spared, self.names = spared, names
+        # Of each part that markup rules out: text, paragraphs, articles and the like, and whether it is a form or a header by name.
+        self.ruled_out: dict[int, list] = {}
         self.tags, self.parents, self.dead, self.ends = ["#root"], [-1], [False], [0]
         self.chars, self.linked = [0], [0]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a node begins or ends
@@ -113,7 +132,7 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, links, mains, at, is_open = [0], 0, 0, 0, Counter()
+        stack, links, mains, at, is_open, outer = [0], 0, 0, 0, Counter(), [0]
         tags, parents, dead = self.tags, self.parents, self.dead
 
         def pop() -> None:
@@ -129,6 +148,8 @@ class Page:
         def text(piece: str) -> None:
             node = stack[-1]
             if dead[node]:
+                if outer[node] > 0:
+                    self.ruled_out[outer[node]][0] += len(piece) - sum(map(piece.count, " \n\t\r"))
                 return
             piece = entities.unescape(piece) if "&" in piece else piece
             self.events.append((node, piece))
@@ -154,6 +175,11 @@ class Page:
                             pop()
                         break
                 continue
+            if tag == "form" and is_open["form"]:  # forms don't nest
+                continue
+            if tag in BLOCK and is_open["svg"] and not is_open["foreignobject"]:  # a drawing that was never closed
+                while is_open["svg"]:
+                    pop()
             if tag in CLOSES_P and is_open["p"]:
                 self._close(stack, {"p"}, pop)
             if tag in SAME_CLOSES and any(is_open[x] for x in SAME_CLOSES[tag]):
@@ -161,7 +187,19 @@ class Page:
             node, parent = len(tags), stack[-1]
             tags.append(tag)
             parents.append(parent)
-            dead.append(dead[parent] or _not_main(tag, m[4], mains > 0))
+            gone = tag in NOT_MAIN and tag != "form" or _hidden(m[4])
+            dead.append(dead[parent] or gone or (self.names and node not in self.spared and _not_main(tag, m[4], mains > 0)))
+            root = outer[parent]  # the outermost part that is ruled out, -1 where it is gone for good
+            if dead[node] and not dead[parent]:
+                root = -1 if gone else node
+                if root == node:
+                    self.ruled_out[node] = [0, 0, 0, tag == "form" or not _not_main(tag, m[4], True)]
+            elif root > 0 and tag in NOT_MAIN and tag != "form":
+                root = -1
+            outer.append(root)
+            if root > 0 and root != node:
+                self.ruled_out[root][1] += tag == "p"
+                self.ruled_out[root][2] += tag in ("article", "main", "h1")
             self.chars.append(0)
             self.linked.append(0)
             self.starts.append(len(self.events))
@@ -314,9 +352,25 @@ class Page:
         return "\n".join(blocks)
 
 
+def _to_spare(page: Page) -> set[int]:
+    """The parts that are ruled out though they hold the page's main text: a form or a part named like a header that has
+    an article, or paragraphs and most of the text; if nothing else has any text, whatever has most of it."""
+    left = sum(page.chars)
+    total = left + sum(x[0] for x in page.ruled_out.values())
+    found = {i for i, (n, paragraphs, articles, mild) in page.ruled_out.items() if mild and n and 2 * n > total and (articles or paragraphs >= MAIN_PARAGRAPHS)}
+    if not found and not left and total:
+        found = {max(page.ruled_out, key=lambda i: (page.ruled_out[i][0], -i))}
+    return found
+
+
 def main_text(source: str) -> str:
     """The page's main text; empty if it has none."""
-    return Page(source).text() if source else ""
+    if not source:
+        return ""
+    page = Page(source)
+    while page.names and (more := _to_spare(page) - page.spared):  # what stays may hold a further such part
+        page = Page(source, page.spared | more, len(page.spared) < WRAPPERS)
+    return page.text()
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

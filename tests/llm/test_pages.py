@@ -47,13 +47,33 @@ MARKUP = {
 }
 
 
+MARKUP |= {
+    "a form around the page": (f"<body><form><div>{PARAGRAPHS[0]}<input name=q><button>Go</button><select><option>x</select></div></form></body>", LINES[0]),
+    "a form around all but a line": (f"<body><form><div>{PARAGRAPHS[0]}</div></form><div>c 2024</div></body>", LINES[0]),
+    "a search form": (f"<body><form><p>Search here</p><input></form><div>{PARAGRAPHS[0]}</div></body>", LINES[0]),
+    "a wrapper named top": (f"<body><div class='top'><div>{PARAGRAPHS[0]}</div></div></body>", LINES[0]),
+    "forms within forms": (f"<body><div class='head'><form><nav>menu</nav><div>{PARAGRAPHS[0]}</div></form></div></body>", LINES[0]),
+    "a page of comments only": ("<body><div class='comments'><p>a b c</p></div></body>", "a b c"),
+    "comments longer than the article": (f"<body><article>{P}</article><div class='comments'>{PARAGRAPHS[0]}</div></body>", WORDS),
+    "a hidden page": (f"<body><div hidden>{P}</div></body>", ""),
+    "a stray quote": ('<article><p class="a"">one > two</p><p>three</p></article>', "one > two\nthree"),
+    "an apostrophe in a value": ("<article><p data-x=don't>one</p><p>It's two</p><p>three</p></article>", "one\nIt's two\nthree"),
+    "a quoted angle": ("<article><p title='a > b'>one</p></article>", "one"),
+    "formulas": ("<article><p>where <math><mi>E</mi>=<mi>m</mi><annotation>tex</annotation></math> holds</p></article>", "where E=m holds"),
+    "nested drawings": (f"<article><svg><svg><text>x</text></svg><text>label</text></svg>{P}</article>", WORDS),
+    "an open drawing": (f"<article><svg><text>x</text>{P}</article>", WORDS),
+    "character data": (f"<article>{P}<![CDATA[ x > y ]]></article>", WORDS),
+    "teasers": (f"<body><article>{PARAGRAPHS[0]}</article><article class='teaser'>{P}</article><article class='comment'>{P}</article></body>", LINES[0]),
+}
+
+
 @pytest.mark.parametrize("name", MARKUP)
 def test_markup(name):
     source, wanted = MARKUP[name]
     assert main_text(source) == wanted
 
 
-@pytest.mark.parametrize("source", ["<i>" * 60_000 + "</b>" * 60_000 + "x", "<i>" * 30_000 + "<p>" * 30_000 + "x", "<div><p>" * 30_000 + "x", "<li><b>" * 30_000 + "x", "<p>" + "word " * 400_000])
+@pytest.mark.parametrize("source", ["<i>" * 60_000 + "</b>" * 60_000 + "x", "<i>" * 30_000 + "<p>" * 30_000 + "x", "<div><p>" * 30_000 + "x", "<li><b>" * 30_000 + "x", "<p>" + "word " * 400_000, "<svg>" * 40_000 + "<p>x", "<form>" * 3_000 + "<p>x", "<p a=' " * 20_000 + "<p>x", "<p a" + "=" * 200_000 + ">x"])
 def test_long_and_broken_pages_take_linear_time(source):
     start = time.perf_counter()
     assert main_text(source).endswith(("x", "word"))
