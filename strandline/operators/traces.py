@@ -120,7 +120,7 @@ def interprocedural_slice(edges: DataFrame, seeds: DataFrame, refused: DataFrame
     return found
 
 
-def enumerate_paths(branches: DataFrame, segment: str, most: int = MOST_PATHS, k: int = 3, greedy_above: int = GREEDY_ROOTS) -> DataFrame:
+def enumerate_paths(branches: DataFrame, segment: str, most: int = MOST_PATHS, k: int = 3, greedy_above: int | None = GREEDY_ROOTS) -> DataFrame:
     """Paths through a segment's branches in the order of a depth-first walk: segment, path, decisions, S, C, V.
 
     branches: segment, position (pre-order), node, verdict, statements, variables (array), and if given is_taken (the
@@ -128,7 +128,7 @@ def enumerate_paths(branches: DataFrame, segment: str, most: int = MOST_PATHS, k
     and all below it are left out, a consistent one goes its way, others go both, true first. S adds statements and one per
     call, C counts calls, V adds the numbers of variables. Up to so many paths are walked; a path is decoded from its
     number, so no product is formed. With more roots than greedy_above, only the first path and those that turn one of the
-    first 3k roots that may be turned are given."""
+    first 3k roots that may be turned are given; None walks every segment."""
     has = set(branches.columns)
     column = lambda name, default: F.coalesce(F.col(name), default) if name in has else default
     none = F.array().cast("array<string>")
@@ -141,7 +141,7 @@ def enumerate_paths(branches: DataFrame, segment: str, most: int = MOST_PATHS, k
     per = per.withColumn("_b", F.filter("_all", lambda b: (b["verdict"] != "contradictory") & ~F.arrays_overlap(b["above"], F.col("_gone"))))
     open_ = F.filter("_b", lambda b: b["verdict"] != "consistent")
     per = per.withColumns({"_open": F.transform(open_, lambda b: b["node"]), "_roots": F.transform(F.filter("_b", lambda b: F.size(b["above"]) == 0), lambda b: b["node"])})
-    per = per.withColumns({"_k": F.size("_open"), "_greedy": F.size("_roots") > greedy_above})
+    per = per.withColumns({"_k": F.size("_open"), "_greedy": F.lit(False) if greedy_above is None else F.size("_roots") > greedy_above})
     count = F.least(F.pow(F.lit(2.0), F.least(F.col("_k"), F.lit(62))), F.lit(float(most))).cast("long")
     turned = F.filter(F.slice("_roots", 1, 3 * k), lambda r: F.array_contains("_open", r))
     each = per.withColumn("_turned", turned).withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_greedy"), F.size("_turned").cast("long")).otherwise(count - 1))))

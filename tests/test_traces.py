@@ -6,6 +6,7 @@ import json
 import pytest
 
 from strandline.operators import traces as T
+from strandline.plans import trace_plans
 
 
 def test_events_match_nodes_exactly_or_within_the_band(spark):
@@ -103,3 +104,11 @@ def test_conditions_and_repairs():
     document, cut = T.repair('{"a": [{"b": "x\\"y"}, {"b": "cut')
     assert cut and json.loads(document)["a"][0] == {"b": 'x"y'}
     assert T.repair("no object") == (None, True) and T.repair(None) == (None, True)
+
+
+def test_enumerated_paths_of_long_orders_are_all_counted(spark, tmp_path):
+    """Sixteen open lines are more roots than the greedy walk starts at; the SQL counts up to 200 paths all the same."""
+    rows = [(o, 10 * o + i, i, i, 1.0, 0.5, 0.0, "N") for o, n in ((1, 16), (2, 2)) for i in range(n)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double, l_extendedprice double, l_returnflag string")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {tuple(r) for r in trace_plans.enumerated_paths(spark, str(tmp_path)).select("l_orderkey", "n_paths").collect()} == {(1, 200), (2, 4)}
