@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import discard, settle
+from strandline.operators.graph import settle
 
 STRATEGIES = ("direct", "build-prefix", "relative", "suffix", "basename")
 #: Strategies that say where a file lies, not only how it is called.
@@ -183,25 +183,28 @@ def event_files(events: DataFrame, reports: DataFrame, lines: DataFrame, classes
 
     A class whose file is found so belongs to the report's files, and these decide the line look-ups: an event placed by
     its line in a file of the report makes no new file known, one placed elsewhere does, so the look-up is repeated with
-    the files met so far until nothing more is placed anew."""
+    these files. Twice is enough: a line that no known file has makes one known that has it, so none is left the second time.
+    A file's line counts once however many nodes lie on it, and only lines that a report asks for meet its files."""
     named = events.select("report", "event", "line", "file", called_class(F.col("description")).alias("class")).join(classes.withColumnRenamed("file", "class_file"), ["report", "class"], "left")
     how = F.when(F.col("file").isNotNull(), "own").otherwise("class")
     done = settle(named.where("file IS NOT NULL OR class_file IS NOT NULL").select("report", "event", F.coalesce("file", "class_file").alias("file"), how.alias("how")))
     waiting = settle(named.where("file IS NULL AND class_file IS NULL AND line > 0").select("report", "event", "line", "class"))
-    anywhere = settle(lines.groupBy("line").agg(F.min_by("file", "ordinal").alias("any_file")))
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    places = settle(lines.groupBy("file", "line").agg(F.min("ordinal").alias("ordinal")).withColumn("stem", stem))
+    anywhere = settle(places.groupBy("line").agg(F.min_by("file", "ordinal").alias("any_file")))
+    asked = settle(waiting.select("report", "line").distinct().join(anywhere, "line"))
+    with_lines = places.select("file").distinct()
+
+    def inside(known: DataFrame) -> DataFrame:
+        met = known.join(with_lines, "file", "left_semi").join(asked.select("report", "line"), "report").join(places.select("file", "line", "ordinal"), ["file", "line"])
+        return met.groupBy("report", "line").agg(F.min_by("file", "ordinal").alias("in_file"))
+
     known = settle(done.select("report", "file").distinct())
-    while True:
-        stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
-        inside = known.join(lines, "file").groupBy("report", "line").agg(F.min_by("file", "ordinal").alias("in_file"), F.collect_set(F.struct(stem.alias("stem"), F.col("file").alias("file"))).alias("choices"))
-        asked = waiting.join(inside, ["report", "line"], "left").join(anywhere, "line", "left")
-        like = F.get(F.filter("choices", lambda c: c["stem"] == F.col("class")), F.lit(0))["file"]
-        told = settle(asked.select("report", "event", F.coalesce(like, "in_file", "any_file").alias("file"), F.lit("line").alias("how")).where("file IS NOT NULL"))
-        fresh = settle(told.select("report", "file").distinct().join(known, ["report", "file"], "left_anti"))
-        if not fresh.take(1):
-            break
-        grown = settle(known.unionByName(fresh))
-        for old in (known, fresh, told):
-            discard(old)
-        known = grown
+    elsewhere = asked.join(inside(known), ["report", "line"], "left_anti").select("report", F.col("any_file").alias("file"))
+    known = settle(known.unionByName(elsewhere).distinct())
+    alike = waiting.select("report", "line", "class").where("class IS NOT NULL").distinct().join(places.withColumnRenamed("stem", "class"), ["line", "class"])
+    alike = alike.join(known, ["report", "file"], "left_semi").groupBy("report", "line", "class").agg(F.min_by("file", "ordinal").alias("like"))
+    met = waiting.join(inside(known), ["report", "line"]).join(alike, ["report", "line", "class"], "left")
+    told = settle(met.select("report", "event", F.coalesce("like", "in_file").alias("file"), F.lit("line").alias("how")))
     rest = events.select("report", "event").join(done.unionByName(told).select("report", "event"), ["report", "event"], "left_anti").join(reports.select("report", F.col("bug_file").alias("file")), "report", "left")
     return done.unionByName(told).unionByName(rest.select("report", "event", "file", F.lit("bug").alias("how")))

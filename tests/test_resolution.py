@@ -102,3 +102,14 @@ def test_events_are_placed_by_class_line_and_bug_file(spark):
         ("r1", 0): ("/r/lib/Store.cpp", "class"), ("r1", 1): ("/r/lib/h.h", "line"), ("r1", 2): ("/r/lib/h.h", "own"), ("r1", 3): ("/r/lib/bug.c", "bug"), ("r1", 4): ("/v.c", "line"),
         ("r1", 5): ("/r/lib/bug.c", "own"), ("r1", 6): ("/y.c", "line"), ("r1", 7): ("/w.c", "line"), ("r2", 0): ("/z/z.c", "line"), ("r2", 1): (None, "bug"),
     }
+
+
+def test_a_line_with_many_nodes_counts_once_and_the_first_file_of_a_name_wins(spark):
+    """Thirty classes with two files of their name each on the asked line: the one whose node comes first, in every case."""
+    frame = spark.createDataFrame
+    events = [("r", i, 7, f"Calling 'C{i}::go'", None) for i in range(30)] + [("r", 100 + 2 * i + k, 1, "own", f"/{'ab'[k]}/C{i}.{'cc' if k else 'cpp'}") for i in range(30) for k in (0, 1)]
+    first = lambda i: i % 2
+    lines = [(f"/{'ab'[k]}/C{i}.{'cc' if k else 'cpp'}", 7, 10 * i + (k != first(i)) + 1000 * n) for i in range(30) for k in (0, 1) for n in range(20)]
+    found = R.event_files(frame(events, "report string, event int, line int, description string, file string"), frame([], "report string, bug_file string"), frame(lines, "file string, line int, ordinal int"), frame([], "report string, class string, file string"))
+    said = {r["event"]: (r["file"], r["how"]) for r in found.collect()}
+    assert len(said) == 90 and all(said[i] == (f"/{'ab'[first(i)]}/C{i}.{'cc' if first(i) else 'cpp'}", "line") for i in range(30))
