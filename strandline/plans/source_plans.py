@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.plans.graph_plans import _NUMBERED_SQL, _numbered
@@ -22,7 +22,8 @@ def _join(*parts):
 def _documents(rows: DataFrame, key: str, order: str, text, between: str, head: str = "", tail: str = "") -> DataFrame:
     """path, content: the text of a key's rows in their order, joined."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"])
-    return rows.groupBy(_t(key).alias("path")).agg(F.concat(F.lit(head), F.array_join(listed, between), F.lit(tail)).alias("content"))
+    per = rows.groupBy(key).agg(F.concat(F.lit(head), F.array_join(listed, between), F.lit(tail)).alias("content"))
+    return per.select(_t(key).alias("path"), "content")
 
 
 def _sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,12 +161,11 @@ def compile_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dumped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each order as blocks of a dumped function, the last one its entry."""
-    rows = _numbered(spark, sf_dir)
-    last = rows.groupBy("l_orderkey").agg(F.max("n").alias("last"))
+    rows = _numbered(spark, sf_dir).withColumn("last", F.max("n").over(Window.partitionBy("l_orderkey")))
     n, branch = F.col("n"), F.col("l_returnflag") == "R"
     text = _join(
         " [B", n, F.when(n == F.col("last"), " (ENTRY)").otherwise(""), "]\n   1: ", F.col("l_partkey"), "\n   2: [B", n, ".1] > ", F.col("l_suppkey"), "\n", F.when(branch, _join("   T: if [B", n, ".2]\n")).otherwise(""),
         F.when(n == F.col("last"), "").otherwise(_join("   Preds (1): B", n + 1, "\n")), "   Succs (", F.when(branch, "2").otherwise("1"), "): B", n - 1, F.when(branch, " B0").otherwise(""), "\n",
     )
-    found = cfg_text.blocks(_documents(rows.join(last, "l_orderkey"), "l_orderkey", "n", text, "\n", "int f(int x)\n"))
+    found = cfg_text.blocks(_documents(rows, "l_orderkey", "n", text, "\n", "int f(int x)\n"))
     return found.select("path", "function_name", "block_id", "label", F.array_join("statements", "|").alias("statements"), "terminator", F.array_join(F.coalesce("predecessors", F.array()), "|").alias("predecessors"), F.array_join("successors", "|").alias("successors"))

@@ -97,3 +97,12 @@ def test_incremental_equals_batch(spark, tmp_path):
     assert [r["bug_line"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [7]
     sinks.write_manifest(str(tmp_path / "m.json"), {"reports": 1})
     assert json.loads((tmp_path / "m.json").read_text()) == {"reports": 1}
+
+
+def test_cfg_text_takes_the_last_function_of_a_name_and_shuffles_nothing(spark):
+    once = "int f(int x)\n [B1 (ENTRY)]\n   1: a\n   Succs (1): B0\n"
+    dump = once + "\nvoid g()\n\n [B2]\n   1: b\n [B3]\n   1: c\n   T: while [B3.1]\n [B2]\n   2: d\n   Preds (1): B3\n" + once.replace("1: a", "1: z")
+    found = cfg_text.blocks(spark.createDataFrame([("d", dump), ("n", None), ("e", "f()\n[B")], "path string, content string"))
+    assert sorted((r["function_name"], r["block_id"], r["label"], r["statements"], r["terminator"], r["predecessors"], r["successors"]) for r in found.collect()) == [
+        ("int f(int x)", "B1", "ENTRY", ["z"], None, [], ["B0"]), ("void g()", "B2", "", ["b", "d"], None, ["B3"], []), ("void g()", "B3", "", ["c"], "while [B3.1]", [], [])]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
