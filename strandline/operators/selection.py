@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,22 @@ def first_free_selection(candidates: list[list[str]], clashes: set[frozenset], m
         at = back
 
 
+def _selected(own: list[tuple], pairs: list[tuple], most_tried: int) -> Iterator[tuple]:
+    """(verdict, segment, candidate, rank, tried) of one report from its (segment, rank, candidate) and its conflicts."""
+    lists: dict = {}
+    for segment, rank, candidate in sorted(own):
+        lists.setdefault(segment, {}).setdefault(candidate, rank)
+    number = {s: i for i, s in enumerate(lists)}
+    clashes = {frozenset(((number[a], b), (number[c], d))) for a, b, c, d in pairs if b in lists.get(a, ()) and d in lists.get(c, ())}
+    found, tried, ended = first_free_selection([list(c) for c in lists.values()], clashes, most_tried)
+    if found is None:
+        yield "infeasible" if ended else "open", None, None, None, tried
+        return
+    for (segment, ranks), place in zip(lists.items(), found):
+        candidate = list(ranks)[place]
+        yield "found", segment, candidate, ranks[candidate], tried
+
+
 def select_segments(candidates: DataFrame, conflicts: DataFrame, most_tried: int = MOST_TRIED) -> DataFrame:
     """report, verdict, segment, candidate, rank, tried: a candidate for each segment, or why there are none.
 
@@ -69,23 +87,22 @@ def select_segments(candidates: DataFrame, conflicts: DataFrame, most_tried: int
     free selections the first in the order of segments and ranks is taken; equal ranks go by candidate. Reports are
     searched apart from one another and hold their own candidates only; conflicts of unknown candidates don't matter."""
 
-    def search(key: tuple, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        own = own.drop_duplicates(["segment", "candidate"]).sort_values(["segment", "rank", "candidate"])
-        if own.empty:
-            return pd.DataFrame(columns=["report", "verdict", "segment", "candidate", "rank", "tried"])
-        names = sorted(own["segment"].unique())
-        number = {s: i for i, s in enumerate(names)}
-        lists = [own[own["segment"] == s][["candidate", "rank"]].values.tolist() for s in names]
-        known = {(number[s], c) for s, c in own[["segment", "candidate"]].values.tolist()}
-        clashes = {frozenset(((number.get(a, -1), b), (number.get(c, -1), d))) for a, b, c, d in pairs[["segment", "candidate", "other_segment", "other_candidate"]].values.tolist()}
-        found, tried, ended = first_free_selection([[c for c, _ in x] for x in lists], {c for c in clashes if c <= known}, most_tried)
-        if found is None:
-            return pd.DataFrame([(key[0], "infeasible" if ended else "open", None, None, None, tried)], columns=["report", "verdict", "segment", "candidate", "rank", "tried"])
-        rows = [(key[0], "found", s, *lists[i][found[i]], tried) for i, s in enumerate(names)]
-        return pd.DataFrame(rows, columns=["report", "verdict", "segment", "candidate", "rank", "tried"])
-
     kind = candidates.schema
     schema = ", ".join(["report " + kind["report"].dataType.simpleString(), "verdict string", "segment " + kind["segment"].dataType.simpleString(), "candidate string", "rank " + kind["rank"].dataType.simpleString(), "tried long"])
-    left = candidates.select("report", "segment", F.col("candidate").cast("string").alias("candidate"), "rank").groupBy("report")
-    right = conflicts.select(F.col("report").alias("of"), "segment", F.col("candidate").cast("string").alias("candidate"), "other_segment", F.col("other_candidate").cast("string").alias("other_candidate")).groupBy("of")
-    return left.cogroup(right).applyInPandas(search, schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (own, pairs) in enumerate(zip(*[zip(*[c.to_pylist() for c in part]) for part in (batch.columns[1:4], batch.columns[4:])])):
+                found = list(_selected(list(zip(*own)), list(zip(*[p or () for p in pairs])), most_tried))
+                at.extend([i] * len(found))
+                rows.extend(found)
+            listed = list(zip(*rows)) or [()] * 5
+            types = [pa.string(), batch.schema.field(1).type.value_type, pa.string(), batch.schema.field(2).type.value_type, pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, t) for v, t in zip(listed, types)]], names=["report", "verdict", "segment", "candidate", "rank", "tried"])
+
+    text = lambda c: F.col(c).cast("string").alias(c)
+    left = candidates.groupBy("report").agg(F.collect_list(F.struct("segment", "rank", text("candidate"))).alias("c"))
+    right = conflicts.groupBy(F.col("report").alias("of")).agg(F.collect_list(F.struct("segment", text("candidate"), "other_segment", text("other_candidate"))).alias("p"))
+    both = left.join(right, F.col("report").eqNullSafe(F.col("of")), "left")
+    return both.select("report", "c.segment", "c.rank", "c.candidate", "p.segment", "p.candidate", "p.other_segment", "p.other_candidate").toDF("report", *"abcdefg").mapInArrow(search, schema)

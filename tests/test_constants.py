@@ -111,3 +111,10 @@ def test_reports_are_selected_apart(spark):
         spark.createDataFrame(conflicts, "report string, segment int, candidate string, other_segment int, other_candidate string")).collect()
     assert {(r["report"], r["verdict"], r["segment"], r["candidate"], r["rank"]) for r in found} == {
         ("a", "found", 1, "y", 2), ("a", "found", 2, "x", 1), ("b", "infeasible", None, None, None), ("c", "found", 1, "x", 1), ("c", "found", 2, "z", 3), (None, "found", 1, "n", 1)}
+
+
+def test_a_candidate_given_twice_counts_by_its_least_rank(spark):
+    candidates = [("r", 1, "a", 3), ("r", 1, "a", 1), ("r", 1, "b", 2), (None, 1, "a", 1), (None, 1, "b", 2)]
+    conflicts = [(None, 1, "a", 1, "a"), ("gone", 1, "a", 1, "a"), ("r", 2, "x", 1, "a")]
+    found = selection.select_segments(spark.createDataFrame(candidates, "report string, segment int, candidate string, rank int"), spark.createDataFrame(conflicts, "report string, segment int, candidate string, other_segment int, other_candidate string"))
+    assert {tuple(r)[:5] for r in found.collect()} == {("r", "found", 1, "a", 1), (None, "found", 1, "b", 2)}
