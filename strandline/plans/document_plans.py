@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import constraints as C
 from strandline.functions import text as X
+from strandline.operators.graph import settle
 from strandline.plans.registry import query
 from strandline.session import table
 
@@ -112,12 +113,13 @@ def callsite_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     A passage's first words, five at most, are its key: windows of as many words meet it by equality, and the passage is
     then compared whole at that place. Passages without words are left out."""
     words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
-    keys = table(spark, sf_dir, "benchmark").select("item_id", words.alias("p")).where("p <> array('')").withColumns({"n": F.size("p"), "key": F.xxhash64(F.array_join(F.slice("p", 1, 5), " "))})
+    keys = table(spark, sf_dir, "benchmark").select("item_id", words.alias("p")).where("p <> array('')").withColumns({"n": F.size("p"), "key": F.xxhash64(F.slice("p", 1, 5))})
     docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
     sizes = sorted(r[0] for r in keys.select(F.least("n", F.lit(5))).distinct().collect())  # five values at most
-    window = lambda z: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - z + 1, F.lit(1))), lambda i: F.struct(i.alias("i"), F.xxhash64(F.array_join(F.slice("w", i, z), " ")).alias("key")))
+    window = lambda z: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - z + 1, F.lit(1))), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("w", i, z)).alias("key")))
     windows = docs.select("doc_id", F.explode(F.concat(*map(window, sizes))).alias("s")).select("doc_id", "s.*") if sizes else docs.selectExpr("doc_id", "1 AS i", "0L AS key").limit(0)
-    hits = windows.join(keys, "key").select("item_id", "doc_id", "i", "p", "n")
+    # few places hold a key: once written, these decide which documents are read again, instead of shuffling all words
+    hits = settle(windows.join(keys, "key").select("item_id", "doc_id", "i", "p", "n"))
     found = hits.join(docs, "doc_id").where(F.slice("w", F.col("i"), F.col("n")) == F.col("p"))
     counts = found.groupBy("item_id").agg(F.count("*").alias("k"), F.count_distinct("doc_id").alias("n_docs"))
     k = F.coalesce("k", F.lit(0))
