@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import fixpoint, settle
+from strandline.operators.graph import fixpoint, settle, shortcuts
 
 PAIR = ["function", "node"]
+#: Functions of at most so many edges are crossed in one round.
+CROSSED_EDGES = 256
 
 
 def arguments(calls: DataFrame, data: DataFrame, defines: DataFrame) -> DataFrame:
@@ -83,8 +85,8 @@ def context_slice(seeds: DataFrame, data: DataFrame, control: DataFrame, calls:
     one depends on all that reaches it. Functions may call one another in circles."""
     passed = settle(arguments(calls, data, defines))
     inside = settle(_inside(data, control, calls, formals))
-    known = returning(inside, passed, formals, returns)
-    over = _hop(inside.unionByName(summary_edges(passed, formals, known)))
+    known = returning(shortcuts(inside, "function", CROSSED_EDGES), passed, formals, returns)
+    over = settle(_hop(shortcuts(inside.unionByName(summary_edges(passed, formals, known)).distinct(), "function", CROSSED_EDGES)))
     places = formals.select(F.col("function").alias("callee"), "position", F.col("node").alias("formal"))
     up = passed.join(places, ["callee", "position"]).select(F.col("callee").alias("function"), F.col("formal").alias("node"), F.col("function").alias("to_function"), F.col("node").alias("to_node"))
     sites = calls.select("function", F.col("call").alias("node"), "callee").distinct()

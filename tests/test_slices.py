@@ -136,3 +136,16 @@ def test_fields_climb_to_the_class_or_the_constructor(spark):
     assert found == {("n::C::leaf", "u", "n::C::mid", "m"), ("n::C::leaf", "u", "n::C::C", "k"), ("n::C::leaf", "u", "n::D::top", "new")}
     other = sites.replace("this->leaf(1)", "that->leaf(1)")
     assert ("n::C::leaf", "u", "n::C::mid", "m") not in {tuple(r) for r in S.field_climbs(uses, defines, chain, other, made).collect()}
+
+
+def test_a_long_function_is_crossed_in_a_few_rounds(spark, monkeypatch):
+    from strandline.operators import graph
+
+    settled, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: settled.append(1) or settle(df))
+    frame = spark.createDataFrame
+    data = frame([("f", f"n{i}", f"n{i + 1}", f"v{i}") for i in range(25)], "function string, src string, dst string, variable string")
+    empty = lambda schema: frame([], schema)
+    found = S.context_slice(frame([("f", "n25")], "function string, node string"), data, empty("function string, src string, dst string"), empty("function string, call string, callee string, position int, variable string"),
+        empty("function string, position int, node string"), frame([("f", "n25")], "function string, node string"), empty("function string, node string, variable string"))
+    assert {r["node"] for r in found.collect()} == {f"n{i}" for i in range(26)} and len(settled) < 25
