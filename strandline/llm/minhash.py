@@ -1,7 +1,9 @@
-"""Near-dedup by shingle similarity: MinHash bands find candidates, whole texts verify them.
+"""Near-dedup by shingle similarity: SimHash signatures and MinHash bands find candidates, whole texts verify them.
 
-At a similarity of 0.8 two 64-bit SimHashes differ in about ten bits, and segments short enough to stay equal then are
-shared by everything; bands of minima find such pairs by equality instead. A pair of similarity s shares at least one of
+The sets of shingles have SimHashes, which are linked at two or fewer differing bits by deletion-variant signatures (simhash.py);
+each set of a component is compared to the least one. That finds the nearest copies. At a similarity of 0.8 two 64-bit
+SimHashes differ in about ten bits, and segments short enough to stay equal then are shared by everything; bands of minima
+find such pairs by equality. A pair of similarity s shares at least one of
 24 bands of five minima with probability 1 - (1 - s^5)^24: 0.9999 at 0.8, more above.
 
 What counts is which texts hang together. In each band's bucket all texts are first compared to the least one; texts
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm._store import HEAVY_KEYS, discard, join_groups, materialize, released, row_key, sieved, text_or_empty, texts_of, without
-from strandline.llm.simhash import SEED, components
+from strandline.llm import simhash
+from strandline.llm.simhash import SEED, components, majority
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -81,22 +84,22 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
-    """id, k1, k2, print (a hash of the set of shingles), n (its size) and bands of every row of (id, k1, k2, text)."""
+    """id, k1, k2, print (a hash of the set of shingles), n (its size), simhash and bands of every row of (id, k1, k2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches):
-            prints, sizes, keys = [], [], []
+            prints, sizes, near, keys = [], [], [], []
             for t in b["text"]:
                 found = shingles(t.as_py().encode(), words)
                 prints.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                near.append(majority((found[at : at + _BLOCK] for at in range(0, len(found), _BLOCK)), len(found)))
                 keys.append(bands(found))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, np.int32)), pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [b["id"], b["k1"], b["k2"], pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], names=["id", "k1", "k2", "print", "n", "bands"]
-            )
+            signed = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (prints, near)]
+            yield pa.RecordBatch.from_arrays([b["id"], b["k1"], b["k2"], signed[0], pa.array(sizes, pa.int64()), signed[1], lists], names=["id", "k1", "k2", "print", "n", "simhash", "bands"])
 
-    return df.mapInArrow(released(run), "id long, k1 long, k2 long, print long, n long, bands array<long>")
+    return df.mapInArrow(released(run), "id long, k1 long, k2 long, print long, n long, simhash long, bands array<long>")
 
 
 def _with_set(pairs: DataFrame, sets: DataFrame, side: str, name: str, total: int) -> DataFrame:
@@ -144,6 +147,16 @@ def _sizes_allow(n: str, m: str, least: float):
     return F.least(n, m) >= F.greatest(n, m) * least - 1e-6  # a set can't be that similar to a much smaller one
 
 
+def _within_bits(distinct: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of the least set of each component of SimHash links with every other set of it."""
+    linked = components(simhash.links(materialize(distinct.select(F.col("simhash").alias("print")).distinct(), "distinct-prints")))
+    rooted = distinct.select("print", "n", "simhash").join(linked.withColumnRenamed("node", "simhash").hint("merge"), "simhash", "left")
+    rooted = materialize(rooted.select("print", "n", F.coalesce("root", "simhash").alias("root")), "simhash-roots")
+    heads = materialize(rooted.groupBy("root").agg(F.count("*").alias("k"), F.min(F.struct("print", "n")).alias("low")).where("k > 1"), "simhash-heads")
+    held = join_groups(rooted, heads, "root", "k", rooted.count()).where(F.col("print") != F.col("low.print")).where(_sizes_allow("n", "low.n", least))
+    return held.select(F.col("low.print").alias("a"), F.col("print").alias("b"))
+
+
 def _candidates(distinct: DataFrame) -> DataFrame:
     """key, print, n, low, k of every band that several sets share: low is the least of them, k their number."""
     keys = distinct.select("print", "n", F.explode("bands").alias("key"))
@@ -217,7 +230,8 @@ def similar_links(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str
     """Pairs (a, b) of prints of similar texts that hold the same components together as all such pairs do."""
     keys = _candidates(distinct)
     star = keys.where(F.col("print") != F.col("low.print")).where(_sizes_allow("n", "low.n", least))
-    star = materialize(star.select(F.col("low.print").alias("a"), F.col("print").alias("b")).distinct(), "star")
+    star = star.select(F.col("low.print").alias("a"), F.col("print").alias("b")).unionByName(_within_bits(distinct, least))
+    star = materialize(star.distinct(), "star")
     sets = _sets_of(df, _ends(star), distinct, id_col, text_col, words)
     links = materialize(_verified(star, sets, least), "links")
     discard(sets)
@@ -260,7 +274,7 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).cast("long").alias("id"), one.alias("k1"), two.alias("k2"), text_or_empty(text_col).alias("text"))
     sets = materialize(_sets(rows, words), "shingle-sets")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
-    distinct = sets.groupBy("print").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(place).alias("best"), F.count("*").alias("times"))
+    distinct = sets.groupBy("print").agg(F.first("n").alias("n"), F.first("simhash").alias("simhash"), F.first("bands").alias("bands"), F.min(place).alias("best"), F.count("*").alias("times"))
     distinct = materialize(distinct, "distinct-sets")
     links = similar_links(df, distinct, id_col, text_col, words, least)
 

@@ -21,7 +21,7 @@ Only distinct fingerprints are linked. Copies share one and are joined back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +38,25 @@ MAX_DISTANCE = 2
 _HASH_BLOCK = 1 << 16
 
 
+def majority(blocks: Iterable[np.ndarray], n: int) -> int:
+    """The unsigned 64-bit SimHash of n hashes, given in blocks: a bit is 1 if set in over half of them; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes) -> int:
-    """The unsigned 64-bit SimHash of a UTF-8 text: a bit is 1 if set in over half of the shingles' hashes; 0 without words."""
+    """The SimHash of a UTF-8 text's shingles, repeats included; 0 without words."""
     words = text.lower().split()  # on bytes both touch ASCII only
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= SHINGLE_WORDS:
         return digest(b" ".join(words), SEED)
-    n, ones = len(words) - SHINGLE_WORDS + 1, np.zeros(64, np.int64)
-    for at in range(0, n, _HASH_BLOCK):
-        w = words[at : at + _HASH_BLOCK + SHINGLE_WORDS - 1]
-        hashes = np.fromiter((digest(b"%b %b %b" % s, SEED) for s in zip(w, w[1:], w[2:])), np.uint64, len(w) - SHINGLE_WORDS + 1)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    n = len(words) - SHINGLE_WORDS + 1
+    blocks = (words[at : at + _HASH_BLOCK + SHINGLE_WORDS - 1] for at in range(0, n, _HASH_BLOCK))
+    return majority((np.fromiter((digest(b"%b %b %b" % s, SEED) for s in zip(w, w[1:], w[2:])), np.uint64, len(w) - SHINGLE_WORDS + 1) for w in blocks), n)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

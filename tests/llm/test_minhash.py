@@ -124,3 +124,21 @@ def test_rarest_shingles_meet_wherever_sets_are_similar(spark):
     size = {i: len(x) for i, x in sets}
     assert len(near) > 20 and all(any(min(rare[a][x], rare[b][x]) >= (size[a] + size[b]) * 0.8 / 1.8 - 1e-6 for x in rare[a].keys() & rare[b].keys()) for a, b in near)
     assert all(len(rare[i]) == len(x) - -(-8 * len(x) // 10) + 1 for i, x in sets)
+
+
+def test_near_copies_are_found_by_simhash_signatures_alone(spark, monkeypatch):
+    candidates = minhash._candidates
+    monkeypatch.setattr(minhash, "_candidates", lambda distinct: candidates(distinct).where("false"))
+    rng = random.Random(9)
+    texts = {}
+    for i in range(0, 60, 3):
+        t = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+        texts[i], texts[i + 1], texts[i + 2] = " ".join(t), " ".join([*t, "end"]), " ".join([*t[:450], *["far"] * 450])
+    print_of = {i: minhash.majority([minhash.shingles(t.encode())], len(minhash.shingles(t.encode()))) for i, t in texts.items()}
+    for i, t in texts.items():
+        found = minhash.shingles(t.encode()).tolist()
+        assert print_of[i] == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in found) > len(found))
+    near = [(a, b) for a, b in brute_links(texts) if (print_of[a] ^ print_of[b]).bit_count() <= 2]
+    assert len(near) >= 10
+    out = minhash.drop_similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect()} == kept(texts, near)
