@@ -213,3 +213,19 @@ def test_shared_elements_equal_recursive_substitution(spark, seed):
     statements = spark.createDataFrame([("f", b, i, t) for b, ts in blocks.items() for i, t in enumerate(ts)], "function string, block string, ordinal int, text string")
     found = {r["key"]: r["text"] for r in C.resolved_elements(statements, rounds=5).collect()}
     assert found == {k: told(k, 5) for k in rule}
+
+
+def test_levels_carry_numbers_and_lines_are_numbered_once(spark, monkeypatch):
+    from strandline.plans import branch_plans
+
+    settled, settle = [], B.settle
+    monkeypatch.setattr(B, "settle", lambda df: settled.append(df.dtypes) or settle(df))
+    trees = branch_plans.branch_trees(spark, "/root/testdata/sf0.001")
+    levels = [dict(d) for d in settled if "stack" in dict(d)]
+    assert len(levels) == B.MOST_DEPTH and all(d["id"] == d["outer"] == "bigint" and not {"path", "name"} & d.keys() for d in levels)
+    assert "lineitem" not in trees._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in trees.inputFiles())
+    nodes = spark.createDataFrame([("f", f"n{i}", i, "binary_op" if i != 40 else "decl", 100 + i % 41, "x" * (i % 5), 0, None) for i in range(60)], "function string, node string, ordinal long, kind string, line long, expression string, block long, callee string")
+    control = nodes.select("function", F.col("node").alias("source"))
+    whole = {tuple(r) for r in B.branch_sources(nodes, control).collect()}
+    assert all({tuple(r) for r in B.branch_sources(nodes, control, block_lines=n).collect()} == whole for n in (11, 37))
+    assert B.branch_sources(nodes, control)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
