@@ -4,15 +4,20 @@ A dump spells an expression out as numbered elements: `[B6.15]` names the fiftee
 others, and a cast or a member access leaves its operand to the element before it. First every element becomes a rule that
 names all its operands. Then all rules are rewritten together: in each round a reference is replaced by what the round
 before made of it, so an element that many share is resolved once, and after ROUNDS rounds what is left, as in a cycle,
-stays a reference.
+stays a reference. Short functions are grouped, and their rounds run where they are; only long ones take rounds over tables.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandline.operators.graph import discard, settle
+from strandline.operators.graph import HELD_ROWS, discard, settle
 
 #: Levels of references that are followed.
 ROUNDS = 10
@@ -90,12 +95,75 @@ def _rewritten(asked: DataFrame, keys: list[str], term: str, known: DataFrame, e
     return per.select("function", *keys, substituted(F.col("_term"), F.col("values")).alias("text"), "final")
 
 
-def resolved_elements(statements: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _resolved_held(rounds: int, key: list, rule: list, at: list, value: list) -> list[tuple]:
+    """(text, final) of each element of one function with distinct keys, as _resolved_rounds has them."""
+    pattern, extra = re.compile(REFERENCE, re.ASCII), dict(zip(at, value))
+    refs = {k: [m[1:-1] for m in pattern.findall(r)] if r is not None else [] for k, r in zip(key, rule)}
+    known = {k: (f"[{k}]", False) if refs[k] else (r, True) for k, r in zip(key, rule)}
+    waiting = {k: (pattern.split(r), refs[k]) for k, r in zip(key, rule) if refs[k]}
+    for _ in range(rounds):
+        if not waiting:
+            break
+        step = {}
+        for k, (between, asked) in waiting.items():
+            parts, final = [between[0]], True
+            for ref, after in zip(asked, between[1:]):
+                text, settled = known[ref] if ref in known else (extra.get(ref.split(".")[0]), True)
+                fits = text is not None and len(text) <= MOST_CHARACTERS
+                parts += [text if fits else f"[{ref}]", after]
+                final = final and (settled or not fits)
+            step[k] = "".join(parts), final
+        known |= step
+        waiting = {k: w for k, w in waiting.items() if not step[k][1]}
+    return [known[k] for k in key]
+
+
+def _in_groups(packed: DataFrame, rounds: int) -> DataFrame:
+    """packed (function; e, the elements; v, the bare values) with text and final, a list each in the order of e."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, v = batch.column("e"), batch.column("v")
+            keys, texts = (e.flatten().field(c).to_pylist() for c in ("key", "rule"))
+            blocks, values = (v.flatten().field(c).to_pylist() for c in ("at", "value"))
+            ends, i, j, found = [0], 0, 0, []
+            for m, n in zip(e.value_lengths().to_pylist(), v.value_lengths().to_pylist()):
+                found += _resolved_held(rounds, keys[i : i + m], texts[i : i + m], blocks[j : j + n], values[j : j + n])
+                i, j = i + m, j + n
+                ends.append(i)
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array([f[c] for f in found], kind)) for c, kind in ((0, pa.string()), (1, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column("function"), e, *lists], names=["function", "e", "text", "final"])
+
+    kept = packed.select("function", "e").schema
+    return packed.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.ArrayType(T.StringType())), T.StructField("final", T.ArrayType(T.BooleanType()))]))
+
+
+def resolved_elements(statements: DataFrame, rounds: int = ROUNDS, held_rows: int = HELD_ROWS) -> DataFrame:
     """function, block, key, ordinal, before, text, final: the elements with their references followed so many levels deep.
 
-    A reference to an element that its block doesn't list is the block's last bare value; one to an unknown block stays."""
-    elements = settle(rules(statements))
-    extra = settle(bare_values(statements))
+    A reference to an element that its block doesn't list is the block's last bare value; one to an unknown block stays.
+    Functions of at most held_rows elements and bare values are grouped and rewritten one by one; longer ones, those that list
+    an element twice, and rows without a function by rounds over tables."""
+    elements, extra = settle(rules(statements)), settle(bare_values(statements))
+    own = ["block", "key", "ordinal", "rule", "before"]
+    rows = elements.select("function", *own).unionByName(extra.select("function", F.col("block").alias("at"), "value"), allowMissingColumns=True)
+    counted = rows.groupBy("function").agg(F.count("*").alias("n"))
+    long = counted.where((F.col("n") > held_rows) | F.col("function").isNull()).select("function")
+    twice = elements.groupBy("function", "key").count().where("count > 1").select("function")
+    apart = settle(long.unionByName(twice).distinct())
+    pick = lambda when, *c: F.collect_list(F.when(F.col(when).isNotNull(), F.struct(*c)))
+    short = rows.where("function IS NOT NULL").join(apart, "function", "left_anti")
+    per = short.groupBy("function").agg(pick("key", *own).alias("e"), pick("at", "at", "value").alias("v"))
+    each = F.explode(F.arrays_zip("e", "text", "final")).alias("x")
+    found = _in_groups(per, rounds).select("function", each).select("function", *[f"x.e.{c}" for c in ("block", "key", "ordinal", "before")], "x.text", "x.final")
+    if not apart.take(1):
+        return found
+    met = lambda df: df.join(apart, df["function"].eqNullSafe(apart["function"]), "left_semi")
+    return found.unionByName(_resolved_rounds(settle(met(elements)), settle(met(extra)), rounds).select(*found.columns))
+
+
+def _resolved_rounds(elements: DataFrame, extra: DataFrame, rounds: int) -> DataFrame:
     plain = ~F.col("rule").rlike(REFERENCE)
     done = [settle(elements.where(F.coalesce(plain, F.lit(True))).select("function", "key", F.col("rule").alias("text"), F.lit(True).alias("final")))]
     waiting = settle(elements.where(~plain).select("function", "key", "rule"))

@@ -229,3 +229,21 @@ def test_levels_carry_numbers_and_lines_are_numbered_once(spark, monkeypatch):
     whole = {tuple(r) for r in B.branch_sources(nodes, control).collect()}
     assert all({tuple(r) for r in B.branch_sources(nodes, control, block_lines=n).collect()} == whole for n in (11, 37))
     assert B.branch_sources(nodes, control)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_short_functions_take_no_rounds_over_tables_and_give_the_same_texts(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for f in range(40):
+        for b in range(3):
+            rows += [(f"f{f}", f"B{b}", 0, None), (f"f{f}", f"B{b}", 1, f"bare{f}")][: rng.randrange(3)]
+            for i in range(1, 6):
+                ref = lambda: f"[B{rng.randrange(4)}.{rng.randrange(1, 8)}]"
+                body = rng.choice(["(DeclRefExpr) v", f"!{ref()}", f"{ref()} + {ref()}", "", "->field", "long" * 3000, f"{ref()} (ImplicitCastExpr)"])
+                rows.append((f"f{f}", f"B{b}", 10 + i, f"[B{b}.{i}] {body}"))
+    rows += [("twice", "B1", i, f"[B1.1] {t}") for i, t in enumerate("xy")] + [("twice", "B1", 5, "[B1.2] ![B1.1]"), (None, "B1", 0, "[B1.1] z"), (None, "B1", 1, "[B1.2] ![B1.1]")]
+    df = spark.createDataFrame(rows, "function string, block string, ordinal int, text string")
+    told = lambda held, only: sorted(map(str, C.resolved_elements(df.where(only), 3, held).collect()))
+    by_tables = told(0, "true")
+    assert told(C.HELD_ROWS, "true") == by_tables and len(by_tables) == 40 * 15 + 5
+    monkeypatch.setattr(C, "_rewritten", None)
+    assert len(told(C.HELD_ROWS, "function LIKE 'f%'")) == 40 * 15
