@@ -36,6 +36,8 @@ SEED = 42
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
 _HASH_BLOCK = 1 << 16
+#: Edges whose stars are broadcast: two longs for either end of each, a few hundred kilobytes.
+BROADCAST_EDGES = 10_000
 
 
 def majority(blocks: Iterable[np.ndarray], n: int) -> int:
@@ -84,14 +86,17 @@ def _distance(a: str, b: str) -> Column:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of a table of distinct longs 'print' that differ in at most two bits; each pair once or a few times."""
+    """All pairs (a, b), a < b, of a table of distinct longs 'print' that differ in at most two bits; each pair once or a few times.
+
+    Spark sizes a table behind an explode as one row per row, so every join says that it is a merge: else it broadcasts
+    signatures, 32 times as large as it takes them to be."""
     a, b = _segment(0), _segment(1)
     first = lambda n: F.shiftrightunsigned(F.col("p").bitwiseXOR(F.col("q")), 32 * n).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
     def equal(segment: Column, other: Column) -> DataFrame:
         # two bits at most in the other segment: of three pieces one is equal
         keyed = prints.select("print", segment.alias("segment"), F.explode(_pieces(other, [11, 11, 10])).alias("piece"))
-        return keyed.select(F.col("print").alias("p"), "segment", "piece").join(keyed.select(F.col("print").alias("q"), "segment", "piece"), ["segment", "piece"])
+        return keyed.select(F.col("print").alias("p"), "segment", "piece").join(keyed.select(F.col("print").alias("q"), "segment", "piece").hint("merge"), ["segment", "piece"])
 
     # one bit at most in B: of two pieces one is equal
     cut = prints.select("print", a.alias("segment"), F.explode(_pieces(b, [16, 16])).alias("piece"))
@@ -106,7 +111,7 @@ def links(prints: DataFrame) -> DataFrame:
     near = _distance("p", "q") <= MAX_DISTANCE
     same_a = equal(a, b).where((F.col("p") < F.col("q")) & near).select("p", "q")
     same_b = equal(b, a).where((F.col("p") < F.col("q")) & near & (first(0) != 0)).select("p", "q")
-    off_by_one = zeros.join(ones, "key").where(near & (F.bit_count(first(0)) == 1))
+    off_by_one = zeros.join(ones.hint("merge"), "key").where(near & (F.bit_count(first(0)) == 1))
     off_by_one = off_by_one.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     return same_a.unionByName(same_b).unionByName(off_by_one).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
@@ -118,15 +123,18 @@ def components(edges: DataFrame) -> DataFrame:
     grow with the logarithm of the longest chain; it ends when a round changes nothing. Self-loops are fine; an empty
     table gives an empty one."""
 
+    def bounded(low: DataFrame) -> DataFrame:  # Parquet files of roots are far smaller than their rows, so Spark's own guess isn't asked
+        return F.broadcast(low) if count <= BROADCAST_EDGES else low.hint("merge")
+
     def large(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        return both.join(bounded(low), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        rest = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        rest = down.join(bounded(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return rest.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     now, state = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges"), None
@@ -153,7 +161,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
     distinct = materialize(prints.groupBy("print").agg(F.min(place).alias("best"), F.count("*").alias("times")), "distinct-prints")
     roots = components(links(distinct.select("print")))
-    member = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "times", "best", F.coalesce("root", "print").alias("root"))
+    member = distinct.join(roots.hint("merge"), distinct["print"] == roots["node"], "left").select("print", "times", "best", F.coalesce("root", "print").alias("root"))
     member = materialize(member, "members")
     least = materialize(member.groupBy("root").agg(F.min("best").alias("stays"), F.count("*").alias("n")), "roots")
     found = join_groups(member.drop("best"), least, "root", "n", member.count()).select("print", "times", "stays")

@@ -168,3 +168,30 @@ def test_cascade_is_exact_over_its_universe(spark, n_listed):
     found = {r["key"] for r in universe.where("key is not null").where(urlcascade.member(F.col("key"), cascade)).collect()}
     assert found == set(keys[:n_listed])
     assert len(cascade.levels) > 1 or n_listed == 1
+
+
+def test_spark_never_chooses_a_broadcast_by_the_size_it_takes_a_table_to_have(spark, monkeypatch):
+    """Behind an explode, or in Parquet files of few values, a table is far larger than Spark's estimate."""
+    texts = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.col("id") % 250).alias("text"))
+    key, kept = "spark.sql.autoBroadcastJoinThreshold", simhash.materialize
+    before = spark.conf.get(key)
+    joins = []
+    try:
+        for size in ("-1", "10m"):
+            spark.conf.set(key, size)
+            steps = []
+            monkeypatch.setattr(simhash, "BROADCAST_EDGES", 0, raising=False)
+            monkeypatch.setattr(simhash, "materialize", lambda df, *a: (steps.append(df), kept(df, *a))[1])
+            assert simhash.near_duplicates(texts).select("fingerprint").distinct().count() == 250
+            joins.append([df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") for df in steps])
+    finally:
+        spark.conf.set(key, before)
+    assert joins[0] == joins[1] and len(joins[0]) > 4
+
+
+def test_stars_of_many_edges_are_joined_as_those_of_few(spark, monkeypatch):
+    edges = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") - F.when(F.col("id") % 50 == 0, 0).otherwise(1)).alias("b"))
+    few = {tuple(r) for r in simhash.components(edges).collect()}
+    monkeypatch.setattr(simhash, "BROADCAST_EDGES", 0, raising=False)
+    assert {tuple(r) for r in simhash.components(edges).collect()} == few
+    assert {root for _, root in few} == {0, *range(50, 400, 50)}
