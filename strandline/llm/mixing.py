@@ -134,7 +134,7 @@ def _probabilities(df: DataFrame, targets, fraction: float, text_col: str) -> Da
     cells = materialize(cells.where("tokens > 0"), "cells")
     found = materialize(calibrate(rake(cells, targets), fraction), "probabilities")
     found = found.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", "ratio", "probability")
-    return F.broadcast(found) if found.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else found
+    return F.broadcast(found) if found.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else found.hint("merge")
 
 
 def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from strandline.llm import queries
+from strandline.llm import mixing, queries
 from test_minhash import brute_links, kept
 
 
@@ -63,3 +63,12 @@ def test_stages_take_nulls_repeats_ties_long_texts_and_empty_tables(spark, name)
         assert all(ids.count(i) <= [r[0] for r in ODD].count(i) for i in ids)
     assert out.columns == docs.columns or name == "encode"
     assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_many_cells_of_the_mixture_are_merged_whatever_their_files_hold(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('a b ', id) AS text", "cast(id % 5 AS string) AS source", "'en' AS lang")
+    few = {r["doc_id"] for r in mixing.sample_mixture(docs).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    many = mixing.sample_mixture(docs)
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"] for r in many.collect()} == few
