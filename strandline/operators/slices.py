@@ -83,20 +83,40 @@ def context_slice(seeds: DataFrame, data: DataFrame, control: DataFrame, calls:
     formals: function, position, node (the node that stands for a parameter); returns: function, node; defines: function,
     node, variable. Of a call to a known function only the arguments count that its value depends on; a call to an unknown
     one depends on all that reaches it. Functions may call one another in circles."""
+    calls = settle(calls)
+    called = settle(calls.select(F.col("callee").alias("function")).where("function IS NOT NULL").distinct())
+    of = lambda df, functions: df.join(functions, "function", "left_semi")
+    own = lambda functions: _inside(of(data, functions), of(control, functions), of(calls, functions), formals)
+    # what a call leads through is asked for in called functions alone; of the others only those that are reached are crossed
+    formals = settle(of(formals, called))
     passed = settle(arguments(calls, data, defines))
-    inside = settle(_inside(data, control, calls, formals))
-    known = returning(shortcuts(inside, "function", CROSSED_EDGES), passed, formals, returns)
-    over = settle(_hop(shortcuts(inside.unionByName(summary_edges(passed, formals, known)).distinct(), "function", CROSSED_EDGES)))
+    inside = settle(own(called))
+    known = settle(returning(shortcuts(inside, "function", CROSSED_EDGES), of(passed, called), formals, of(returns, called)))
+    summaries = settle(summary_edges(passed, formals, known))
+    back = settle(shortcuts(inside.unionByName(of(summaries, called)).distinct(), "function", CROSSED_EDGES).select("function", F.col("on").alias("node"), F.col("node").alias("from")))
+    # function, node, formal: the parameters that a node of a called function depends on
+    led = formals.select("function", "node", F.col("node").alias("formal")).distinct()
+    led = settle(fixpoint(led, lambda moving, _: back.join(moving, PAIR).select("function", F.col("from").alias("node"), "formal"), ["function", "node", "formal"]))
     places = formals.select(F.col("function").alias("callee"), "position", F.col("node").alias("formal"))
-    up = passed.join(places, ["callee", "position"]).select(F.col("callee").alias("function"), F.col("formal").alias("node"), F.col("function").alias("to_function"), F.col("node").alias("to_node"))
+    up = passed.join(places, ["callee", "position"]).select(F.col("callee").alias("function"), "formal", F.col("function").alias("to_function"), F.col("node").alias("to_node"))
     sites = calls.select("function", F.col("call").alias("node"), "callee").distinct()
-    down = sites.join(returns.select(F.col("function").alias("callee"), F.col("node").alias("to_node")), "callee").select("function", "node", F.col("callee").alias("to_function"), "to_node")
     # a parameter also tells that the call was made: its site comes in for what decides whether it is reached
-    made = sites.join(places, "callee").select(F.col("callee").alias("function"), F.col("formal").alias("node"), F.col("function").alias("to_function"), F.col("node").alias("site"))
-    reach = made.join(control.select(F.col("function").alias("to_function"), F.col("dst").alias("site"), F.col("src").alias("to_node")), ["to_function", "site"]).select("function", "node", "to_function", "to_node")
-    start = seeds.select(*PAIR).distinct()
-    first = _searched(start, over.unionByName(up).unionByName(reach))
-    return _searched(first.select(*PAIR), over.unionByName(down))
+    made = sites.join(places, "callee").select(F.col("callee").alias("function"), "formal", F.col("function").alias("to_function"), F.col("node").alias("site"))
+    reach = made.join(control.select(F.col("function").alias("to_function"), F.col("dst").alias("site"), F.col("src").alias("to_node")), ["to_function", "site"]).select("function", "formal", "to_function", "to_node")
+    up = settle(up.unionByName(reach).distinct())
+
+    def climb(moving: DataFrame, _: int) -> DataFrame:
+        through = led.join(moving, PAIR).select("function", "formal").distinct()
+        return up.join(through, ["function", "formal"]).select(F.col("to_function").alias("function"), F.col("to_node").alias("node"))
+
+    entered = fixpoint(seeds.select(*PAIR).distinct(), climb, PAIR)
+    there = settle(entered.select("function").distinct())
+    over = settle(shortcuts(own(there).unionByName(of(summaries, there)).distinct(), "function", CROSSED_EDGES))
+    first = settle(fixpoint(entered.select(*PAIR), lambda moving, _: over.join(moving, PAIR).select("function", F.col("on").alias("node")), PAIR))
+    # down into callees only: a called function counts with all that its returns depend on
+    onward = settle(known.join(sites, PAIR).select("function", F.col("callee").alias("next")).distinct())
+    down = fixpoint(first.join(sites, PAIR).select(F.col("callee").alias("function")).distinct(), lambda moving, _: onward.join(moving, "function").select(F.col("next").alias("function")), ["function"])
+    return first.unionByName(of(known, down).select(*PAIR)).distinct()
 
 
 def owner(function: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import resolution as R
 from strandline.operators import slices as S
+from strandline.operators.graph import settle
 from strandline.plans.graph_plans import _NUMBERED_SQL, _numbered
 from strandline.plans.registry import query
 from strandline.session import table
@@ -140,6 +141,7 @@ def context_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as functions of two parameters (nodes 0 and -1) whose returned lines call the order of their part's number, if
     that is an earlier one; sliced from the last lines of urgent orders."""
     rows = _numbered(spark, sf_dir).withColumn("last", F.max("n").over(Window.partitionBy("l_orderkey")))
+    rows = settle(rows.select("l_orderkey", "n", "last", "l_returnflag", "l_linestatus", "l_tax", "l_partkey"))  # several steps read them: the lines are numbered once
     n, f = F.col("n"), F.col("l_orderkey").alias("function")
     functions = rows.select(F.col("l_orderkey").alias("l_partkey")).distinct()
     before, name = F.when(n == 1, F.lit(0).cast("long")).otherwise(n - 1), lambda c: F.concat(F.lit("w"), _t(c))

@@ -149,3 +149,18 @@ def test_a_long_function_is_crossed_in_a_few_rounds(spark, monkeypatch):
     found = S.context_slice(frame([("f", "n25")], "function string, node string"), data, empty("function string, src string, dst string"), empty("function string, call string, callee string, position int, variable string"),
         empty("function string, position int, node string"), frame([("f", "n25")], "function string, node string"), empty("function string, node string, variable string"))
     assert {r["node"] for r in found.collect()} == {f"n{i}" for i in range(26)} and len(settled) < 25
+
+
+def test_functions_that_nothing_reaches_are_not_crossed(spark, monkeypatch):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    crossed, own = set(), S.shortcuts
+    monkeypatch.setattr(S, "shortcuts", lambda edges, *a: (crossed.update(r["function"] for r in edges.collect()), own(edges, *a))[1])
+    data = frame([(f, "p", "n1", "v") for f in ("main", "g", "idle")] + [(f, "n1", "n2", "w") for f in ("main", "g", "idle")], "function string, src string, dst string, variable string")
+    control = frame([], "function string, src string, dst string")
+    calls = frame([("main", "n1", "g", 0, "v"), ("idle", "n1", "g", 0, "v")], "function string, call string, callee string, position int, variable string")
+    formals = frame([(f, 0, "p") for f in ("main", "g", "idle")], "function string, position int, node string")
+    returns = frame([(f, "n2") for f in ("main", "g", "idle")], "function string, node string")
+    defines = frame([(f, "p", "v") for f in ("main", "g", "idle")], "function string, node string, variable string")
+    found = {tuple(r) for r in S.context_slice(frame([("main", "n2")], "function string, node string"), data, control, calls, formals, returns, defines).collect()}
+    assert found == {(f, n) for f in ("main", "g") for n in ("n2", "n1", "p")}
+    assert crossed == {"main", "g"}
