@@ -106,3 +106,13 @@ def test_cfg_text_takes_the_last_function_of_a_name_and_shuffles_nothing(spark):
     assert sorted((r["function_name"], r["block_id"], r["label"], r["statements"], r["terminator"], r["predecessors"], r["successors"]) for r in found.collect()) == [
         ("int f(int x)", "B1", "ENTRY", ["z"], None, [], ["B0"]), ("void g()", "B2", "", ["b", "d"], None, ["B3"], []), ("void g()", "B3", "", ["c"], "while [B3.1]", [], [])]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cfg_text_reads_a_dump_once(spark):
+    dump = "f()\n" + "".join(f" [B{i}]\n   1: x{i}\n   Succs (1): B{i - 1}\n" for i in range(12_000, 0, -1)) + " [B12000]\n   2 : y\r\n  T: if [B1.1]\n   Preds (2): B7\tB8 \n"
+    found = cfg_text.blocks(spark.createDataFrame([(7, dump)], "path long, content string"))
+    rows = {r["block_id"]: r for r in found.collect()}
+    assert len(rows) == 12_000 and {r["path"] for r in rows.values()} == {7} and rows["B5"]["successors"] == ["B4"]
+    last = rows["B12000"]
+    assert last["statements"] == ["x12000", "y"] and last["terminator"] == "if [B1.1]" and last["predecessors"] == ["B7", "B8"] and last["successors"] == ["B11999"]
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
