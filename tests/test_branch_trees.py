@@ -247,3 +247,12 @@ def test_short_functions_take_no_rounds_over_tables_and_give_the_same_texts(spar
     assert told(C.HELD_ROWS, "true") == by_tables and len(by_tables) == 40 * 15 + 5
     monkeypatch.setattr(C, "_rewritten", None)
     assert len(told(C.HELD_ROWS, "function LIKE 'f%'")) == 40 * 15
+
+
+def test_sources_that_tell_their_kind_and_line_are_not_looked_up(spark):
+    nodes = spark.createDataFrame([("f", "d", 0, "decl", 3, "x"), ("f", "p", 1, "binary_op", 5, "x > 1"), ("f", "q", 2, "unary_op", 9, "!x"), ("g", "d", 0, "decl", 1, "y")], "function string, node string, ordinal int, kind string, line int, expression string")
+    control = nodes.where("node <> 'p'").selectExpr("function", "node AS source", "kind", "line")
+    told, asked = B.branch_sources(nodes, control), B.branch_sources(nodes, control.select("function", "source"))
+    joins = lambda df: df._jdf.queryExecution().analyzed().toString().count("Join ")
+    assert {tuple(r) for r in told.collect()} == {tuple(r) for r in asked.collect()} == {("f", "p"), ("f", "q")}
+    assert joins(told) < joins(asked)
